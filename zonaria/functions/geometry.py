@@ -91,11 +91,17 @@ def _crosses_itself(ring: np.ndarray) -> bool:
     return bool(((s1 * s2 < 0) & (s1 * s2 < 0).T).any())
 
 
-@F.pandas_udf("boolean")
-def is_simple(geometries: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """No ring properly crosses itself."""
-    for s in geometries:
-        yield s.map(lambda g: g is None or not any(_crosses_itself(np.array([(p["x"], p["y"]) for p in r], dtype=float)) for poly in g for r in poly if len(r) > 3))
+def is_simple(geometry: str | Column) -> Column:
+    """No ring properly crosses itself; a null geometry is simple."""
+
+    def ring(r) -> np.ndarray:
+        return np.array([(p["x"], p["y"]) for p in r], dtype=float)
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda g: g is None or not any(_crosses_itself(ring(r)) for poly in g for r in poly if len(r) > 3)).astype(bool)
+
+    return F.pandas_udf(run, "boolean")(_col(geometry))
 
 
 def _peucker(xy: np.ndarray, tolerance: float) -> np.ndarray:
@@ -172,13 +178,14 @@ def project(lon: Column, lat: Column) -> Column:
 
 
 def unproject(x: Column, y: Column) -> Column:
-    """struct(x=lon, y=lat) in degrees; the latitude by five steps of its fixed point (below 1e-11 degrees)."""
+    """struct(x=lon, y=lat) in degrees; the latitude by the series of the conformal latitude (below 1e-9 degrees)."""
     dx, dy = x - FALSE_EAST, F.lit(_RHO0) - (y - FALSE_NORTH)
     t = F.pow(F.sqrt(dx * dx + dy * dy) / (SEMI_MAJOR * _F), F.lit(1 / _N))
-    phi = math.pi / 2 - F.atan(t) * 2
-    for _ in range(5):
-        s = F.sin(phi) * _E
-        phi = math.pi / 2 - F.atan(t * F.pow((1 - s) / (1 + s), F.lit(_E / 2))) * 2
+    chi = math.pi / 2 - F.atan(t) * 2
+    e2, e4, e6, e8 = (_E**k for k in (2, 4, 6, 8))
+    phi = chi
+    for k, c in enumerate((e2 / 2 + 5 * e4 / 24 + e6 / 12 + 13 * e8 / 360, 7 * e4 / 48 + 29 * e6 / 240 + 811 * e8 / 11520, 7 * e6 / 120 + 81 * e8 / 1120, 4279 * e8 / 161280), 1):
+        phi = phi + F.sin(chi * (2 * k)) * c
     return F.struct((F.degrees(F.atan2(dx, dy) / _N) + LON_0).alias("x"), F.degrees(phi).alias("y"))
 
 

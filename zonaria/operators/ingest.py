@@ -67,8 +67,8 @@ def normalise_zones(zones: DataFrame, projected: bool = False) -> DataFrame:
     """Zones on the metric grid with area_m2, perimeter_m and the centroid in degrees."""
     d = homologate(zones)
     d = d if projected else d.withColumn("geometry", G.reproject("geometry"))
-    c = G.centroid("geometry")
-    d = d.withColumns({"area_m2": G.area("geometry"), "perimeter_m": G.perimeter("geometry"), "_c": G.unproject(c["x"], c["y"])})
+    d = d.withColumns({"area_m2": G.area("geometry"), "perimeter_m": G.perimeter("geometry"), "_c": G.centroid("geometry")})
+    d = d.withColumn("_c", G.unproject(F.col("_c.x"), F.col("_c.y")))
     return d.withColumns({"centroid_lon": F.col("_c.x"), "centroid_lat": F.col("_c.y")}).drop("_c")
 
 

@@ -132,8 +132,12 @@ def rejected(lines: DataFrame, key: str = "linea_id", text: str = "linea") -> Da
 
 
 def loaded(lines: DataFrame, text: str = "linea") -> DataFrame:
-    """The usable records as typed rows beside the columns that identify the line."""
-    good = parsed(lines, text).filter(F.size("motivos") == 0)
+    """The usable records as typed rows beside the other columns of the line.
+
+    A column of the line that has the name of a field or of a result of
+    ``parsed`` gives way.
+    """
     kinds = {"latitud": "double", "longitud": "double"}
-    names = [c for c in lines.columns if c != text and c not in FIELDS]
+    names = [c for c in lines.columns if c != text and c.lower() not in (*FIELDS, "motivos", "campos")]
+    good = parsed(lines.select(*names, text), text).filter(F.size("motivos") == 0)
     return good.select(*names, *(F.col("campos")[k].cast(kinds.get(f, "string")).alias(f) for k, f in enumerate(FIELDS)))

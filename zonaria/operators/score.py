@@ -165,3 +165,10 @@ def top_bucket(d: DataFrame, column: str, n: int = 12, rest: str = "Otros") -> D
     """``d`` with ``grupo``: the value itself when among the n most frequent (ties by value), else ``rest``."""
     top = d.groupBy(column).count().orderBy(F.desc("count"), column).limit(n).select(F.col(column).alias("_v"))
     return d.join(F.broadcast(top), F.col(column) == F.col("_v"), "left").withColumn("grupo", F.coalesce("_v", F.lit(rest))).drop("_v")
+
+
+def competition_rank(d: DataFrame, value: str, key: str, name: str = "lugar") -> DataFrame:
+    """``d`` with 1 + the number of rows with a larger value; equal values share their place."""
+    r = rank_all(d, value, key, "_n")
+    first = r.groupBy(F.col(value).alias("_v")).agg(F.min("_n").alias(name))
+    return r.join(first, F.col(value).eqNullSafe(F.col("_v"))).drop("_n", "_v")

@@ -130,9 +130,9 @@ def sector_totals(warehouse: DataFrame, sectores: DataFrame, tasks: int | None =
     joined = left.join(right, (F.col("_slot") == F.col("_slot2")) & (F.col("sector_serio") == F.col("_s")), "left")
     per_shard = joined.groupBy("_slot", "sector_serio", "nombre").agg(F.count("*").alias("filas"), F.sum("empleo").alias("empleo_total"))
     totals = materialise(per_shard.groupBy("sector_serio", "nombre").agg(F.sum("filas").alias("filas"), F.sum("empleo_total").alias("empleo_total")))
-    all_rows = totals.agg(F.sum("filas").alias("_n"))
-    share = F.col("filas") / F.col("_n")
-    return totals.join(F.broadcast(all_rows)).select(
+    n = totals.agg(F.sum("filas")).first()[0] or 1
+    share = F.col("filas") / F.lit(n)
+    return totals.select(
         "sector_serio",
         "nombre",
         "filas",

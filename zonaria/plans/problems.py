@@ -71,3 +71,51 @@ def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_loaded, p4_found, p4_report, p5_found, p5_unified, p5_lifespans, p6_found, p7_found, p7_totals)
 }
+
+_CODE = r"nullif(regexp_replace(regexp_replace(upper({}), '^\s+|\s+$', '', 'g'), '\.0$', ''), '')"
+
+
+def _code(c: str) -> str:
+    return _CODE.format(c)
+
+
+_P1 = """
+    r as (select distinct fila_id, lote, n_establecimientos as n, empleo_total as e, n_empleo_faltante as k, omega_metodo as m from warehouse),
+    v as (select lote, 'empleo_total' as columna, e as num, null as txt, e is null as nulo, coalesce(not isnan(e) and not isinf(e) and e >= 0, false) as ok from r
+          union all select lote, 'n_empleo_faltante', k, null, k is null, coalesce(k between 0 and n, false) from r
+          union all select lote, 'omega_metodo', null, m, m is null, coalesce(m in ('empleo', 'establecimientos', 'sin_datos'), false) from r),
+    s as (select lote, columna, count(*) as filas, count(*) filter (nulo) as nulos, count(*) filter (not nulo and not ok) as malos, count(*) filter (ok) as validos, count(distinct coalesce(num::varchar, txt)) as distintos from v group by all),
+    l as (select lote, lag(lote) over (partition by substr(lote, 1, length(lote) - 7) order by lote[-6:]) as anterior from (select distinct lote from v)),
+    b as (select s.*, p.filas as pf, p.nulos as pn, p.validos as pv, l.anterior from s join l using (lote) left join s p on p.lote = l.anterior and p.columna = s.columna),
+    vals as (select b.lote as par, v.columna, num, txt, 1 as a, 0 as c from v join b on b.lote = v.lote and b.columna = v.columna where ok and anterior is not null and validos > 0 and pv > 0
+             union all select b.lote, v.columna, num, txt, 0, 1 from v join b on b.anterior = v.lote and b.columna = v.columna where ok and validos > 0 and pv > 0),
+    g as (select par, columna, num, txt, sum(a) as a, sum(c) as c from vals group by all),
+    cum as (select par, columna, txt, sum(a) over w / sum(a) over t as fa, sum(c) over w / sum(c) over t as fc, a / sum(a) over t as xa, c / sum(c) over t as xc from g
+            window w as (partition by par, columna order by num rows unbounded preceding), t as (partition by par, columna)),
+    d as (select par as lote, columna, case when columna = 'omega_metodo' then sum(abs(xa - xc)) / 2 else max(abs(fa - fc)) end as gap from cum group by par, columna)
+"""
+
+ORACLE: dict[str, str] = {
+    "p1_found": f"""with {_P1}
+        select lote, columna, 'nulos' as hallazgo from b where anterior is not null and nulos / filas - pn / pf > 0.10
+        union all select lote, columna, case when columna = 'omega_metodo' then 'patron' else 'rango' end from b where malos > 0
+        union all select lote, columna, 'constante' from b where distintos = 1
+        union all select lote, columna, 'distribucion' from d where gap > 0.25""",
+    "p4_found": f"""
+        with c as (select distinct fila_id, scian_codigo, sector_serio, vigente_desde, vigente_hasta from crosswalk),
+        t as (select 'sectores' as o, {_code('scian')} as k, vigente_desde as a, vigente_hasta as b from sectores union all
+              select 'crosswalk', {_code('scian_codigo')}, vigente_desde, vigente_hasta from c union all select 'scian', {_code('scian_codigo')}, vigente_desde, vigente_hasta from scian),
+        r as (select distinct 'warehouse' as tabla, 'sector_serio' as campo, 'sectores' as o, periodo, fila_id, {_code('sector_serio')} as k from warehouse union all
+              select distinct 'denue', 'codigo_act', 'crosswalk', periodo, fila_id, {_code('codigo_act')} from denue union all
+              select 'crosswalk', 'sector_serio', 'sectores', strftime(vigente_desde, '%Y-%m'), fila_id, {_code('sector_serio')} from c union all
+              select 'crosswalk', 'scian_codigo', 'scian', strftime(vigente_desde, '%Y-%m'), fila_id, {_code('scian_codigo')} from c),
+        q as (select *, (periodo || '-01')::timestamp as m0, (periodo || '-01')::timestamp + interval 1 month as m1 from r where k is not null),
+        j as (select tabla, campo, periodo, fila_id, count(t.k) as n, count(*) filter (a < m1 and (b is null or b > m0)) as vale, count(*) filter (a < m1) as antes
+              from q left join t on t.o = q.o and t.k = q.k group by all)
+        select tabla, campo, periodo, fila_id, case when n = 0 then 'inexistente' when antes = 0 then 'posterior' else 'retirada' end as motivo from j where vale = 0""",
+    "p7_found": f"""with r as (select distinct fila_id, {_code('sector_serio')} as s from warehouse)
+        select s as sector_serio from r where s is not null group by s having count(*) >= 0.05 * (select count(*) from r)""",
+    "p7_totals": f"""with r as (select distinct fila_id, {_code('sector_serio')} as sector_serio, case when empleo_total is null or isnan(empleo_total) or isinf(empleo_total) or empleo_total < 0 then 0 else empleo_total end as e from warehouse)
+        select r.sector_serio, n.nombre, count(*) as filas, sum(e) as empleo_total, round(count(*) / (select count(*) from r), 9) as proporcion, r.sector_serio is not null and count(*) >= 0.05 * (select count(*) from r) as dominante
+        from r left join (select {_code('scian')} as sector_serio, min(nombre) as nombre from sectores group by 1) n on n.sector_serio = r.sector_serio group by r.sector_serio, n.nombre""",
+}
