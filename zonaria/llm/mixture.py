@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -38,14 +39,33 @@ def encoder(raw: bytes):
     return _encoders[key]
 
 
+# A run of white space this long exhausts the tokenizer's regex engine.
+LONG_SPACE = re.compile("[\\t-\\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
+
+
+def count_tokens(text: str, enc) -> int:
+    """Tokens of a whole text.
+
+    The pattern makes a long run of white space one piece, but for its last
+    character where more text follows; such runs are taken out and encoded as
+    that piece, which gives the same tokens.
+    """
+    n, at = 0, 0
+    for m in LONG_SPACE.finditer(text):
+        n += len(enc.encode_ordinary(text[at : m.start()]))
+        at = m.end() - (m.end() < len(text))
+        n += len(enc._encode_single_piece(text[m.start() : at]))
+    return n + len(enc.encode_ordinary(text[at:]))
+
+
 def token_counts(docs: DataFrame, path: str | None = None, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """(key, source, n_tokens): tokens of every whole text; null and empty texts have none.  Narrow."""
     raw = docs.sparkSession.sparkContext.broadcast(Path(path or vocabulary_path()).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(raw.value).encode_ordinary
+        enc = encoder(raw.value)
         for b in batches:
-            n = pa.array([len(encode(t)) if t else 0 for t in b.column(2).to_pylist()], pa.int64())
+            n = pa.array([count_tokens(t, enc) if t else 0 for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=[key, source, "n_tokens"])
 
     kinds = dict(docs.dtypes)
@@ -113,10 +133,13 @@ def mix(docs: DataFrame, shares: list[Share], key: str = "doc_id", source: str =
 
     Narrow: the rates are broadcast (at most MAX_SOURCES rows) and each row
     decides for itself, so no source, however large, is moved.  Rows without
-    source or of a source without target are not in the mix.
+    source or of a source without target are not in the mix.  A column of the
+    documents that is called ``copia`` is replaced.
     """
-    d = _rated(docs, shares, source).withColumn("_n", copies(key, F.col("tasa"), seed)).filter(F.col("_n") > 0)
-    return d.withColumn("copia", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_n", "tasa")
+    kept = [c for c in docs.columns if c.lower() != "copia"]
+    rows = docs.select(F.struct(*kept).alias("fila"), F.col(source).alias("fuente"), F.col(key).alias("clave"))
+    d = _rated(rows, shares, "fuente").withColumn("veces", copies("clave", F.col("tasa"), seed)).filter("veces > 0")
+    return d.select("fila.*", F.explode(F.sequence(F.lit(1), F.col("veces"))).alias("copia"))
 
 
 def reached(counts: DataFrame, shares: list[Share], key: str = "doc_id", source: str = "source", seed: int = 1) -> DataFrame:
@@ -124,9 +147,9 @@ def reached(counts: DataFrame, shares: list[Share], key: str = "doc_id", source:
     spark = counts.sparkSession
     given = spark.createDataFrame([(s.source, s.weight, s.cap, s.tokens, s.rate) for s in shares], "source string, peso_objetivo double, tope_repeticion int, tokens bigint, tasa double")
     took = _rated(counts, shares, source).groupBy(F.col(source).alias("source")).agg(F.sum(F.col("n_tokens") * copies(key, F.col("tasa"), seed)).alias("tokens_mezcla"))
-    d = given.join(took, "source", "left").withColumn("tokens_mezcla", F.coalesce("tokens_mezcla", F.lit(0)))
-    whole = d.agg(F.sum("tokens_mezcla").alias("_t"))
-    return d.join(F.broadcast(whole)).select(*d.columns, F.when(F.col("_t") > 0, F.col("tokens_mezcla") / F.col("_t")).otherwise(0.0).alias("proporcion"))
+    d = materialise(given.join(took, "source", "left").withColumn("tokens_mezcla", F.coalesce("tokens_mezcla", F.lit(0))))
+    whole = d.agg(F.sum("tokens_mezcla")).first()[0]
+    return d.withColumn("proporcion", F.col("tokens_mezcla") / F.lit(whole) if whole else F.lit(0.0))
 
 
 def mixed(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 1) -> DataFrame:

@@ -35,7 +35,6 @@ LINK = re.compile(r"\\url\s*\{|\\href\s*\{|https?://|(?<![^\W_])www\.")
 TAG = re.compile(r"\\?#[^\W_]")
 CODE = re.compile(r"(?<![^\W_])[A-Z]{2,5}-?\d{3,}(?![^\W_])")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+")
-MATH = re.compile(r"\$[^$]{0,2000}\$|\\\[.{0,4000}?\\\]", re.S)
 BEGIN = re.compile(r"\\begin\{(equation|align|eqnarray|gather|multline|displaymath)\*?\}")
 BODY = re.compile(r"\\begin\s*\{document\}")
 END = re.compile(r"\\end\s*\{document\}")
@@ -60,6 +59,12 @@ def _words(s: str) -> list[str]:
     return [w for w in WORD.findall(s) if w]
 
 
+def _without_math(s: str) -> str:
+    """The text outside pairs of dollar signs; what follows a lone one is text."""
+    parts = s.split("$")
+    return " ".join(parts[::2] if len(parts) % 2 else [*parts[:-1:2], parts[-1]])
+
+
 def units(page: str) -> Iterator[tuple[str, list[str]]]:
     """(kind, words) of each unit; kind ``sin`` is a sentence or list entry without function words."""
     inside = ""
@@ -97,7 +102,7 @@ def units(page: str) -> Iterator[tuple[str, list[str]]]:
                 yield ("etiqueta" if known == 0 and CODE.search(line) else "tabla"), words
                 continue
         for s in SENTENCE.split(low):
-            words = _words(MATH.sub(" ", s)) if "$" in s or "\\[" in s else _words(s)
+            words = _words(_without_math(s)) if "$" in s else _words(s)
             if words:
                 yield ("sin" if FUNCTION_WORDS.isdisjoint(words) else "prosa"), words
 
@@ -245,11 +250,11 @@ def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64())], names=["_k", "_h", "p"])
 
     kinds = dict(docs.dtypes)
-    own = feats.mapInArrow(score, f"_k {kinds[key]}, _h {kinds[host]}, p double")
-    overall = own.agg(F.avg("p").alias("todas"))
+    own = materialise(feats.mapInArrow(score, f"_k {kinds[key]}, _h {kinds[host]}, p double"))
+    overall = F.lit(own.agg(F.avg("p")).first()[0] or 0.0)
     rates = own.filter(F.col("_h").isNotNull()).groupBy("_h").agg(F.sum("p").alias("sp"), F.count("*").alias("n"))
-    d = own.join(rates, "_h", "left").join(F.broadcast(overall))
-    rate = F.when(F.col("n").isNull(), F.col("todas")).otherwise((F.col("sp") + HOST_PRIOR * F.col("todas")) / (F.col("n") + HOST_PRIOR))
+    d = own.join(rates, "_h", "left")
+    rate = F.when(F.col("n").isNull(), overall).otherwise((F.col("sp") + HOST_PRIOR * overall) / (F.col("n") + HOST_PRIOR))
     return d.select(F.col("_k").alias(key), F.col("_h").alias(host), F.col("p").alias("propio"), rate.alias("anfitrion"), ((1 - HOST_WEIGHT) * F.col("p") + HOST_WEIGHT * rate).alias("puntaje"))
 
 
