@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonaria.session import materialise
 from zonaria.sources.tables import deliveries
 
 RESOLUTION = 256  #: buckets per doubling of a value in the two-level running sums
@@ -235,10 +236,10 @@ def warehouse_measures() -> list[Measure]:
 
 
 def warehouse_counts(warehouse: DataFrame) -> tuple[DataFrame, list[Measure]]:
-    """Value counts of the warehouse, repeated deliveries once."""
+    """Value counts of the warehouse, repeated deliveries once; written, as every figure is drawn from them."""
     ms = warehouse_measures()
     rows = deliveries(warehouse, "fila_id", "lote", "n_establecimientos", *(m.name for m in ms))
-    return value_counts(rows, "lote", ms), ms
+    return materialise(value_counts(rows, "lote", ms)), ms
 
 
 def warehouse_findings(warehouse: DataFrame) -> DataFrame:
