@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonaria.functions.codes import norm_code
+from zonaria.session import materialise
 from zonaria.sources.tables import deliveries
 
 HUGE = 1e24  #: weights from here on are summed as doubles, smaller ones as exact decimals
@@ -44,7 +45,7 @@ def leaders(warehouse: DataFrame, zones: int = 5) -> DataFrame:
     """
     rows = deliveries(warehouse, "fila_id", "cvegeo", "sector_serio", "empleo_total").filter(F.col("cvegeo").isNotNull())
     small, huge = _weights("empleo_total")
-    pairs = (
+    pairs = materialise(
         rows.select("cvegeo", norm_code("sector_serio").alias("sector"), small.alias("w"), huge.alias("h"))
         .groupBy("cvegeo", "sector")
         .agg(F.sum("w").alias("w"), F.sum("h").alias("h"))
