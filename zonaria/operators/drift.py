@@ -67,13 +67,13 @@ class Catalogue:
     spans: DataFrame
 
 
-def catalogue(recs: DataFrame) -> Catalogue:
-    """The column lifespan catalogue.  Its rows are files x fields, not records."""
+def catalogue(recs: DataFrame, fields: DataFrame) -> Catalogue:
+    """The column lifespan catalogue from records and their exploded fields.  Its rows are files x fields, not records."""
     by_date = Window.partitionBy("serie").orderBy(F.col("fecha_corte").asc_nulls_first(), "archivo")
     files = recs.groupBy("serie", "archivo").agg(F.min("fecha_corte").alias("fecha_corte"))
     files = files.withColumn("orden", F.row_number().over(by_date)).withColumn("ultimo", F.max("orden").over(Window.partitionBy("serie")))
     files = materialise(files)
-    kinds = exploded(recs).groupBy("serie", "archivo", "campo", "clase").agg(F.count("*").alias("n"))
+    kinds = fields.groupBy("serie", "archivo", "campo", "clase").agg(F.count("*").alias("n"))
     per_field = kinds.groupBy("serie", "archivo", "campo").agg(
         F.min(F.when(F.col("clase").isNotNull(), F.struct((-F.col("n")).alias("n"), "clase")))["clase"].alias("clase"),
         F.sum("n").alias("presentes"),
@@ -94,7 +94,8 @@ def catalogue(recs: DataFrame) -> Catalogue:
 
 def lifespans(entregas: DataFrame) -> DataFrame:
     """(serie, campo, clase, desde_archivo, hasta_archivo, archivos): runs of consecutive files with a field of one kind."""
-    spans = catalogue(records(entregas)).spans
+    recs = records(entregas)
+    spans = catalogue(recs, exploded(recs)).spans
     w = Window.partitionBy("serie", "campo").orderBy("orden")
     new = (F.col("empieza") | ~F.col("clase").eqNullSafe(F.lag("clase").over(w))).cast("int")
     return (
@@ -106,7 +107,7 @@ def lifespans(entregas: DataFrame) -> DataFrame:
     )
 
 
-def renames(recs: DataFrame, cat: Catalogue) -> DataFrame:
+def renames(fields: DataFrame, cat: Catalogue) -> DataFrame:
     """(serie, orden, antes, despues): fields gone in a file whose values live on under a new name.
 
     Candidates are the pairs of an ending and a beginning lifespan in one file;
@@ -118,7 +119,7 @@ def renames(recs: DataFrame, cat: Catalogue) -> DataFrame:
     gone = s.filter(F.col("termina") & (F.col("orden") < F.col("ultimo"))).select("serie", (F.col("orden") + 1).alias("orden"), F.col("campo").alias("antes"))
     new = s.filter(F.col("empieza") & (F.col("orden") > 1)).select("serie", "orden", F.col("campo").alias("despues"))
     pairs = materialise(gone.join(new, ["serie", "orden"]))
-    values = exploded(recs).filter(F.col("est").isNotNull()).join(cat.files.select("serie", "archivo", "orden"), ["serie", "archivo"])
+    values = fields.filter(F.col("est").isNotNull()).join(cat.files.select("serie", "archivo", "orden"), ["serie", "archivo"])
     wanted = (
         pairs.select("serie", (F.col("orden") - 1).alias("orden"), F.col("antes").alias("campo"), F.lit(0).alias("lado"))
         .unionByName(pairs.select("serie", "orden", F.col("despues").alias("campo"), F.lit(1).alias("lado")))
@@ -170,8 +171,9 @@ def _log(cat: Catalogue, named: DataFrame) -> DataFrame:
 def changes(entregas: DataFrame) -> DataFrame:
     """(archivo, cambio, campo_antes, campo_despues): renombrado, eliminado, agregado and tipo, with their file."""
     recs = records(entregas)
-    cat = catalogue(recs)
-    return _log(cat, materialise(renames(recs, cat)))
+    fields = materialise(exploded(recs).drop("registro_id"))
+    cat = catalogue(recs, fields)
+    return _log(cat, materialise(renames(fields, cat)))
 
 
 def _alias_rows(pdf: pd.DataFrame, known: dict[str, str]) -> pd.DataFrame:
@@ -211,12 +213,12 @@ def unified(entregas: DataFrame) -> DataFrame:
     a value counts.  A record without fields has nulls.
     """
     recs = records(entregas)
-    cat = catalogue(recs)
-    names = materialise(alias_table(cat, materialise(renames(recs, cat))))
+    fields = materialise(exploded(recs))
+    cat = catalogue(recs, fields)
+    names = materialise(alias_table(cat, materialise(renames(fields, cat))))
     files = cat.files.select("serie", "archivo", "orden")
     v = (
-        exploded(recs)
-        .filter(F.col("valor").isNotNull())
+        fields.filter(F.col("valor").isNotNull())
         .join(files, ["serie", "archivo"])
         .join(names, ["serie", "orden", "campo"])
         .groupBy("registro_id", "serie", "archivo", "constante")
