@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,11 +97,11 @@ def is_simple(geometry: str | Column) -> Column:
     def ring(r) -> np.ndarray:
         return np.array([(p["x"], p["y"]) for p in r], dtype=float)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            yield s.map(lambda g: g is None or not any(_crosses_itself(ring(r)) for poly in g for r in poly if len(r) > 3)).astype(bool)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield pa.array([g is None or not any(_crosses_itself(ring(r)) for poly in g for r in poly if len(r) > 3) for g in a.to_pylist()], pa.bool_())
 
-    return F.pandas_udf(run, "boolean")(_col(geometry))
+    return F.arrow_udf(run, "boolean")(_col(geometry))
 
 
 def _peucker(xy: np.ndarray, tolerance: float) -> np.ndarray:
@@ -128,20 +128,23 @@ def simplify(geometry: str | Column, tolerance: float) -> Column:
     Rings are simplified one by one, so neighbours may part along a common edge.
     """
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def one(ring):
-            xy = np.array([(p["x"], p["y"]) for p in ring], dtype=float)
-            if len(xy) < 4:
-                return ring
-            if not (xy[0] == xy[-1]).all():
-                xy = np.vstack([xy, xy[:1]])
-            new = _peucker(xy, tolerance)
-            return [{"x": float(x), "y": float(y)} for x, y in (new if len(new) >= 4 else xy)]
+    def one(ring: list) -> list:
+        xy = np.array([(p["x"], p["y"]) for p in ring], dtype=float)
+        if len(xy) < 4:
+            return ring
+        if not (xy[0] == xy[-1]).all():
+            xy = np.vstack([xy, xy[:1]])
+        new = _peucker(xy, tolerance)
+        return [{"x": float(x), "y": float(y)} for x, y in (new if len(new) >= 4 else xy)]
 
-        for s in batches:
-            yield s.map(lambda g: None if g is None else [[one(r) for r in poly] for poly in g])
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kind = pa.list_(pa.list_(pa.list_(point)))
 
-    return F.pandas_udf(run, GEOMETRY)(_col(geometry))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for a in batches:
+            yield pa.array([None if g is None else [[one(r) for r in poly] for poly in g] for g in a.to_pylist()], kind)
+
+    return F.arrow_udf(run, GEOMETRY)(_col(geometry))
 
 
 # The Lambert conformal conic of the Mexican grid (EPSG:6372) on the GRS 80 ellipsoid.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from decimal import Decimal
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -131,18 +131,18 @@ def contiguity(zones: DataFrame, criterion: str = "queen", id_col: str = "cvegeo
     pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
     ga, gb = z.select(F.col("id").alias("a"), F.col("geometry").alias("ga")), z.select(F.col("id").alias("b"), F.col("geometry").alias("gb"))
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             keep = []
-            for p, q in zip(pdf["ga"], pdf["gb"], strict=True):
+            for p, q in zip(b.column("ga").to_pylist(), b.column("gb").to_pylist(), strict=True):
                 e, f = _oriented(p), _oriented(q)
                 both = _exact(e + f)
                 touches, length = relate(both[: len(e)], both[len(e) :])
                 keep.append(touches and (criterion == "queen" or length > 0))
-            yield pdf.loc[keep, ["a", "b"]]
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = dict(z.dtypes)["id"]
-    touching = pairs.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInPandas(compare, f"a {kind}, b {kind}")
+    touching = pairs.join(ga, "a").join(gb, "b").select("a", "b", "ga", "gb").mapInArrow(compare, f"a {kind}, b {kind}")
     return touching.select(F.inline(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))))
 
 

@@ -19,6 +19,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -288,17 +289,19 @@ def covers(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return inside | border
 
 
-def _contained(points: pd.DataFrame, zones: pd.DataFrame) -> pd.DataFrame:
-    pts = points.sort_values(["z", "id"])
+PAIRS = pa.schema([("clave_1", pa.string()), ("clave_2", pa.string())])
+
+
+def _contained(points: pa.Table, zones: pa.Table) -> pa.Table:
+    pts = points.to_pandas().sort_values(["z", "id"])
     ids, x, y = pts["id"].to_numpy(dtype=object), pts["x"].to_numpy(), pts["y"].to_numpy()
-    found: list[pd.DataFrame] = []
+    found: list[pa.Table] = []
     if not len(pts):
-        zones = zones.iloc[:0]
-    else:
-        boxes = _Boxes(x, y, _depth(len(pts)))
-        x0, x1, y0, y1 = boxes.levels[-1]
-        group = np.arange(len(pts)) // SMALL
-    for zona, geometry in zip(zones["zona"], zones["geometry"], strict=True):
+        return PAIRS.empty_table()
+    boxes = _Boxes(x, y, _depth(len(pts)))
+    x0, x1, y0, y1 = boxes.levels[-1]
+    group = np.arange(len(pts)) // SMALL
+    for zona, geometry in zip(zones["zona"].to_pylist(), zones["geometry"].to_pylist(), strict=True):
         hit = np.zeros(len(pts), dtype=bool)
         for polygon in geometry:
             edges = _edges(polygon if polygon is not None else [])
@@ -319,8 +322,8 @@ def _contained(points: pd.DataFrame, zones: pd.DataFrame) -> pd.DataFrame:
             if len(at):
                 hit[at] |= covers(edges, x[at], y[at])
         if hit.any():
-            found.append(pd.DataFrame({"clave_1": ids[hit], "clave_2": zona}))
-    return pd.concat(found) if found else pd.DataFrame({"clave_1": pd.Series(dtype=object), "clave_2": pd.Series(dtype=object)})
+            found.append(pa.Table.from_arrays([pa.array(ids[hit], pa.string()), pa.array([zona] * int(hit.sum()), pa.string())], schema=PAIRS))
+    return pa.concat_tables(found) if found else PAIRS.empty_table()
 
 
 def points_in_zones(tree: Tree, zones: DataFrame) -> DataFrame:
@@ -341,7 +344,7 @@ def points_in_zones(tree: Tree, zones: DataFrame) -> DataFrame:
     return (
         pts.groupBy("hoja", "parte")
         .cogroup(sides.groupBy("z_hoja", "z_parte"))
-        .applyInPandas(_contained, "clave_1 string, clave_2 string")
+        .applyInArrow(_contained, "clave_1 string, clave_2 string")
         .distinct()
     )
 
