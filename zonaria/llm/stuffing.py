@@ -32,6 +32,7 @@ FUNCTION_WORDS = frozenset(
 )
 WORD = re.compile(r"\\[^\W\d_]+|([^\W_]+)")
 LINK = re.compile(r"\\url\s*\{|\\href\s*\{|https?://|(?<![^\W_])www\.")
+ADDRESS = re.compile(r"(?:https?://|(?<![^\W_])www\.)[^\s{}]*")
 TAG = re.compile(r"\\?#[^\W_]")
 CODE = re.compile(r"(?<![^\W_])[A-Z]{2,5}-?\d{3,}(?![^\W_])")
 SENTENCE = re.compile(r"(?<=[.!?;])\s+")
@@ -88,7 +89,7 @@ def units(page: str) -> Iterator[tuple[str, list[str]]]:
         cited = "\\bibitem" in low
         if linked or tags or row or cited:
             words = _words(low)
-            known = sum(map(FUNCTION_WORDS.__contains__, words))
+            known = sum(map(FUNCTION_WORDS.__contains__, _words(ADDRESS.sub(" ", low)) if linked else words))
             if linked and known * 8 <= len(words):
                 yield "enlace", words
                 continue
