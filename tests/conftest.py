@@ -16,7 +16,7 @@ def spark():
     s = build_session(
         "local[4]",
         "tests",
-        spark__sql__shuffle__partitions="4",
+        spark__sql__shuffle__partitions="2",
         spark__ui__enabled="false",
         spark__driver__memory="3g",
         spark__ui__showConsoleProgress="false",

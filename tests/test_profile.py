@@ -99,7 +99,7 @@ def test_repeated_rows_count_once_and_thresholds_are_strict(spark):
 values = st.sampled_from([None, 0.0, -0.0, 1.0, 2.5, 2.5, 8.0, -1.0, math.nan, math.inf, 1e300])
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(st.tuples(values, st.sampled_from([None, -1, 0, 1, 6]), st.sampled_from([None, "", "empleo", "sin_datos", "x"]), st.sampled_from(["A-202101", "A-202102", "A-202105"]), st.sampled_from([None, 5])), min_size=1, max_size=30))
 def test_against_brute_force(spark, items):
     rows = [row(i, l, e, f, m, n) for i, (e, f, m, l, n) in enumerate(items)]
