@@ -16,9 +16,9 @@ BLANK_STATES = ("REVIEW_REQUIRED", "OUT_OF_SCOPE", "PENDING")
 MASTER_RULES = (
     # confidence, needs review -> state, mapping, evidence, priority
     ("alta", "no", "VERIFIED", "EXACT", "OFFICIAL", "LOW"),
-    ("media", "no", "VERIFIED", "EXACT", "MANUAL", "MEDIUM"),
-    ("media", "si", "REVIEW_REQUIRED", "PARTIAL", "INFERRED", "MEDIUM"),
-    ("baja", "si", "REVIEW_REQUIRED", "PARTIAL", "INFERRED", "HIGH"),
+    ("media", "no", "VERIFIED", "EXACT", "EXPERT", "MEDIUM"),
+    ("media", "si", "REVIEW_REQUIRED", "PARTIAL", "EXPERT", "HIGH"),
+    ("baja", "si", "REVIEW_REQUIRED", "AMBIGUOUS", "EXPERT", "HIGH"),
 )
 
 

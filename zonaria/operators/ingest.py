@@ -14,12 +14,12 @@ from zonaria.report import Report
 
 # Column names under which a register may bring each field, in order of preference, and its box.
 DENUE_ALIASES = {
-    "id": ("id", "clee", "id_denue"),
-    "nombre": ("nom_estab", "nombre"),
-    "scian": ("codigo_act", "scian", "codigo_scian"),
-    "lat": ("latitud", "lat", "latitude"),
-    "lon": ("longitud", "lon", "lng", "longitude"),
-    "per_ocu": ("per_ocu", "personal_ocupado", "estrato"),
+    "id": ("id", "clee", "id_denue", "folio"),
+    "nombre": ("nom_estab", "nombre", "nombre_establecimiento"),
+    "scian": ("codigo_act", "scian", "clase_actividad", "cod_scian", "codigo_scian"),
+    "lat": ("latitud", "lat", "y"),
+    "lon": ("longitud", "lon", "lng", "x"),
+    "per_ocu": ("per_ocu", "personal_ocupado", "estrato_personal"),
 }
 LAT_RANGE, LON_RANGE = (14.0, 33.0), (-119.0, -86.0)
 
