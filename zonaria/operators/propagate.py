@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonaria.errors import AlignmentError, InvalidRhoError, SingularOperatorError
+from zonaria.operators.graph import row_sums
 from zonaria.session import materialise
 
 DENSE_NODES = 5_000  #: nodes up to which the system is solved densely in one task per (scenario, rho)
@@ -48,10 +49,20 @@ def _matrix(ids: Sequence, edges: pd.DataFrame) -> np.ndarray:
 
 
 def spectral_radius(nodes: DataFrame, w: DataFrame, steps: int = 100) -> float:
-    """Largest absolute eigenvalue: exact up to DENSE_NODES, else by the growth of a power iteration of joins."""
+    """Largest absolute eigenvalue of W.
+
+    1 for a symmetric graph with row sums of one: a node's neighbours lead
+    back to it, so every component with an edge is a row-stochastic block.
+    Otherwise exact up to DENSE_NODES, else by the growth of a power iteration
+    of joins.
+    """
     n = nodes.count()
-    if n == 0:
+    if n == 0 or not w.limit(1).count():
         return 0.0
+    if not w.filter("w < 0").limit(1).count() and not row_sums(w).limit(1).count():
+        back = w.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        if not w.join(back, ["src", "dst"], "left_anti").limit(1).count():
+            return 1.0
     if n <= DENSE_NODES:
         ids = [r["id"] for r in nodes.select("id").collect()]
         e = w.toPandas()
@@ -104,9 +115,11 @@ def neumann(nodes: DataFrame, w: DataFrame, s: DataFrame, rho: float, terms: int
     return state.select("id", "y"), k, fixed
 
 
-def solve_dense(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: DataFrame) -> DataFrame:
+def solve_dense(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: DataFrame, condition: bool = True) -> DataFrame:
     """(escenario, rho, id, y, condicion): one dense solve per row of (escenario, rho); ``s`` is (escenario, id, s).
 
+    The condition number costs far more than the solve; without it, it is null.
+
     For graphs of at most DENSE_NODES nodes: a scenario's vector and the edges
     meet in one task per (scenario, rho), so a sweep runs in parallel.
     """
@@ -119,8 +132,8 @@ def solve_dense(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: DataFrame) -
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         a = np.eye(len(pdf)) - float(pdf["rho"].iloc[0]) * _matrix(pdf["id"].tolist(), edges.value)
-        cond = float(np.linalg.cond(a))
-        y = np.linalg.solve(a, pdf["s"].to_numpy()) if cond <= CONDITION else np.full(len(pdf), np.nan)
+        cond = float(np.linalg.cond(a)) if condition else None
+        y = np.linalg.solve(a, pdf["s"].to_numpy()) if cond is None or cond <= CONDITION else np.full(len(pdf), np.nan)
         return pd.DataFrame({"escenario": pdf["escenario"], "rho": pdf["rho"], "id": pdf["id"], "y": y, "condicion": cond})
 
     return keyed.groupBy("escenario", "rho").applyInPandas(run, f"escenario {kinds['escenario']}, rho double, id {kinds['id']}, y double, condicion double")
@@ -186,7 +199,7 @@ def sweep(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float]) -
 
 def _distances(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float], target: float) -> list[tuple[float, float, float]]:
     grid = nodes.sparkSession.createDataFrame([(0, float(r)) for r in rhos], "escenario int, rho double")
-    y = solve_dense(nodes, w, s.select(F.lit(0).alias("escenario"), "id", "s"), grid).select("rho", "id", "y")
+    y = materialise(solve_dense(nodes, w, s.select(F.lit(0).alias("escenario"), "id", "s"), grid, condition=False).select("rho", "id", "y"))
     mean = y.groupBy("rho").agg(F.avg("y").alias("m"), F.count("*").alias("n"))
     d = materialise(y.join(mean, "rho").select("rho", "id", (F.col("y") - F.col("m")).alias("d"), "n"))
     num = w.join(d.select("rho", F.col("id").alias("src"), F.col("d").alias("di")), "src").join(d.select("rho", F.col("id").alias("dst"), F.col("d").alias("dj")), ["rho", "dst"])
