@@ -199,7 +199,7 @@ def findings(counts: DataFrame, measures: Sequence[Measure], load: str, null_ste
     equal to the threshold is no finding.  Rows without load belong to none.
     """
     counts = counts.filter(F.col(load).isNotNull())
-    both = with_previous(profile(counts, load), load)
+    both = materialise(with_previous(profile(counts, load), load))
     big = lambda c: F.col(c).cast("decimal(16,0)")
     step = F.lit(null_step).cast("decimal(4,3)")
     more_nulls = big("nulos") * big("p_filas") - big("p_nulos") * big("filas") > step * (big("filas") * big("p_filas"))
