@@ -485,3 +485,20 @@ def test_streaming(spark, raw, grid, flat, weighted, tmp_path, rows):
         q.awaitTermination(120)
     cols = ["cvegeo", "sector_serio", "n_establecimientos", "empleo_total", "omega_metodo"]
     assert rows(stream.current(spark, str(tmp_path / "out")), *cols) == rows(weighted, *cols)
+
+
+def test_small_helpers(spark):
+    from pyspark.sql import functions as F
+
+    from zonaria.functions import formatting
+
+    assert score.sweep_points(0, 0.95, 3) == [0.0, 0.475, 0.95]
+    with pytest.raises(ValueError):
+        score.sweep_points(0, 1, 3)
+    s = score.sweep_summary(spark.createDataFrame([(0.1, 1.1), (0.2, 1.5), (0.3, math.nan)], "rho double, multiplicador double")).first()
+    assert (s["minimo"], s["maximo"], s["rango"]) == pytest.approx((1.1, 1.5, 0.4))
+    d = score.dominant_share(spark.createDataFrame([(4.0, 1.0), (0.0, 0.0)], "peso_total double, sector_peso double"))
+    assert [r["concentracion"] for r in d.collect()] == [25.0, 0.0]
+    t = spark.createDataFrame([(1234567.0,), (-2500.0,), (12.0,), (None,)], "v double").select(formatting.compact("v").alias("c"), formatting.percent("v").alias("p")).collect()
+    assert [r["c"] for r in t] == ["1.2M", "-2.5K", "12.0", "—"] and t[2]["p"] == "12.0%"
+    assert spark.range(1, 5).select(formatting.palette(F.col("id"), ["a", "b", "c"]).alias("k")).agg(F.concat_ws("", F.collect_list("k"))).first()[0] == "abca"

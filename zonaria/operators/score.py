@@ -172,3 +172,21 @@ def competition_rank(d: DataFrame, value: str, key: str, name: str = "lugar") ->
     r = rank_all(d, value, key, "_n")
     first = r.groupBy(F.col(value).alias("_v")).agg(F.min("_n").alias(name))
     return r.join(first, F.col(value).eqNullSafe(F.col("_v"))).drop("_n", "_v")
+
+
+def sweep_points(low: float, high: float, n: int) -> list[float]:
+    """3 to 15 even values of rho inside [0, 0.95], to four decimals."""
+    if not 0 <= low < high <= 0.95 or not 3 <= n <= 15:
+        raise ValueError("rho between 0 and 0.95, 3 to 15 points")
+    return [round(low + (high - low) * k / (n - 1), 4) for k in range(n)]
+
+
+def sweep_summary(sweep: DataFrame) -> DataFrame:
+    """One row: smallest and largest multiplier and their distance; NaN doesn't count."""
+    m = F.nanvl("multiplicador", F.lit(None))
+    return sweep.agg(F.min(m).alias("minimo"), F.max(m).alias("maximo")).withColumn("rango", F.col("maximo") - F.col("minimo"))
+
+
+def dominant_share(u: DataFrame) -> DataFrame:
+    """``u`` with ``concentracion``: the dominant sector's part of the zone's weight in percent, 0 without weight."""
+    return u.withColumn("concentracion", F.when(F.col("peso_total") > 0, F.col("sector_peso") / F.col("peso_total") * 100).otherwise(0.0))
