@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonaria import errors
 from zonaria.errors import require
+from zonaria.operators.ingest import with_unique
 from zonaria.report import Report
 
 # Levels of the code by number of digits, states, evidence, mappings and priorities of a row.
@@ -45,9 +46,9 @@ def tag_flat(rows: DataFrame, universe: DataFrame) -> DataFrame:
             "chk_code_present": code.isNotNull(),
             "chk_code_six_digits": F.coalesce(code.rlike(r"\A[0-9]{6}\z"), F.lit(False)),
             "chk_sector_present": sector.isNotNull(),
-            "chk_code_unique": code.isNull() | (F.count("*").over(Window.partitionBy(code)) == 1),
         }
     )
+    d = with_unique(d, code, "chk_code_unique", null_unique=True)
     checks = [c for c in d.columns if c.startswith("chk_")]
     ok = F.lit(True)
     for c in checks:
@@ -87,12 +88,11 @@ def tag_authoring(rows: DataFrame, universe: DataFrame) -> DataFrame:
     for n, name in LEVELS.items():
         digits = F.when(F.col("level") == name, n).otherwise(digits)
     d = _known(F.trim("sector"), universe, d, "_known")
-    many = F.count_if(numeric).over(Window.partitionBy(code)) > 1
+    d = with_unique(d, F.when(numeric, code), "chk_unique", null_unique=True)
     d = d.withColumns(
         {
             "chk_numeric": numeric,
             "chk_length": F.coalesce(F.length(code) == digits, F.lit(False)),
-            "chk_unique": ~(numeric & many),
             "chk_sector": F.col("_known") | ~_filled("sector"),
             "chk_state": state_ok(),
         }

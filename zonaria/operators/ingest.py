@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonaria.errors import ContractError, require
@@ -35,9 +35,18 @@ def homologate(df: DataFrame) -> DataFrame:
     return df.toDF(*(c.strip().lower() for c in df.columns))
 
 
-def _unique(key: Column) -> Column:
-    """Rows whose key occurs once; nulls are each other's repeats."""
-    return F.count("*").over(Window.partitionBy(key)) == 1
+def with_unique(df: DataFrame, key: Column, name: str, null_unique: bool | None = None) -> DataFrame:
+    """``df`` with the boolean ``name``: the row's key occurs once.
+
+    Nulls are each other's repeats, unless ``null_unique`` says otherwise.  The
+    repeated keys are counted by an aggregate and joined back: a window would
+    bring all rows of a hot key, or all nulls, into one task.
+    """
+    if null_unique is None:
+        null_unique = df.filter(key.isNull()).limit(2).count() == 1
+    again = df.filter(key.isNotNull()).groupBy(key.alias("_key")).agg(F.count("*").alias("_times")).filter("_times > 1").select("_key")
+    unique = F.when(key.isNull(), F.lit(null_unique)).otherwise(F.col("_key").isNull())
+    return df.join(again, key == F.col("_key"), "left").withColumn(name, unique).drop("_key")
 
 
 def _all_of(checks: Sequence[str]) -> Column:
@@ -59,7 +68,7 @@ def tag_zones(zones: DataFrame, id_col: str = "cvegeo") -> DataFrame:
     d = d.withColumn("chk_is_valid", F.coalesce(F.col("chk_not_empty") & G.rings_closed("geometry") & G.is_simple("geometry"), F.lit(False)))
     d = d.withColumn("chk_type_ok", F.coalesce(F.exists("geometry", lambda poly: F.size(poly) > 0), F.lit(False)))
     d = d.withColumn("chk_area_positive", F.col("chk_is_valid") & F.coalesce(G.area("geometry") > 0, F.lit(False)))
-    d = d.withColumn("chk_id_unique", _unique(F.col(id_col)) if id_col in zones.columns else F.lit(False))
+    d = with_unique(d, F.col(id_col), "chk_id_unique") if id_col in zones.columns else d.withColumn("chk_id_unique", F.lit(False))
     return d.withColumn("_valid_geometry", _all_of([c for c in d.columns if c.startswith("chk_")]))
 
 
@@ -88,9 +97,9 @@ def tag_establishments(raw: DataFrame) -> DataFrame:
             "chk_lat_range": within(lat, LAT_RANGE),
             "chk_lon_range": within(lon, LON_RANGE),
             "chk_scian_present": F.coalesce(code != "", F.lit(False)),
-            "chk_id_unique": _unique(F.col(at["id"])) if at["id"] else F.lit(False),
         }
     )
+    d = with_unique(d, F.col(at["id"]), "chk_id_unique") if at["id"] else d.withColumn("chk_id_unique", F.lit(False))
     return d.withColumn("_valid", _all_of([c for c in d.columns if c.startswith("chk_")]))
 
 

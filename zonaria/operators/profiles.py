@@ -69,6 +69,17 @@ def rank_all(d: DataFrame, value: str, key: str, name: str, parts: int | None =
     return placed.join(starts, "_p").withColumn(name, F.col("_o") + F.col("_i") + 1).drop("_p", "_i", "_o")
 
 
+def _leaders(u: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """(keys, agebs_principales): the heaviest zones of each group, ties by zone.
+
+    The rank is filtered where it is made, so a group of any size leaves each
+    task as ``top`` rows.
+    """
+    r = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("peso_total"), "cvegeo"))
+    best = u.select(*keys, "cvegeo", "peso_total").withColumn("_r", r).filter(F.col("_r") <= top)
+    return best.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "cvegeo"))), lambda x: x["cvegeo"]).alias("agebs_principales"))
+
+
 def municipality_profiles(u: DataFrame, edges: DataFrame | None = None, simulation: DataFrame | None = None, top: int = 5) -> DataFrame:
     """(entidad, municipio, n_agebs, sectores, comunidades, peso_total, participacion_pct, peso_medio, agebs_principales[, impacto_*]).
 
@@ -76,19 +87,17 @@ def municipality_profiles(u: DataFrame, edges: DataFrame | None = None, simulati
     impacto_indirecto) the sums of impacts, null where no zone has one.
     """
     d = u if simulation is None else u.join(simulation, "cvegeo", "left")
-    ranked = d.withColumn("_r", F.row_number().over(Window.partitionBy("entidad", "municipio").orderBy(F.desc("peso_total"), "cvegeo")))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "cvegeo")))), lambda x: x["cvegeo"])
     impact = [] if simulation is None else [F.sum(c).alias(c) for c in ("shock_directo", "impacto_propagado", "impacto_indirecto")]
-    return ranked.groupBy("entidad", "municipio").agg(
+    agg = d.groupBy("entidad", "municipio").agg(
         F.count("*").alias("n_agebs"),
         F.array_sort(F.collect_set("sector_dominante")).alias("sectores"),
         F.array_sort(F.collect_set("cluster_id")).alias("comunidades"),
         F.sum("peso_total").alias("peso_total"),
         F.sum("participacion_pct").alias("participacion_pct"),
         F.avg("peso_total").alias("peso_medio"),
-        first.alias("agebs_principales"),
         *impact,
     )
+    return agg.join(_leaders(u, ["entidad", "municipio"], top), ["entidad", "municipio"])
 
 
 def community_profiles(u: DataFrame, granular: DataFrame, communities: DataFrame, top: int = 5) -> DataFrame:
@@ -100,15 +109,12 @@ def community_profiles(u: DataFrame, granular: DataFrame, communities: DataFrame
     """
     name = F.min("nombre") if "nombre" in communities.columns else F.min("sector")
     meta = communities.groupBy("cluster_id").agg(name.alias("nombre"), F.count("sector").alias("n_sectores"))
-    ranked = u.withColumn("_r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("peso_total"), "cvegeo")))
-    first = F.transform(F.array_sort(F.collect_list(F.when(F.col("_r") <= top, F.struct("_r", "cvegeo")))), lambda x: x["cvegeo"])
-    agg = ranked.groupBy("cluster_id").agg(
-        F.count("*").alias("n_agebs"), F.sum("peso_total").alias("peso_total"), F.array_sort(F.collect_set(F.concat("entidad", "municipio"))).alias("municipios"), first.alias("agebs_principales")
-    )
+    agg = u.groupBy("cluster_id").agg(F.count("*").alias("n_agebs"), F.sum("peso_total").alias("peso_total"), F.array_sort(F.collect_set(F.concat("entidad", "municipio"))).alias("municipios"))
     fine = granular.groupBy("cluster_id").agg(F.sum("peso").alias("peso_granular"))
     none = F.array().cast("array<string>")
     return (
         meta.join(agg, "cluster_id", "left")
+        .join(_leaders(u, ["cluster_id"], top), "cluster_id", "left")
         .join(fine, "cluster_id", "left")
         .na.fill(0, ["n_agebs", "peso_total", "peso_granular"])
         .withColumns({"municipios": F.coalesce("municipios", none), "agebs_principales": F.coalesce("agebs_principales", none)})
