@@ -1,6 +1,6 @@
 """Points near other points or inside regions, by a dual-tree join.
 
-The points are sorted along a Z-order curve and cut into leaves of equal size;
+The points are sorted along a Hilbert curve and cut into leaves of equal size;
 leaves form nodes, nodes form nodes of nodes.  Each node knows its bounding box
 (all of it DataFrames: a level has one row per node).  The join descends both
 trees level by level with equi-joins on the parents: pairs of nodes too far
@@ -30,31 +30,37 @@ LEAF_BITS = 10  #: points per leaf: 2 ** LEAF_BITS
 ROW_BITS = 33  #: bits of the row number in monotonically_increasing_id
 FAN_BITS = 5  #: nodes per parent above the partitions: 2 ** FAN_BITS
 NODE_POINTS = 1 << 16  #: points per partition of the sort
-PARTNERS = 4  #: leaves compared with a leaf in one task
+PARTNERS = 8  #: leaves compared with a leaf in one task
 ZONES = 64  #: regions compared with a leaf in one task
-SMALL = 32  #: points per leaf of a task's own trees
+SMALL = 16  #: points per leaf of a task's own trees
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``points``: (hoja, id, x, y).  ``levels``: (nodo, padre, box), the root's children first, the leaves last."""
+    """``points``: (hoja, id, x, y, z).  ``levels``: (nodo, padre, box), the root's children first, the leaves last."""
 
     points: DataFrame
     levels: list[DataFrame]
 
 
-def _spread(c: Column) -> Column:
-    """The low 24 bits of ``c`` with a free bit after each."""
-    for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
-        c = c.bitwiseOR(F.shiftleft(c, shift)).bitwiseAND(F.lit(mask))
-    return c
+def hilbert(x: np.ndarray, y: np.ndarray, bits: int = 24) -> np.ndarray:
+    """Place of longitudes and latitudes on a Hilbert curve; neighbours on it are neighbours on the ground."""
+    side = (1 << bits) - 1
+    a = np.clip((x + 180) / 360 * side, 0, side).astype(np.int64)
+    b = np.clip((y + 90) / 180 * side, 0, side).astype(np.int64)
+    place = np.zeros(len(a), dtype=np.int64)
+    for k in range(bits - 1, -1, -1):
+        right, upper = a >> k & 1, b >> k & 1
+        place = place << 2 | (3 * right ^ upper)
+        turn = (upper == 0) & (right == 1)
+        a, b = np.where(turn, side - a, a), np.where(turn, side - b, b)
+        a, b = np.where(upper == 1, a, b), np.where(upper == 1, b, a)
+    return place
 
 
-def z_order(x: str, y: str) -> Column:
-    """Place of a longitude and latitude on a Z-order curve with 24 bits each."""
-    cell = lambda c, low, width: F.floor((F.col(c) - low) / width * ((1 << 24) - 1)).cast("bigint")
-    return _spread(cell(x, -180.0, 360.0)).bitwiseOR(F.shiftleft(_spread(cell(y, -90.0, 180.0)), 1))
+def curve(x: str, y: str) -> Column:
+    return F.pandas_udf(lambda a, b: pd.Series(hilbert(a.to_numpy(), b.to_numpy())), "bigint")(F.col(x), F.col(y))
 
 
 def build_tree(points: DataFrame) -> Tree:
@@ -64,8 +70,8 @@ def build_tree(points: DataFrame) -> Tree:
     if n > NODE_POINTS:
         parts = max(parts, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     row = F.monotonically_increasing_id()
-    pts = points.select("id", "x", "y", z_order("x", "y").alias("z")).repartitionByRange(parts, "z", "id").sortWithinPartitions("z", "id")
-    pts = materialise(pts.select(F.shiftright(row, LEAF_BITS).alias("hoja"), "id", "x", "y"))
+    pts = points.select("id", "x", "y", curve("x", "y").alias("z")).repartitionByRange(parts, "z", "id").sortWithinPartitions("z", "id")
+    pts = materialise(pts.select(F.shiftright(row, LEAF_BITS).alias("hoja"), "id", "x", "y", "z"))
     box = (F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
     up = (F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
     leaves = materialise(pts.groupBy("hoja").agg(*box).select(F.col("hoja").alias("nodo"), F.shiftright("hoja", ROW_BITS - LEAF_BITS).alias("padre"), *BOX))
@@ -131,13 +137,15 @@ def leaf_pairs(tree: Tree, metres: float) -> DataFrame:
 
 
 class _Boxes:
-    """A task's own tree: points in Z-order padded to SMALL * 2 ** depth, with boxes per level."""
+    """A task's own tree: points in curve order padded to SMALL * 2 ** depth, with boxes per level."""
 
     def __init__(self, x: np.ndarray, y: np.ndarray, depth: int):
         size = SMALL << depth
         self.n = len(x)
         pad = np.minimum(np.arange(size), self.n - 1)
         self.x, self.y = x[pad], y[pad]
+        lon, lat = np.radians(self.x), np.radians(self.y)
+        self.unit = np.stack([np.cos(lat) * np.cos(lon), np.cos(lat) * np.sin(lon), np.sin(lat)])
         self.levels = []
         for d in range(depth + 1):
             gx, gy = self.x.reshape(1 << d, -1), self.y.reshape(1 << d, -1)
@@ -186,13 +194,16 @@ def _near(left: _Boxes, right: _Boxes, metres: float, same: bool) -> Iterator[tu
             if same:
                 i, j = i[i <= j], j[i <= j]
     span = np.arange(SMALL)
+    chord = 4 * _limit(metres) * (1 + 1e-6) + 1e-15  # squared, with room for rounding; the sphere decides below
     for at in range(0, len(i), 256):
-        p = (i[at : at + 256, None] * SMALL + span)[:, :, None]
-        q = (j[at : at + 256, None] * SMALL + span)[:, None, :]
+        p, q = i[at : at + 256, None] * SMALL + span, j[at : at + 256, None] * SMALL + span
+        square = sum((u[p][:, :, None] - v[q][:, None, :]) ** 2 for u, v in zip(left.unit, right.unit, strict=True))
+        k, m, n = np.nonzero(square <= chord)
+        p, q = keep(p[k, m], q[k, n])
         y1, y2 = np.radians(left.y[p]), np.radians(right.y[q])
         h = np.sin((y2 - y1) / 2) ** 2 + np.cos(y1) * np.cos(y2) * np.sin(np.radians(right.x[q] - left.x[p]) / 2) ** 2
-        k, m, n = np.nonzero(2 * RADIUS_M * np.arcsin(np.sqrt(h)) <= metres)
-        yield keep(p[k, m, 0], q[k, 0, n])
+        near = 2 * RADIUS_M * np.arcsin(np.sqrt(h)) <= metres
+        yield p[near], q[near]
 
 
 def _ordered(ids_a: np.ndarray, ids_b: np.ndarray) -> pd.DataFrame:
@@ -202,25 +213,30 @@ def _ordered(ids_a: np.ndarray, ids_b: np.ndarray) -> pd.DataFrame:
 
 
 def _refine(pdf: pd.DataFrame, metres: float) -> pd.DataFrame:
-    own = pdf["propio"].to_numpy()
-    home, halo = pdf[own == 1].drop_duplicates(["id", "x", "y"]).sort_values(["z", "id"]), pdf[own == 0].sort_values(["z", "id"])
+    own = pdf["propio"].to_numpy() == 1
+    z, x, y, ids = (pdf[c].to_numpy() for c in ("z", "x", "y", "id"))
+
+    def side(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.flatnonzero(which)
+        at = at[np.argsort(z[at], kind="stable")]
+        return ids[at], x[at], y[at]
+
+    (home, hx, hy), (halo, ox, oy) = side(own), side(~own)
     parts = []
-    ids = home["id"].to_numpy(dtype=object)
-    if len(home) and (pdf["consigo"] == 1).any():
-        t = _Boxes(home["x"].to_numpy(), home["y"].to_numpy(), _depth(len(home)))
-        parts += [_ordered(ids[p], ids[q]) for p, q in _near(t, t, metres, True) if len(p)]
+    if len(home) and (pdf["consigo"].to_numpy() == 1).any():
+        t = _Boxes(hx, hy, _depth(len(home)))
+        parts += [_ordered(home[p], home[q]) for p, q in _near(t, t, metres, True) if len(p)]
     if len(home) and len(halo):
         d = _depth(max(len(home), len(halo)))
-        a, b = (_Boxes(s["x"].to_numpy(), s["y"].to_numpy(), d) for s in (home, halo))
-        others = halo["id"].to_numpy(dtype=object)
-        parts += [_ordered(ids[p], others[q]) for p, q in _near(a, b, metres, False) if len(p)]
+        a, b = _Boxes(hx, hy, d), _Boxes(ox, oy, d)
+        parts += [_ordered(home[p], halo[q]) for p, q in _near(a, b, metres, False) if len(p)]
     return pd.concat(parts) if parts else pd.DataFrame({"clave_1": pd.Series(dtype=object), "clave_2": pd.Series(dtype=object)})
 
 
 def near_pairs(tree: Tree, metres: float) -> DataFrame:
     """(clave_1, clave_2): each pair of different ids with points at most ``metres`` apart, the smaller id first, once."""
     pairs = leaf_pairs(tree, metres)
-    pts = tree.points.withColumn("z", z_order("x", "y"))
+    pts = tree.points
     numbered = pairs.filter(~F.col("seguro")).withColumn("parte", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PARTNERS))
     numbered = materialise(numbered)
     reach = 1.001 * math.degrees(metres / RADIUS_M)
@@ -271,38 +287,42 @@ def _exact_sign(values: tuple[float, ...]) -> int:
 
 def covers(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Which points lie inside (an odd number of rings) or on an edge; no tolerance, doubtful signs are taken exactly."""
-    inside, border = np.zeros(len(x), dtype=bool), np.zeros(len(x), dtype=bool)
-    for x1, y1, x2, y2 in edges:
-        straddles = (y1 > y) != (y2 > y)
-        boxed = (np.minimum(x1, x2) <= x) & (x <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= y) & (y <= np.maximum(y1, y2))
-        at = np.flatnonzero(straddles | boxed)
-        if not len(at):
-            continue
-        px, py = x[at], y[at]
-        cross = (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
-        sign = np.sign(cross).astype(int)
-        scale = (abs(x1) + abs(x2) + abs(y1) + abs(y2)) * (abs(x2 - x1) + abs(y2 - y1) + abs(px - x1) + abs(py - y1))
-        for k in np.flatnonzero(abs(cross) <= 1e-14 * scale):
-            sign[k] = _exact_sign((x1, y1, x2, y2, px[k], py[k]))
-        border[at] |= (sign == 0) & boxed[at]
-        inside[at] ^= straddles[at] & ((sign > 0) == (y2 > y1))
-    return inside | border
+    out = np.zeros(len(x), dtype=bool)
+    x1, y1, x2, y2 = edges.T[:, :, None]
+    low_x, high_x, low_y, high_y = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
+    dx, dy, up = x2 - x1, y2 - y1, y2 > y1
+    size = abs(x1) + abs(x2) + abs(y1) + abs(y2)
+    step = max(1, 1_000_000 // len(edges))
+    for at in range(0, len(x), step):
+        px, py = x[at : at + step], y[at : at + step]
+        straddles = (y1 > py) != (y2 > py)
+        boxed = (low_x <= px) & (px <= high_x) & (low_y <= py) & (py <= high_y)
+        fx, fy = px - x1, py - y1
+        cross = dx * fy - dy * fx
+        sign = np.sign(cross)
+        doubt = (straddles | boxed) & (abs(cross) <= 1e-14 * size * (abs(dx) + abs(dy) + abs(fx) + abs(fy)))
+        for e, k in zip(*np.nonzero(doubt), strict=True):
+            sign[e, k] = _exact_sign((*edges[e], px[k], py[k]))
+        border = ((sign == 0) & boxed).any(0)
+        odd = (straddles & ((sign > 0) == up)).sum(0) % 2 == 1
+        out[at : at + step] = odd | border
+    return out
 
 
 PAIRS = pa.schema([("clave_1", pa.string()), ("clave_2", pa.string())])
 
 
 def _contained(points: pa.Table, zones: pa.Table) -> pa.Table:
-    pts = points.to_pandas().sort_values(["z", "id"])
-    ids, x, y = pts["id"].to_numpy(dtype=object), pts["x"].to_numpy(), pts["y"].to_numpy()
     found: list[pa.Table] = []
-    if not len(pts):
+    if not len(points):
         return PAIRS.empty_table()
-    boxes = _Boxes(x, y, _depth(len(pts)))
+    order = np.argsort(points["z"].to_numpy(), kind="stable")
+    ids, x, y = points["id"].to_numpy(zero_copy_only=False)[order], points["x"].to_numpy()[order], points["y"].to_numpy()[order]
+    boxes = _Boxes(x, y, _depth(len(ids)))
     x0, x1, y0, y1 = boxes.levels[-1]
-    group = np.arange(len(pts)) // SMALL
+    group = np.arange(len(ids)) // SMALL
     for zona, geometry in zip(zones["zona"].to_pylist(), zones["geometry"].to_pylist(), strict=True):
-        hit = np.zeros(len(pts), dtype=bool)
+        hit = np.zeros(len(ids), dtype=bool)
         for polygon in geometry:
             edges = _edges(polygon if polygon is not None else [])
             if not len(edges):
@@ -311,14 +331,16 @@ def _contained(points: pa.Table, zones: pa.Table) -> pa.Table:
             ey0, ey1 = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
             alive = (x1 >= ex0.min()) & (x0 <= ex1.max()) & (y1 >= ey0.min()) & (y0 <= ey1.max())
             touched = np.zeros(len(x0), dtype=bool)
-            for k in np.flatnonzero(alive):
-                touched[k] = bool(((ex0 <= x1[k]) & (ex1 >= x0[k]) & (ey0 <= y1[k]) & (ey1 >= y0[k])).any())
+            for part in np.array_split(np.flatnonzero(alive), 1 + len(edges) * int(alive.sum()) // 1_000_000):
+                a, b, c, d = (v[part, None] for v in (x0, x1, y0, y1))
+                touched[part] = ((ex0 <= b) & (ex1 >= a) & (ey0 <= d) & (ey1 >= c)).any(1)
             whole = np.flatnonzero(alive & ~touched)  # no edge meets the node: all of it is in or out
             if len(whole):
                 took = np.zeros(len(x0), dtype=bool)
                 took[whole] = covers(edges, boxes.x[whole * SMALL], boxes.y[whole * SMALL])
                 hit |= took[group]
-            at = np.flatnonzero((alive & touched)[group])
+            boxed = (x >= ex0.min()) & (x <= ex1.max()) & (y >= ey0.min()) & (y <= ey1.max())
+            at = np.flatnonzero((alive & touched)[group] & boxed)
             if len(at):
                 hit[at] |= covers(edges, x[at], y[at])
         if hit.any():
@@ -340,7 +362,7 @@ def points_in_zones(tree: Tree, zones: DataFrame) -> DataFrame:
     parted = met.withColumn("parte", F.floor((F.row_number().over(Window.partitionBy("hoja").orderBy("zona")) - 1) / ZONES))
     parted = materialise(parted.select("hoja", "parte", F.col("zona.zona").alias("zona"), F.col("zona.forma").alias("forma")))
     sides = parted.join(shapes, ["zona", "forma"]).select(F.col("hoja").alias("z_hoja"), F.col("parte").alias("z_parte"), "zona", "geometry")
-    pts = tree.points.withColumn("z", z_order("x", "y")).join(parted.select("hoja", "parte").distinct(), "hoja")
+    pts = tree.points.join(parted.select("hoja", "parte").distinct(), "hoja")
     return (
         pts.groupBy("hoja", "parte")
         .cogroup(sides.groupBy("z_hoja", "z_parte"))
