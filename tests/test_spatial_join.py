@@ -85,3 +85,12 @@ def test_neighbours_with_clashing_columns(spark):
     got = {tuple(r) for r in J.neighbours(points(spark, pts), zones(spark, [("A", [[SQUARE]])])).collect()}
     assert got == {("zona", "a", "A"), ("zona", "b", "A"), ("cerca", "a", "b")}
     assert J.neighbours(points(spark, []), zones(spark, [])).count() == 0
+
+
+def test_hilbert_curve_visits_neighbours():
+    g = np.arange(16)
+    cx, cy = (c.ravel() for c in np.meshgrid(g, g))
+    place = J.hilbert(cx / 15 * 360 - 180 + 1e-9, cy / 15 * 180 - 90 + 1e-9, 4)
+    order = np.argsort(place)
+    assert sorted(place) == list(range(256))
+    assert (np.abs(np.diff(cx[order])) + np.abs(np.diff(cy[order])) == 1).all()
