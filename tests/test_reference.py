@@ -281,6 +281,27 @@ def test_moran_and_calibration(spark):
     assert got["convergio"] and got["diferencia"] < 0.01 and got["n_rho_evaluados"] == 26
 
 
+@pytest.mark.parametrize("series_rows", [300_000, 0])
+def test_sweep_and_calibration_beyond_the_dense_solve(spark, monkeypatch, series_rows):
+    monkeypatch.setattr(propagate, "SERIES_ROWS", series_rows)
+    ids = "abcde"
+    nodes, _, w = graph_of(spark, [("a", "b"), ("b", "c"), ("c", "d")], ids)
+    vec, rhos = np.array([100.0, 0, 0, 5, 3]), [0.0, 0.35, -0.5]
+    s = propagate.align(nodes, spark.createDataFrame(list(zip(ids, map(float, vec), strict=True)), "id string, s double"))
+    exact = {r: np.linalg.solve(np.eye(5) - r * dense(ids, w), vec) for r in rhos}
+    target = spark.createDataFrame(list(zip(ids, map(float, np.linalg.solve(np.eye(5) - 0.3 * dense(ids, w), vec)), strict=True)), "id string, v double")
+    want = propagate.calibrate(nodes, w, s, target, low=-0.2, high=0.4, coarse=3, fine=3)
+    monkeypatch.setattr(propagate, "DENSE_NODES", 3)
+    table, bad = propagate.sweep(nodes, w, s, [*rhos, 2.0])
+    got = table.collect()
+    assert [r["rho"] for r in got] == sorted(rhos) and list(bad) == [2.0]
+    assert [r["suma_Y"] for r in got] == pytest.approx([exact[r].sum() for r in sorted(rhos)], rel=1e-8)
+    y = {(r["rho"], r["id"]): r["y"] for r in propagate.neumann_grid(w, s, rhos).collect()}
+    assert y == pytest.approx({(r, i): exact[r][k] for r in rhos for k, i in enumerate(ids)}, rel=1e-8)
+    series = propagate.calibrate(nodes, w, s, target, low=-0.2, high=0.4, coarse=3, fine=3)
+    assert series["rho"] == want["rho"] and series["i_modelo"] == pytest.approx(want["i_modelo"]) and series["n_rho_evaluados"] == want["n_rho_evaluados"]
+
+
 def io(spark):
     a = spark.createDataFrame([("N", i, j, v) for (i, j), v in {("x", "x"): .2, ("x", "y"): .3, ("y", "x"): .1, ("y", "y"): .1}.items()] + [("S", "x", "x", .5)], "state string, i string, j string, a double")
     vec = spark.createDataFrame([("N", "x", 10.0, .4, 2.0), ("N", "y", 0.0, .5, 1.0), ("S", "x", 5.0, 0.0, 1.0)], "state string, sector string, x double, v double, e double")

@@ -15,6 +15,7 @@ from zonaria.operators.graph import row_sums
 from zonaria.session import materialise
 
 DENSE_NODES = 5_000  #: nodes up to which the system is solved densely in one task per (scenario, rho)
+SERIES_ROWS = 300_000  #: nodes, and edges, up to which the series runs in one task; beyond them by joins
 CONDITION = 1e12
 UNROLL = 5  #: iterations between cuts of the lineage
 NOTE = "rho is calibrated on the observed pattern, not causally estimated"
@@ -115,6 +116,91 @@ def neumann(nodes: DataFrame, w: DataFrame, s: DataFrame, rho: float, terms: int
     return state.select("id", "y"), k, fixed
 
 
+def _tail(w: DataFrame, largest: float) -> float:
+    """A bound below 1 on how much a term of the series shrinks per step, by the row sums of |W|; inf where they give none."""
+    rows = w.groupBy("src").agg(F.sum(F.abs("w")).alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0.0
+    # Row sums of one carry rounding errors.
+    q = largest * (1.0 if abs(rows - 1) < 1e-9 else rows)
+    return q if q < 1 else math.inf
+
+
+def _done(term: float, before: float, base: float, q: float, steps: int, tolerance: float) -> bool:
+    """Whether the terms after one of size ``term`` sum to less than ``tolerance`` of ``base``; ``before`` is ``steps`` earlier."""
+    shrink = q if q < 1 else (term / before) ** (1 / steps)
+    return not term or (shrink < 1 and term * shrink / (1 - shrink) <= tolerance * base)
+
+
+def neumann_grid(w: DataFrame, s: DataFrame, rhos: Sequence[float], tolerance: float = 1e-10) -> DataFrame:
+    """(rho, id, y) of every rho in one series: each W^k S is made once and added to every rho's sum.
+
+    It ends when all that is still missing is below ``tolerance`` times the
+    largest |S|, however many terms that takes; terms that don't shrink raise.
+    Graphs of at most SERIES_ROWS nodes and edges fit in one task, larger ones
+    take joins.
+    """
+    rhos = [float(r) for r in dict.fromkeys(rhos)]
+    largest = max(map(abs, rhos), default=0.0)
+    base = s.agg(F.max(F.abs("s")).alias("m")).first()["m"] or 0.0
+    q = _tail(w, largest)
+    small = max(d.limit(SERIES_ROWS + 1).count() for d in (w, s)) <= SERIES_ROWS
+    y = (_series_task if small else _series_joins)(w, s, rhos, largest, base, q, tolerance) if largest and base else s.select("id", F.array(*(F.col("s") for _ in rhos)).alias("y"))
+    each = F.array(*(F.struct(F.lit(r).alias("rho"), F.col("y")[i].alias("y")) for i, r in enumerate(rhos)))
+    return y.select("id", F.explode(each).alias("_g")).select("_g.rho", "id", "_g.y")
+
+
+def _series_task(w: DataFrame, s: DataFrame, rhos: list[float], largest: float, base: float, q: float, tolerance: float) -> DataFrame:
+    """(id, y): an array with the sum of each rho."""
+    edges = w.sparkSession.sparkContext.broadcast(w.select("src", "dst", "w").toPandas())
+    condition = CONDITION
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, e = pd.Index(pdf["id"]), edges.value
+        src, dst, weight = at.get_indexer(e["src"]), at.get_indexer(e["dst"]), e["w"].to_numpy(dtype=float) * largest
+        known = (src >= 0) & (dst >= 0)
+        src, dst, weight = src[known], dst[known], weight[known]
+        v = pdf["s"].to_numpy(dtype=float)
+        y, ratio = np.tile(v, (len(rhos), 1)), np.array(rhos) / largest
+        c, term, low, stalled = np.ones(len(rhos)), base, base, 0
+        while True:
+            v = np.bincount(src, weight * v[dst], minlength=len(v))
+            c = c * ratio
+            y += c[:, None] * v
+            before, term = term, float(np.abs(v).max())
+            if _done(term, before, base, q, 1, tolerance):
+                break
+            stalled, low = (0, term) if term < low else (stalled + 1, low)
+            if not term <= condition * base or (q >= 1 and stalled >= 40 * UNROLL):
+                y[:] = np.nan
+                break
+        return pd.DataFrame({"id": pdf["id"], "y": list(y.T)})
+
+    y = materialise(s.select(F.lit(0).alias("_g"), "id", "s").groupBy("_g").applyInPandas(run, f"id {dict(s.dtypes)['id']}, y array<double>"))
+    if y.filter(F.exists("y", lambda a: F.isnan(F.coalesce(a, F.lit(math.nan))))).limit(1).count():  # Arrow makes NaN null
+        raise SingularOperatorError("the series has not converged")
+    return y
+
+
+def _series_joins(w: DataFrame, s: DataFrame, rhos: list[float], largest: float, base: float, q: float, tolerance: float) -> DataFrame:
+    """(id, y) as in _series_task; ``c`` holds the powers of each rho, so that every block of steps is the same code."""
+    ratio = F.array(*(F.lit(r / largest) for r in rhos))
+    state = s.select("id", F.col("s").alias("v"), F.array(*(F.lit(1.0) for _ in rhos)).alias("c"), F.array(*(F.col("s") for _ in rhos)).alias("y"))
+    edges = w.select("src", "dst", (F.col("w") * largest).alias("w"))
+    k, term, low, stalled = 0, base, base, 0
+    while True:
+        for _ in range(UNROLL):
+            p = edges.join(state.select(F.col("id").alias("dst"), "v"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(F.col("w") * F.col("v")).alias("_n"))
+            state = state.join(p, "id", "left").select("id", F.coalesce("_n", F.lit(0.0)).alias("v"), F.zip_with("c", ratio, lambda a, b: a * b).alias("c"), "y")
+            state = state.select("id", "v", "c", F.zip_with("y", "c", lambda a, b: a + b * F.col("v")).alias("y"))
+        k += UNROLL
+        state = materialise(state)
+        before, term = term, state.agg(F.max(F.abs("v")).alias("m")).first()["m"] or 0.0
+        if _done(term, before, base, q, UNROLL, tolerance):
+            return state.select("id", "y")
+        stalled, low = (0, term) if term < low else (stalled + 1, low)
+        if not term <= CONDITION * base or (q >= 1 and stalled >= 40):
+            raise SingularOperatorError(f"the series has not converged after {k} terms")
+
+
 def solve_dense(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: DataFrame, condition: bool = True) -> DataFrame:
     """(escenario, rho, id, y, condicion): one dense solve per row of (escenario, rho); ``s`` is (escenario, id, s).
 
@@ -180,17 +266,29 @@ def morans_i(nodes: DataFrame, w: DataFrame, values: DataFrame) -> DataFrame:
     return k(num).join(k(den), "_k").select(i.alias("i"))
 
 
+def _solutions(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float], condition: bool) -> DataFrame:
+    """(rho, id, y, condicion): dense solves up to DENSE_NODES nodes, beyond them the series, which has no condition number."""
+    if not rhos:
+        return s.select(F.lit(0.0).alias("rho"), "id", F.col("s").alias("y"), F.lit(None).cast("double").alias("condicion")).limit(0)
+    if nodes.limit(DENSE_NODES + 1).count() > DENSE_NODES:
+        return neumann_grid(w, s, rhos).withColumn("condicion", F.lit(None).cast("double"))
+    grid = nodes.sparkSession.createDataFrame([(0, float(r)) for r in rhos], "escenario int, rho double")
+    return solve_dense(nodes, w, s.select(F.lit(0).alias("escenario"), "id", "s"), grid, condition).select("rho", "id", "y", "condicion")
+
+
 def sweep(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float]) -> tuple[DataFrame, dict[float, str]]:
-    """((rho, suma_S, suma_Y, multiplicador, condicion) by rho, {rho: error}); S and W are read once."""
+    """((rho, suma_S, suma_Y, multiplicador, condicion) by rho, {rho: error}); S and W are read once.
+
+    condicion is null above DENSE_NODES nodes.
+    """
     radius = spectral_radius(nodes, w)
     good, bad = [], {}
     for r in rhos:
         try:
-            good.append((0, check_rho(r, radius)))
+            good.append(check_rho(r, radius))
         except InvalidRhoError as e:
             bad[r] = str(e)
-    grid = nodes.sparkSession.createDataFrame(good, "escenario int, rho double")
-    y = solve_dense(nodes, w, s.select(F.lit(0).alias("escenario"), "id", "s"), grid)
+    y = _solutions(nodes, w, s, good, condition=True)
     total = s.agg(F.sum("s").alias("t")).first()["t"] or 0.0
     out = y.groupBy("rho").agg(F.lit(total).alias("suma_S"), F.sum("y").alias("suma_Y"), F.max("condicion").alias("condicion"))
     ratio = F.when(F.abs("suma_S") > 1e-12, F.col("suma_Y") / F.col("suma_S")).otherwise(F.lit(float("nan")))
@@ -198,8 +296,7 @@ def sweep(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float]) -
 
 
 def _distances(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float], target: float) -> list[tuple[float, float, float]]:
-    grid = nodes.sparkSession.createDataFrame([(0, float(r)) for r in rhos], "escenario int, rho double")
-    y = materialise(solve_dense(nodes, w, s.select(F.lit(0).alias("escenario"), "id", "s"), grid, condition=False).select("rho", "id", "y"))
+    y = materialise(_solutions(nodes, w, s, rhos, condition=False).select("rho", "id", "y"))
     mean = y.groupBy("rho").agg(F.avg("y").alias("m"), F.count("*").alias("n"))
     d = materialise(y.join(mean, "rho").select("rho", "id", (F.col("y") - F.col("m")).alias("d"), "n"))
     num = w.join(d.select("rho", F.col("id").alias("src"), F.col("d").alias("di")), "src").join(d.select("rho", F.col("id").alias("dst"), F.col("d").alias("dj")), ["rho", "dst"])
@@ -217,7 +314,7 @@ def _distances(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[floa
 def calibrate(nodes: DataFrame, w: DataFrame, s: DataFrame, observed: DataFrame, low: float = -0.95, high: float = 0.95, coarse: int = 15, fine: int = 11) -> dict:
     """The rho whose propagated pattern has the observed Moran's I: a coarse grid, then a fine one around its best.
 
-    Every grid is one job with a task per rho.  Ties go to the coarse grid,
+    Every grid is one job with a task per rho, or one series above DENSE_NODES nodes.  Ties go to the coarse grid,
     then the smaller rho; values that aren't valid are passed over.
     """
     radius = spectral_radius(nodes, w)
