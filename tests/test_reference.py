@@ -10,6 +10,7 @@ from zonaria.operators import allocate as al
 from zonaria.operators import clusters, dissolve, graph, ingest, leontief, profiles, propagate, scenario, score
 from zonaria.operators import crosswalk as cw
 from zonaria.operators import warehouse as wh
+from zonaria.plans import reference
 from zonaria.report import Report
 from zonaria.service import Service, serve
 from zonaria.sources import files
@@ -363,6 +364,20 @@ def test_communities(spark):
     assert sim == {("a", "b"), ("b", "a")}
 
 
+def test_sector_communities_of_all_states(spark, tmp_path):
+    rows = [(1, "0100100010001", "A", 2, 5.0, 0), (2, "0100100010001", "B", 3, 5.0, 0), (3, "0200100010001", "B", 1, 5.0, 0), (4, "0200100010001", "C", 4, 5.0, 0)]
+    spark.createDataFrame(rows, "fila_id long, cvegeo string, sector_serio string, n_establecimientos long, empleo_total double, n_empleo_faltante long").write.parquet(f"{tmp_path}/warehouse.parquet")
+    spark.createDataFrame([(k, c, c.lower()) for k, c in enumerate("ABC")], "indice int, scian string, nombre string").write.parquet(f"{tmp_path}/sectores.parquet")
+    got = reference.sector_communities(spark, str(tmp_path)).collect()
+    assert sorted(r["sector"] for r in got) == ["A", "B", "C"]
+    z = np.array([[4, 6, 0], [6, 10, 4], [0, 4, 16.0]])
+    inv = np.linalg.inv(np.eye(3) - 0.5 * z / z.sum(axis=0))
+    fl = inv.sum(axis=1) / inv.sum(axis=1).mean()
+    assert sum(r["fl_media"] for r in got) == pytest.approx(fl.sum(), abs=1e-5)
+    for r in got:
+        assert r["fl_media"] == pytest.approx(np.mean([fl["ABC".index(x["sector"])] for x in got if x["cluster_id"] == r["cluster_id"]]), abs=1e-5)
+
+
 def test_profiles_and_scores(spark):
     w = spark.createDataFrame(
         [("0900200010010", "S1", 3, 6.0, 0), ("0900200010010", "S2", 2, 4.0, 0), ("0900200010020", "S2", 5, 0.0, 5), ("0900300010010", "S3", 1, 1.0, 0), ("01", "S9", 1, 1.0, 0)],

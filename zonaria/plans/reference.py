@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonaria.functions import geometry as G
@@ -501,12 +501,17 @@ _IO = f"""{_W}, fl as (select substr(a.cvegeo, 1, 2) as state, a.sector_serio as
                    case when sum(empleo_total) > 0 then sum(n_establecimientos)::double / sum(empleo_total) else 0.0 end as e from agg group by all)"""
 
 
+def _flows(w: DataFrame, state: Column) -> DataFrame:
+    """(state, i, j, z) from the condensed warehouse."""
+    a = w.select("cvegeo", F.col("sector_serio").alias("i"), F.col("n_establecimientos").alias("ni"))
+    b = w.select("cvegeo", F.col("sector_serio").alias("j"), F.col("n_establecimientos").alias("nj"))
+    return a.join(b, "cvegeo").groupBy(state.alias("state"), "i", "j").agg(F.sum(F.col("ni") * F.col("nj")).cast("double").alias("z"))
+
+
 def _io(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(A, L, vectors): sectors that share zones buy from each other; a state is an entity."""
     w = materialise(wh.condense(table(spark, d, "warehouse")))
-    a = w.select("cvegeo", F.col("sector_serio").alias("i"), F.col("n_establecimientos").alias("ni"))
-    b = w.select("cvegeo", F.col("sector_serio").alias("j"), F.col("n_establecimientos").alias("nj"))
-    flows = a.join(b, "cvegeo").groupBy(F.substring("cvegeo", 1, 2).alias("state"), "i", "j").agg(F.sum(F.col("ni") * F.col("nj")).cast("double").alias("z"))
+    flows = _flows(w, F.substring("cvegeo", 1, 2))
     coef = materialise(leontief.coefficients(flows, 0.5))
     x, n = F.sum("empleo_total"), F.sum("n_establecimientos")
     vec = w.groupBy(F.substring("cvegeo", 1, 2).alias("state"), F.col("sector_serio").alias("sector")).agg(x.alias("x"), F.when(x > 0, 0.4).otherwise(0.0).alias("v"), F.when(x > 0, n / x).otherwise(0.0).alias("e"))
@@ -573,13 +578,12 @@ def state_summary(spark, d):
 
 @query()
 def sector_communities(spark, d):
-    """Partition of one state's sectors; tested by modularity and partition properties, as labels are no part of the result."""
-    _, m, _ = _io(spark, d)
-    first = m.agg(F.min("state")).first()[0]
-    one = m.filter(F.col("state") == first)
-    sim = materialise(clusters.largest_component(materialise(clusters.similarity(one.select("i", "j", "l")))))
+    """Partition of the sectors by the national matrix, the flows of all states; tested by modularity and partition properties, as labels are no part of the result."""
+    flows = _flows(materialise(wh.condense(table(spark, d, "warehouse"))), F.lit("nacional"))
+    m = materialise(leontief.inverse(leontief.coefficients(flows, 0.5)))
+    sim = materialise(clusters.largest_component(materialise(clusters.similarity(m.select("i", "j", "l")))))
     names = table(spark, d, "sectores").select(F.col("scian").alias("sector"), "nombre")
-    return clusters.communities(spark, sim, leontief.linkages(one).drop("state"), names)
+    return clusters.communities(spark, sim, leontief.linkages(m).drop("state"), names)
 
 
 # ---- profiles -------------------------------------------------------------
