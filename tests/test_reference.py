@@ -303,6 +303,20 @@ def test_sweep_and_calibration_beyond_the_dense_solve(spark, monkeypatch, series
     assert series["rho"] == want["rho"] and series["i_modelo"] == pytest.approx(want["i_modelo"]) and series["n_rho_evaluados"] == want["n_rho_evaluados"]
 
 
+def test_the_series_takes_all_its_terms_or_raises(spark, monkeypatch):
+    monkeypatch.setattr(propagate, "DENSE_NODES", 1)
+    nodes, _, w = graph_of(spark, [("a", "b")], "ab")
+    s = propagate.align(nodes, spark.createDataFrame([("a", 1.0)], "id string, s double"))
+    got = {r["id"]: r["y"] for r in propagate.propagate(nodes, w, s, 0.93).collect()}
+    assert got == pytest.approx({"a": 1 / (1 - 0.93**2), "b": 0.93 / (1 - 0.93**2)}, rel=1e-8)
+    got = {r["id"]: r["y"] for r in propagate.propagate(nodes, w, s, 0.99).collect()}
+    assert got == pytest.approx({"a": 1 / (1 - 0.99**2), "b": 0.99 / (1 - 0.99**2)}, rel=1e-8)
+    for rows in (300_000, 0):
+        monkeypatch.setattr(propagate, "SERIES_ROWS", rows)
+        with pytest.raises(errors.SingularOperatorError):
+            propagate.propagate(nodes, w.withColumn("w", w["w"] * 20), s, 0.9)
+
+
 def io(spark):
     a = spark.createDataFrame([("N", i, j, v) for (i, j), v in {("x", "x"): .2, ("x", "y"): .3, ("y", "x"): .1, ("y", "y"): .1}.items()] + [("S", "x", "x", .5)], "state string, i string, j string, a double")
     vec = spark.createDataFrame([("N", "x", 10.0, .4, 2.0), ("N", "y", 0.0, .5, 1.0), ("S", "x", 5.0, 0.0, 1.0)], "state string, sector string, x double, v double, e double")

@@ -228,6 +228,7 @@ def solve_dense(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: DataFrame, c
 def propagate(nodes: DataFrame, w: DataFrame, s: DataFrame, rho: float) -> DataFrame:
     """(id, s, y, indirecto, isla): exact for small graphs, by the Neumann series for large ones.
 
+    The series takes as many terms as rho needs, and raises where it doesn't converge.
     An island keeps y = s.  ``s`` is (id, s) aligned to the nodes.
     """
     check_rho(rho)
@@ -240,7 +241,7 @@ def propagate(nodes: DataFrame, w: DataFrame, s: DataFrame, rho: float) -> DataF
             raise SingularOperatorError(f"condition number {worst:.3g}")
         y = y.select("id", "y")
     else:
-        y, _, _ = neumann(nodes, w, s, rho)
+        y = neumann_grid(w, s, [rho]).select("id", "y")
     has = w.select(F.col("src").alias("id")).distinct().withColumn("_e", F.lit(True))
     d = s.join(y, "id").join(has, "id", "left")
     return d.select("id", "s", "y", (F.col("y") - F.col("s")).alias("indirecto"), F.col("_e").isNull().alias("isla"))
