@@ -76,3 +76,9 @@ def test_cleaned(spark):
     assert got[4] is None and got[5] == "" and got[3] == CASES[2][1] and got[7] == CASES[7][1]
     assert got[9] == "A partir de aquí hay texto propio y luego . Y más texto propio que no sale de ninguna parte ni de nadie"
     assert got[6] == "x " * 200_000 + "." + " y" * 200_000
+
+
+def test_items_shorter_than_the_default_length(spark):
+    docs = spark.createDataFrame([(1, "x a b c d e f y"), (2, "a b c d")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "a b c d e f"), (8, "a b c d")], "item_id long, text string")
+    assert [tuple(r) for r in L.leaks(docs, items, length=5).collect()] == [(1, 7, 2, 6)]

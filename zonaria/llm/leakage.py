@@ -135,12 +135,12 @@ class Automaton:
         return {k: v[:2] for k, v in found.items()}, spans
 
 
-def blocks(items: DataFrame, ident: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
+def blocks(items: DataFrame, ident: str, text: str, length: int = LENGTH) -> Iterator[list[tuple[int, list[str]]]]:
     """The test items in blocks of at most BLOCK_WORDS words (or one item), read one partition at a time."""
     block, n = [], 0
     for r in items.select(ident, text).filter(F.col(ident).isNotNull()).toLocalIterator():
         w = words(r[text])
-        if len(w) < LENGTH:
+        if len(w) < length:
             continue
         if block and n + len(w) > BLOCK_WORDS:
             yield block
@@ -164,7 +164,7 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     kinds = dict(docs.dtypes)
     schema = f"`{key}` {kinds[key]}, item_id bigint, ventanas int, tramo int"
     out = None
-    for block in blocks(items, ident, item_text):
+    for block in blocks(items, ident, item_text, length):
         shared = spark.sparkContext.broadcast(Automaton(block, length))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
