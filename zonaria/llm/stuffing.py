@@ -1,15 +1,17 @@
 """Keyword-stuffed pages, link lists and product tags: bagged decision trees over content and link features.
 
-Every page is cut into units (lines, sentences, list entries) and each unit is
-prose, formula, table, reference, link entry, tag list or repeated keywords.
-Shares of words by kind of unit, with repetition and link figures, are the
-page's features.  Weak labels come from the units, trees are trained on a
-bounded sample of weakly labelled pages, every page is scored, and the score is
-smoothed by the spam rate of the page's host.
+Two views of a page are kept apart.  The *features* are counts over its words,
+links and marks; they know nothing of what a line is.  The *units* (lines,
+sentences, list entries) are prose, formula, table, reference, link entry, tag
+list or repeated keywords, and the share of words in spam units gives the weak
+label.  Trees learn the labels of a bounded sample from the features alone,
+score every page, and the score is smoothed by the spam rate of the page's
+host.  The pages that the smoothed score names are then counted exactly.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from zonaria.session import materialise
@@ -39,11 +41,19 @@ SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 BEGIN = re.compile(r"\\begin\{(equation|align|eqnarray|gather|multline|displaymath)\*?\}")
 BODY = re.compile(r"\\begin\s*\{document\}")
 END = re.compile(r"\\end\s*\{document\}")
-
-FEATURES = ("spam", "enlace", "etiqueta", "clave", "prosa", "cita", "tabla", "funcion", "enlaces", "distintas", "bigrama", "compresion", "palabras")
-SAMPLE = 20_000  #: weakly labelled pages the trees are trained on, at most
-TREES, DEPTH, LEAST = 15, 5, 5
-HOST_WEIGHT, HOST_PRIOR = 0.1, 20.0
+STOP = re.compile(r"[.!?](?:\s|$)")
+
+FEATURES = (
+    "funcion", "tramo_corto", "tramo_largo", "pares", "distintas", "compresion", "enlaces", "direccion", "etiquetas",
+    "codigos", "columnas", "formulas", "citas", "cifras", "frases", "letras", "palabras",
+)
+SAMPLE = 20_000  #: pages the trees are trained on: about as many, picked by a hash of the key
+TREES, DEPTH, LEAST = 25, 6, 3
+BLENDS = 0.25  #: blended rows per sampled page
+HOST_PRIOR = 20.0  #: pages with the overall rate that every host is given
+HOST_LIMIT = 2.0  #: largest change of a page's log odds by its host
+CANDIDATE = 0.1  #: smoothed score from which a page is counted exactly
+ODDS = 6.0  #: log odds of a page lie between -ODDS and ODDS
 REPEATS = 3  #: times a word pair must occur on a page to count as repeated
 
 
@@ -108,64 +118,92 @@ def units(page: str) -> Iterator[tuple[str, list[str]]]:
                 yield ("sin" if FUNCTION_WORDS.isdisjoint(words) else "prosa"), words
 
 
-def features(text: str | None) -> list[float]:
-    """FEATURES of a page; a page without words has zeros.
+def spam_share(text: str | None) -> float:
+    """The share of a page's words in spam units; 0 for a page without words.
 
     A unit without function words counts as keywords when at least a third of
     its word pairs occur REPEATS times among such units, else as prose (titles,
     names).
     """
-    page = body(text or "")
-    share: Counter[str] = Counter()
     bare: list[list[str]] = []
-    seen: set[str] = set()
-    n = known = 0
-    for kind, words in units(page):
+    n = bad = 0
+    for kind, words in units(body(text or "")):
         n += len(words)
-        seen.update(words)
-        known += sum(map(FUNCTION_WORDS.__contains__, words))
         if kind == "sin":
             bare.append(words)
-        else:
-            share[kind] += len(words)
-    if not n:
-        return [0.0] * len(FEATURES)
+        elif kind in ("enlace", "etiqueta"):
+            bad += len(words)
     pairs: Counter[tuple[str, str]] = Counter()
     for words in bare:
         pairs.update(zip(words, words[1:], strict=False))
-    repeated = 0
     for words in bare:
         again = sum(pairs[p] >= REPEATS for p in zip(words, words[1:], strict=False))
-        repeated += again
-        share["clave" if again and again * 3 >= len(words) - 1 else "prosa"] += len(words)
-    bad = share["enlace"] + share["etiqueta"] + share["clave"]
+        bad += len(words) if again and again * 3 >= len(words) - 1 else 0
+    return bad / n if n else 0.0
+
+
+def features(text: str | None) -> list[float]:
+    """FEATURES of a page, none of them drawn from its units; a page without words has zeros."""
+    page = body(text or "")
+    words = _words(page.lower())
+    n = len(words)
+    if not n:
+        return [0.0] * len(FEATURES)
+    known = bytes(map(FUNCTION_WORDS.__contains__, words))
+    runs = [len(r) for r in known.split(b"\x01")]
+    pairs = Counter(zip(words, words[1:], strict=False))
     raw = page.encode("utf-8", "surrogatepass")
+    linked = "http" in page or "www." in page or "\\url" in page or "\\href" in page
     return [
-        bad / n,
-        share["enlace"] / n,
-        share["etiqueta"] / n,
-        share["clave"] / n,
-        share["prosa"] / n,
-        share["cita"] / n,
-        share["tabla"] / n,
-        known / n,
-        (page.count("http") + page.count("www.")) / n,
-        len(seen) / n,
-        repeated / n,
+        known.count(1) / n,
+        sum(r for r in runs if r >= 8) / n,
+        sum(r for r in runs if r >= 20) / n,
+        sum(v for v in pairs.values() if v >= REPEATS) / n,
+        len(set(words)) / n,
         len(zlib.compress(raw, 1)) / len(raw),
+        len(LINK.findall(page)) / n if linked else 0.0,
+        len(_words(" ".join(ADDRESS.findall(page)))) / n if linked else 0.0,
+        page.count("#") / n,
+        len(CODE.findall(page)) / n,
+        page.count("&") / n,
+        page.count("$") / n,
+        page.count("\\bibitem") / n,
+        sum(map(str.isdigit, words)) / n,
+        len(STOP.findall(page)) / n,
+        sum(map(len, words)) / n,
         float(np.log1p(n)),
     ]
 
 
-def weak_label(f: np.ndarray) -> np.ndarray:
-    """1 where clearly more than half of the words are spam units, 0 where clearly less, -1 between."""
-    return np.where(f[:, 0] >= 0.6, 1, np.where(f[:, 0] <= 0.4, 0, -1))
+def weak_label(share: np.ndarray) -> np.ndarray:
+    """1 where clearly more than half of the words are in spam units, 0 where clearly less, -1 between."""
+    return np.where(share >= 0.55, 1, np.where(share <= 0.45, 0, -1))
+
+
+def blended(x: np.ndarray, share: np.ndarray, n: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Features and spam shares of ``n`` pages blended of a spam page and another one, in random parts.
+
+    Features are means over words, so a page of two parts has about their
+    weighted mean.  They fill the middle, where real pages are few.
+    """
+    spam, other = np.flatnonzero(share > 0.5), np.flatnonzero(share <= 0.5)
+    if not len(spam) or not len(other):
+        return x[:0], share[:0]
+    rng = np.random.default_rng(seed)
+    i, j, a = rng.choice(spam, n), rng.choice(other, n), rng.random(n)
+    return a[:, None] * x[i] + (1 - a[:, None]) * x[j], a * share[i] + (1 - a) * share[j]
 
 
 class Tree:
-    """A binary classification tree (Gini) kept as arrays; thresholds lie midway between the values they part."""
+    """A binary classification tree (Gini) kept as arrays; thresholds lie midway between the values they part.
+
+    Each split looks at a random half of the features, so that no single one
+    decides in every tree.  A leaf's value is smoothed by half a page of either
+    class.
+    """
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, depth: int = DEPTH, least: int = LEAST):
+    def __init__(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator, depth: int = DEPTH, least: int = LEAST):
+        self.rng = rng
         self.feature, self.cut, self.left, self.right, self.value = [], [], [], [], []
         self._grow(x, y, depth, least)
 
@@ -174,8 +212,8 @@ class Tree:
         for a in (self.feature, self.left, self.right):
             a.append(-1)
         self.cut.append(0.0)
-        self.value.append(float(y.mean()))
-        best = self._split(x, y, least) if depth and 0 < self.value[at] < 1 else None
+        self.value.append(float((y.sum() + 0.5) / (len(y) + 1)))
+        best = self._split(x, y, least) if depth and 0 < y.sum() < len(y) else None
         if best:
             k, cut = best
             go = x[:, k] <= cut
@@ -184,11 +222,10 @@ class Tree:
             self.right[at] = self._grow(x[~go], y[~go], depth - 1, least)
         return at
 
-    @staticmethod
-    def _split(x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, float] | None:
+    def _split(self, x: np.ndarray, y: np.ndarray, least: int) -> tuple[int, float] | None:
         n, total, best, found = len(y), y.sum(), None, None
         count = np.arange(1, n)
-        for k in range(x.shape[1]):
+        for k in sorted(self.rng.permutation(x.shape[1])[: -(-x.shape[1] // 2)]):
             o = np.argsort(x[:, k], kind="stable")
             v, ones = x[o, k], np.cumsum(y[o])[:-1]
             ok = (v[1:] > v[:-1]) & (count >= least) & (n - count >= least)
@@ -198,7 +235,7 @@ class Tree:
             gini = np.where(ok, count * a * (1 - a) + (n - count) * b * (1 - b), np.inf)
             i = int(gini.argmin())
             if best is None or gini[i] < best - 1e-12:
-                best, found = gini[i], (k, float((v[i] + v[i + 1]) / 2))
+                best, found = gini[i], (int(k), float((v[i] + v[i + 1]) / 2))
         return found
 
     def score(self, x: np.ndarray) -> np.ndarray:
@@ -211,54 +248,116 @@ class Tree:
         return np.array(self.value)[at]
 
 
-def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 7) -> list[Tree]:
-    """Bagged trees: each on a bootstrap sample of the labelled pages."""
+def train(x: np.ndarray, y: np.ndarray, trees: int = TREES, seed: int = 7) -> tuple[list[Tree], np.ndarray]:
+    """(trees, out-of-bag scores): each tree on a bootstrap sample; a row's score is that of the trees that did not see it.
+
+    A row that every tree saw has NaN.
+    """
     rng = np.random.default_rng(seed)
-    return [Tree(x[at], y[at]) for at in (rng.integers(0, len(y), len(y)) for _ in range(trees))] if len(y) else []
+    model, total, seen = [], np.zeros(len(y)), np.zeros(len(y))
+    for _ in range(trees if len(y) else 0):
+        at = rng.integers(0, len(y), len(y))
+        model.append(Tree(x[at], y[at], rng))
+        out = np.setdiff1d(np.arange(len(y)), at)
+        if len(out):
+            total[out] += model[-1].score(x[out])
+            seen[out] += 1
+    return model, np.divide(total, seen, out=np.full(len(y), np.nan), where=seen > 0)
+
+
+def host_weight(odds: np.ndarray, shift: np.ndarray, y: np.ndarray, rounds: int = 50) -> float:
+    """How much of a host's shift of log odds is added to a page's: the weight from 0 to 1 of largest likelihood.
+
+    Newton steps on a concave function of one variable; 0 where hosts tell nothing.
+    """
+    w = 0.0
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-(odds + w * shift)))
+        slope, bend = float(((y - p) * shift).sum()), float((p * (1 - p) * shift**2).sum())
+        if bend < 1e-12:
+            break
+        was, w = w, min(1.0, max(0.0, w + slope / bend))
+        if abs(w - was) < 1e-9:
+            break
+    return w
+
+
+def _odds(p: Column) -> Column:
+    return F.greatest(F.lit(-ODDS), F.least(F.lit(ODDS), F.log(p / (1 - p))))
 
 
-def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "coleccion") -> DataFrame:
-    """(key, host, f): features of every page, read whole.  Narrow."""
+def _shift(sums: Column, count: Column, own: Column, overall: Column) -> Column:
+    """Log odds of a host's rate, its page itself left out, against the rate of all pages, within HOST_LIMIT."""
+    rate = (sums - own + HOST_PRIOR * overall) / (count - 1 + HOST_PRIOR)
+    odds = lambda p: F.log((p + 1e-6) / (1 - p + 1e-6))
+    return F.coalesce(F.greatest(F.lit(-HOST_LIMIT), F.least(F.lit(HOST_LIMIT), odds(rate) - odds(overall))), F.lit(0.0))
+
+
+def sampled(docs: DataFrame, key: str, text: str, host: str, size: int = SAMPLE) -> DataFrame:
+    """(_h, f, parte): features and spam share of about ``size`` whole pages, picked by a hash of the key."""
+    n = docs.count()
+    part = min(1.0, size / n) if n else 1.0
+    picked = docs.select(F.col(key).alias("_k"), F.col(host).alias("_h"), F.col(text).alias("_t"))
+    picked = picked.filter(F.pmod(F.xxhash64(F.lit("zonaria"), "_k"), F.lit(1 << 52)) < int(part * (1 << 52)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = pa.array([features(t) for t in b.column(2).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), f], names=["_k", "_h", "f"])
+            texts = b.column(1).to_pylist()
+            f = pa.array([features(t) for t in texts], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), f, pa.array(map(spam_share, texts), pa.float64())], names=["_h", "f", "parte"])
 
-    kinds = dict(docs.dtypes)
-    return docs.select(F.col(key).alias("_k"), F.col(host).alias("_h"), F.col(text).alias("_t")).mapInArrow(run, f"_k {kinds[key]}, _h {kinds[host]}, f array<double>")
+    return picked.select("_h", "_t").mapInArrow(run, f"_h {dict(docs.dtypes)[host]}, f array<double>, parte double")
 
 
 def scores(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "coleccion") -> DataFrame:
-    """(key, host, propio, anfitrion, puntaje): each page's own score, its host's spam rate, and the smoothed score.
-
-    Pages without host take the rate of all pages.  The trees see at most
-    SAMPLE weakly labelled pages, half of each class where there are enough,
-    picked by a hash of the key; all pages are scored.
+    """(key, host, propio, anfitrion, puntaje, parte) of every page.
+
+    propio is the trees' own score, anfitrion the spam rate of the host without
+    the page, puntaje the smoothed score: the log odds of propio and the learned
+    part of the host's shift.  Pages without host keep their own score.  parte
+    is the exact share of words in spam units; null where even the largest shift
+    leaves the score below CANDIDATE.  The texts are read twice, once for the
+    sample (see SAMPLE) and once to score; every page is scored, on its whole text.
     """
-    feats = materialise(page_features(docs, key, text, host))
-    share = F.col("f")[0]
-    by_hash = F.xxhash64(F.col("_k"))
-    picked = [feats.filter(c).select("f", by_hash.alias("h")).orderBy("h", "f").limit(SAMPLE // 2).select("f") for c in (share >= 0.6, share <= 0.4)]
-    rows = [r["f"] for r in picked[0].unionByName(picked[1]).collect()]
-    x = np.array(sorted(rows), dtype=float).reshape(len(rows), len(FEATURES))
-    model = train(x, weak_label(x).astype(float))
+    spark = docs.sparkSession
+    sample = sorted(sampled(docs, key, text, host).collect(), key=lambda r: (r["parte"], r["f"], str(r["_h"])))
+    x = np.array([r["f"] for r in sample], dtype=float).reshape(len(sample), len(FEATURES))
+    share = np.array([r["parte"] for r in sample], dtype=float)
+    more, more_share = blended(x, share, int(BLENDS * len(sample)))
+    label = weak_label(np.concatenate([share, more_share]))
+    clear = label >= 0
+    model, bagged = train(np.vstack([x, more])[clear], label[clear].astype(float))
+    floor = 1 / (1 + math.exp(HOST_LIMIT) * (1 - CANDIDATE) / CANDIDATE)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            f = np.array(b.column(2).to_pylist(), dtype=float).reshape(b.num_rows, len(FEATURES))
+            texts = b.column(2).to_pylist()
+            f = np.array([features(t) for t in texts], dtype=float).reshape(b.num_rows, len(FEATURES))
             p = np.mean([t.score(f) for t in model], axis=0) if model else np.zeros(b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64())], names=["_k", "_h", "p"])
+            parts = [spam_share(t) if q >= floor else None for t, q in zip(texts, p, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p, pa.float64()), pa.array(parts, pa.float64())], names=["_k", "_h", "p", "parte"])
 
     kinds = dict(docs.dtypes)
-    own = materialise(feats.mapInArrow(score, f"_k {kinds[key]}, _h {kinds[host]}, p double"))
+    pages = docs.select(F.col(key).alias("_k"), F.col(host).alias("_h"), F.col(text).alias("_t"))
+    own = materialise(pages.mapInArrow(score, f"_k {kinds[key]}, _h {kinds[host]}, p double, parte double"))
     overall = F.lit(own.agg(F.avg("p")).first()[0] or 0.0)
-    rates = own.filter(F.col("_h").isNotNull()).groupBy("_h").agg(F.sum("p").alias("sp"), F.count("*").alias("n"))
+    rates = materialise(own.filter(F.col("_h").isNotNull()).groupBy("_h").agg(F.sum("p").alias("sp"), F.count("*").alias("n")))
+    shift = _shift(F.col("sp"), F.col("n"), F.col("p"), overall)
+
+    hosts = [r["_h"] for r, c in zip(sample, clear, strict=False) if c]  # blended rows, at the end, have none
+    seen = [(h, float(p), int(y)) for h, p, y in zip(hosts, bagged, label[clear], strict=False) if h is not None and math.isfinite(p)]
+    learn = spark.createDataFrame(seen, f"_h {kinds[host]}, p double, y int").join(rates, "_h").select(_odds(F.col("p")).alias("o"), shift.alias("s"), "y").toPandas()
+    weight = host_weight(*(learn[c].to_numpy(dtype=float) for c in ("o", "s", "y")))
+
     d = own.join(rates, "_h", "left")
-    rate = F.when(F.col("n").isNull(), overall).otherwise((F.col("sp") + HOST_PRIOR * overall) / (F.col("n") + HOST_PRIOR))
-    return d.select(F.col("_k").alias(key), F.col("_h").alias(host), F.col("p").alias("propio"), rate.alias("anfitrion"), ((1 - HOST_WEIGHT) * F.col("p") + HOST_WEIGHT * rate).alias("puntaje"))
+    rate = F.coalesce((F.col("sp") - F.col("p") + HOST_PRIOR * overall) / (F.col("n") - 1 + HOST_PRIOR), overall)
+    smooth = 1 / (1 + F.exp(-(_odds(F.col("p")) + weight * shift)))
+    return d.select(F.col("_k").alias(key), F.col("_h").alias(host), F.col("p").alias("propio"), rate.alias("anfitrion"), smooth.alias("puntaje"), "parte")
 
 
 def stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "coleccion") -> DataFrame:
-    """(key): pages whose smoothed score is above one half.  Null and empty texts have no words and are none."""
-    return scores(docs, key, text, host).filter(F.col("puntaje") > 0.5).select(key)
+    """(key): pages that the smoothed score names and more than half of whose words are in spam units.
+
+    Null and empty texts have no words and are none.
+    """
+    return scores(docs, key, text, host).filter((F.col("puntaje") >= CANDIDATE) & (F.col("parte") > 0.5)).select(key)
