@@ -78,6 +78,35 @@ def test_cleaned(spark):
     assert got[6] == "x " * 200_000 + "." + " y" * 200_000
 
 
+def test_cleaned_does_not_depend_on_the_blocks(spark, monkeypatch):
+    """30 % leaked from one block and 30 % from another are more than half; overlapping passages are cut once."""
+    other = "alfa beta gama delta épsilon zeta eta theta iota kappa lambda mi ni xi"
+    own = " ".join(f"propia{k}" for k in range(20))
+    docs = spark.createDataFrame([(1, f"{TEXT} {own} {other}"), (2, f"{TEXT} {own} {own}"), (2, own), (None, f"{own} {other} {own}"), (4, None), (5, f"{own} {TEXT} quince dieciséis {own} {own}")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, TEXT), (2, other), (3, " ".join(TEXT.split()[2:]) + " quince dieciséis")], "item_id long, text string")
+    key = lambda r: (str(r[0]), str(r[1]))
+    one = sorted((tuple(r) for r in L.cleaned(docs, items).collect()), key=key)
+    monkeypatch.setattr(L, "BLOCK_WORDS", 14)
+    assert sorted((tuple(r) for r in L.cleaned(docs, items).collect()), key=key) == one
+    assert [r[0] for r in one] == [2, 2, 4, 5, None] and "trece" not in str(one) and "dieciséis" not in str(one)
+
+
+def test_one_automaton_at_a_time(spark, monkeypatch):
+    """Of many blocks, each is written and let go before the next is built."""
+    monkeypatch.setattr(L, "BLOCK_WORDS", 12)
+    alive = []
+
+    build = L.Automaton.__init__
+    monkeypatch.setattr(L.Automaton, "__init__", lambda self, *a: (build(self, *a), alive.append(1))[0])
+    destroyed = []
+    real = L.Broadcast.destroy
+    monkeypatch.setattr(L.Broadcast, "destroy", lambda self, *a: (destroyed.append(len(alive)), real(self, *a)))
+    items = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{j}" for j in range(12))) for k in range(4)], "doc_id long, text string")
+    assert {tuple(r)[:2] for r in L.leaks(docs, items).collect()} == {(k, k) for k in range(4)}
+    assert destroyed == [1, 2, 3, 4, 5, 6]
+
+
 def test_items_shorter_than_the_default_length(spark):
     docs = spark.createDataFrame([(1, "x a b c d e f y"), (2, "a b c d")], "doc_id long, text string")
     items = spark.createDataFrame([(7, "a b c d e f"), (8, "a b c d")], "item_id long, text string")

@@ -55,6 +55,20 @@ def test_mix_and_shares(spark):
     assert {tuple(r) for r in M.mixed(docs, goal).select("doc_id", "copia").collect()} == {tuple(r) for r in mixed.select("doc_id", "copia").collect()}
 
 
+def test_exact_shares(spark):
+    """The exact mix meets every weight of the sources there are; its size follows from the scarcest."""
+    have, goal = {"a": 1000, "b": 100, "c": 10}, [("a", 0.5, 1), ("b", 0.3, 4), ("c", 0.2, 5), ("d", 0.1, 3)]
+    total = M.uncapped_total(have, goal)
+    assert total == pytest.approx(250)
+    got = {s.source: s.rate * s.tokens for s in M.rates(have, goal, total)}
+    assert got == pytest.approx({"a": 125, "b": 75, "c": 50, "d": 0})
+    assert M.uncapped_total({}, goal) == 0.0 and all(s.rate == 0 for s in M.rates({}, goal, 0.0))
+    docs = frame(spark, [(k, "abc"[k % 3], "palabra " * 20) for k in range(3000)])
+    d = {r["source"]: r for r in M.shares_reached(docs, spark.createDataFrame([("a", 0.6, 1), ("b", 0.3, 1), ("c", 0.1, 1)], GOAL)).collect()}
+    assert d["a"]["proporcion_exacta"] == pytest.approx(0.6, abs=0.02) and d["c"]["proporcion_exacta"] == pytest.approx(0.1, abs=0.02)
+    assert sum(r["tokens_exactos"] for r in d.values()) < sum(r["tokens_mezcla"] for r in d.values())
+
+
 def test_tokens_of_odd_texts(spark):
     enc = M.encoder(open(M.vocabulary_path(), "rb").read())
     for t in (" " * 30_000 + "abc def", "x" + " " * 20_000 + "\n" * 3000 + "y", "a " + "\t" * 12_000, "plain <|endoftext|> text"):

@@ -46,6 +46,17 @@ def test_sums_do_not_depend_on_order(spark):
     assert ("sector_dominante", "A", 1, "W") in {tuple(r) for r in topn.leaders(frame(spark, a + b)).collect()}
 
 
+def test_weights_of_any_size(spark):
+    """Ten rows of 5e23 outweigh one of 1e24, and totals of huge weights are exact."""
+    rows = [(k, "01001A", "S2", 5e23) for k in range(10)] + [(10, "01001A", "S1", 1e24)]
+    rows += [(20, "01001B", "S1", 1e300), (21, "01001B", "S2", 1e300), (22, "01001B", "S2", 0.1), (23, "01001B", "S3", 9e299)]
+    rows += [(30, "01001C", "S1", 1e25), (31, "01001C", "S2", 5e24), (32, "01001C", "S2", 5e24), (33, "01001C", None, 1e308)]
+    rows += [(40, "01001D", "S9", 1.7e308), (41, "01001D", "S9", 1.7e308), (42, "01001E", "S9", 1.7e308), (43, "01001E", "S8", 3.0)]
+    got = {tuple(r) for r in topn.leaders(frame(spark, rows)).collect()}
+    assert {(g, e) for l, g, _, e in got if l == "sector_dominante"} == {("01001A", "S2"), ("01001B", "S2"), ("01001C", "S1"), ("01001D", "S9"), ("01001E", "S9")}
+    assert [e for _, _, _, e in sorted(r for r in got if r[0] == "agebs_principales")] == ["01001D", "01001E", "01001C", "01001B", "01001A"]
+
+
 def test_empty(spark):
     assert topn.leaders(frame(spark, [])).count() == 0
 

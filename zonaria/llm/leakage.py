@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonaria.session import materialise
+
 WORD = re.compile(r"\\[^\W\d_]+|([^\W_]+)")
 LENGTH = 12  #: consecutive words in common that make a leak
-BLOCK_WORDS = 200_000  #: words of test items per automaton; more items go in further passes
+BLOCK_WORDS = 200_000  #: words of test items per automaton; more items take one more reading of the corpus for each
 COVER = 0.5  #: share of a document's words in leaked passages from which the whole document goes
 
 
@@ -158,16 +162,15 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
     tramo the words of the longest stretch of them.  Items and texts that are
     null or shorter match nothing; a repeated item matches under each of its
     ids.  The corpus streams through the automaton of a block of items, which
-    is broadcast and of bounded size; no text is shuffled.
+    is broadcast and of bounded size; no text is shuffled.  More than
+    BLOCK_WORDS words of items run at once, block by block (see _passes).
     """
     spark = docs.sparkSession
     kinds = dict(docs.dtypes)
     schema = f"`{key}` {kinds[key]}, item_id bigint, ventanas int, tramo int"
-    out = None
-    for block in blocks(items, ident, item_text, length):
-        shared = spark.sparkContext.broadcast(Automaton(block, length))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def over(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = shared.value
             for b in batches:
                 rows = [(k, i, *f) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, f in a.leaks(words(t))[0].items()]
@@ -176,45 +179,103 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
                     types = (b.schema.types[0], pa.int64(), pa.int32(), pa.int32())
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=[key, "item_id", "ventanas", "tramo"])
 
-        d = docs.select(key, text).mapInArrow(run, schema)
+        return docs.select(key, text).mapInArrow(run, schema)
+
+    out = None
+    for d in _passes(spark, blocks(items, ident, item_text, length), length, over):
         out = d if out is None else out.unionByName(d)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_spans(text: str, a: Automaton, cover: float = COVER) -> str | None:
-    """The text without its leaked passages; None when they make up more than ``cover`` of its words."""
-    at = [(m.start(), m.end()) for m in WORD.finditer(text) if m[1]]
-    low = [text[i:j].lower() for i, j in at]
+def _passes(spark: SparkSession, parts: Iterator[list[tuple[int, list[str]]]], length: int, over: Callable[[Broadcast], DataFrame]) -> Iterator[DataFrame]:
+    """The result of ``over`` for each block of items.
+
+    One block stays a plan.  Of several, each is built, run over the corpus and
+    written before the next is built, so the driver holds one automaton however
+    many there are, and the corpus is read once per block.
+    """
+    block, after = next(parts, None), next(parts, None)
+    if block is not None and after is None:
+        yield over(spark.sparkContext.broadcast(Automaton(block, length)))
+        return
+    while block is not None:
+        shared = spark.sparkContext.broadcast(Automaton(block, length))
+        yield materialise(over(shared))
+        shared.destroy()
+        block, after = after, next(parts, None)
+
+
+def leaked_spans(text: str, a: Automaton) -> list[tuple[int, int]]:
+    """(first word, last word) of each leaked passage of a text."""
+    low = [m[1].lower() for m in WORD.finditer(text) if m[1]]
     if any(not w.isalnum() for w in low):  # a letter whose lower case isn't one word: keep positions by the original
         low = [words(w)[0] if words(w) else w for w in low]
-    _, spans = a.leaks(low)
+    return a.leaks(low)[1]
+
+
+def without_spans(text: str, spans: Sequence[tuple[int, int]], cover: float = COVER) -> str | None:
+    """The text without the passages, which may overlap; None when they make up more than ``cover`` of its words."""
     if not spans:
         return text
-    if sum(j - i + 1 for i, j in spans) > cover * len(at):
+    at = [(m.start(), m.end()) for m in WORD.finditer(text) if m[1]]
+    joined: list[list[int]] = []
+    for i, j in sorted(spans):
+        if joined and i <= joined[-1][1] + 1:
+            joined[-1][1] = max(joined[-1][1], j)
+        else:
+            joined.append([i, j])
+    if sum(j - i + 1 for i, j in joined) > cover * len(at):
         return None
     out, last = [], 0
-    for i, j in spans:
+    for i, j in joined:
         out.append(text[last : at[i][0]])
         last = at[j][1]
     return "".join([*out, text[last:]])
 
 
+TRAMOS = pa.list_(pa.struct([("i", pa.int64()), ("j", pa.int64())]))
+
+
 def cleaned(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", ident: str = "item_id", item_text: str = "text", cover: float = COVER) -> DataFrame:
     """``docs`` with the leaked passages cut out of the text and the documents that are mostly leaks left out.
 
-    Every block of items is applied to what the one before left.  Null texts stay.
+    Passages of all blocks of items are found in the original text and united
+    before anything is cut or left out, so the result doesn't depend on the
+    number of blocks.  Null texts stay.  Rows are told apart by key and a hash
+    of the text; with one block nothing is shuffled.
     """
-    out = docs
+    spark = docs.sparkSession
     at, schema = docs.columns.index(text), docs.schema
-    for block in blocks(items, ident, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(Automaton(block))
+    parts = blocks(items, ident, item_text)
+    first, second = next(parts, None), next(parts, None)
+    if first is None:
+        return docs
+
+    def cut(b: pa.RecordBatch, spans: Callable[[int, str], list[tuple[int, int]]]) -> pa.RecordBatch:
+        """The batch without what ``spans`` finds in the text of each row; columns after those of ``docs`` fall away."""
+        old = b.column(at).to_pylist()
+        new = [None if t is None else without_spans(t, spans(k, t), cover) for k, t in enumerate(old)]
+        keep = pa.array([t is not None or o is None for t, o in zip(new, old, strict=True)])
+        kept = [pa.array(new, b.schema.types[at]) if k == at else b.column(k) for k in range(len(schema))]
+        return pa.RecordBatch.from_arrays(kept, names=b.schema.names[: len(schema)]).filter(keep)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    if second is None:
+        shared = spark.sparkContext.broadcast(Automaton(first))
+        return docs.mapInArrow(lambda it: (cut(b, lambda _, t: leaked_spans(t, shared.value)) for b in it), schema)
+
+    def over(block: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                new = [None if t is None else without_spans(t, shared.value, cover) for t in b.column(at).to_pylist()]
-                keep = pa.array([t is not None or not old.is_valid for t, old in zip(new, b.column(at), strict=True)])
-                cols = [pa.array(new, b.schema.types[at]) if k == at else b.column(k) for k in range(b.num_columns)]
-                yield pa.RecordBatch.from_arrays(cols, schema=b.schema).filter(keep)
+                got = [leaked_spans(t, block.value) if t is not None else [] for t in b.column(2).to_pylist()]
+                tramos = pa.array([[{"i": i, "j": j} for i, j in g] for g in got], TRAMOS)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), tramos], names=["_k", "_x", "_t"]).filter(pa.array([bool(g) for g in got]))
+
+        return docs.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_x"), text).mapInArrow(run, f"_k {dict(docs.dtypes)[key]}, _x bigint, _t array<struct<i: bigint, j: bigint>>")
 
-        out = out.mapInArrow(run, schema)
-    return out
+    found = None
+    for d in _passes(spark, itertools.chain((first, second), parts), LENGTH, over):
+        found = d if found is None else found.unionByName(d)
+    found = materialise(found.groupBy("_k", "_x").agg(F.flatten(F.collect_list("_t")).alias("_t")))
+    d = docs.alias("d").join(found.alias("f"), F.col(f"d.`{key}`").eqNullSafe(F.col("f._k")) & (F.xxhash64(F.col(f"d.`{text}`")) == F.col("f._x")), "left").select("d.*", "f._t")
+    last = len(schema)
+    return d.mapInArrow(lambda it: (cut(b, lambda k, _, c=b.column(last): [(x["i"], x["j"]) for x in c[k].as_py() or ()]) for b in it), schema)

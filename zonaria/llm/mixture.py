@@ -106,15 +106,31 @@ def rates(available: dict[str, int], targets: list[tuple[str, float, int]], tota
     return [Share(s, w, c, available.get(s, 0), part.get(s, 0.0) / available[s] if part.get(s) else 0.0) for s, w, c in targets]
 
 
-def plan(counts: DataFrame, targets: DataFrame, source: str = "source", total: float | None = None) -> list[Share]:
-    """The rates from token counts and (source, peso_objetivo, tope_repeticion); a source named twice takes its first row by weight."""
+def uncapped_total(available: dict[str, int], targets: list[tuple[str, float, int]]) -> float:
+    """The largest mix in which every source that has tokens still reaches its weight's part; 0 without sources.
+
+    One tiny source bounds it, which is why it is no default: ``rates`` keeps the
+    size of the corpus and lets that source stay below its share.
+    """
+    live = [(w, min(c, 1 << 30) * available.get(s, 0)) for s, w, c in targets if w and w > 0 and c and c > 0 and available.get(s, 0) > 0]
+    weight = sum(w for w, _ in live)
+    return min((most * weight / w for w, most in live), default=0.0)
+
+
+def plan(counts: DataFrame, targets: DataFrame, source: str = "source", total: float | str | None = None) -> list[Share]:
+    """The rates from token counts and (source, peso_objetivo, tope_repeticion); a source named twice takes its first row by weight.
+
+    ``total`` is the number of tokens of the mix: None for as many as the named
+    sources hold, "exact" for the largest mix that no cap keeps from its shares.
+    """
     t = targets.filter(F.col("source").isNotNull()).groupBy("source").agg(F.max(F.struct("peso_objetivo", "tope_repeticion")).alias("t")).select("source", "t.*")
     rows = t.orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources in the target table")
     named = [r["source"] for r in rows]
     sums = counts.filter(F.col(source).isin(named)).groupBy(source).agg(F.sum("n_tokens").alias("n")).collect() if named else []
-    return rates({r[source]: r["n"] for r in sums}, [(r["source"], r["peso_objetivo"], r["tope_repeticion"]) for r in rows], total)
+    have, goal = {r[source]: r["n"] for r in sums}, [(r["source"], r["peso_objetivo"], r["tope_repeticion"]) for r in rows]
+    return rates(have, goal, uncapped_total(have, goal) if total == "exact" else total)
 
 
 def copies(key: str, rate: Column, seed: int) -> Column:
@@ -152,11 +168,14 @@ def reached(counts: DataFrame, shares: list[Share], key: str = "doc_id", source:
     return d.withColumn("proporcion", F.col("tokens_mezcla") / F.lit(whole) if whole else F.lit(0.0))
 
 
-def mixed(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 1) -> DataFrame:
-    """The mix of ``docs`` for the target table."""
-    return mix(docs, plan(token_counts(docs, path), targets), seed=seed)
+def mixed(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 1, total: float | str | None = None) -> DataFrame:
+    """The mix of ``docs`` for the target table (``total`` as in plan)."""
+    return mix(docs, plan(token_counts(docs, path), targets, total=total), seed=seed)
 
 
 def shares_reached(docs: DataFrame, targets: DataFrame, path: str | None = None, seed: int = 1) -> DataFrame:
+    """The shares of the mix (see reached), and as tokens_exactos and proporcion_exacta those of the "exact" one."""
     counts = materialise(token_counts(docs, path))
-    return reached(counts, plan(counts, targets), seed=seed)
+    exact = reached(counts, plan(counts, targets, total="exact"), seed=seed)
+    exact = exact.select("source", F.col("tokens_mezcla").alias("tokens_exactos"), F.col("proporcion").alias("proporcion_exacta"))
+    return reached(counts, plan(counts, targets), seed=seed).join(exact, "source")
