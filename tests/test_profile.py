@@ -122,7 +122,7 @@ def test_power_sums_are_exact_and_mergeable(spark):
     for k in (1, 2, 3, 4):
         with localcontext(prec=60):
             exact = sum(Decimal(str(x)) ** k for x in xs)
-            assert whole[f"s{k}"] == exact == sum(p[f"s{k}"] for p in parts)
+            assert Decimal(whole[f"s{k}"]) == exact == sum(Decimal(p[f"s{k}"]) for p in parts)
 
 
 def test_standardised_difference(spark):
@@ -130,3 +130,32 @@ def test_standardised_difference(spark):
     d = {(r["lote"], r["columna"]): r for r in P.warehouse_profile(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert d["A-202102", "empleo_total"]["dif_media"] == pytest.approx(3 / np.std(np.arange(20)))
     assert d["A-202101", "empleo_total"]["dif_media"] is None
+
+
+def test_power_sums_of_any_size(spark):
+    """Values that no decimal of 38 digits holds, and such finer than a tenth, are neither rounded nor left out."""
+    rows = [row(1, "A-202101", 1.0), row(2, "A-202101", 2e11), row(3, "A-202101", 0.04), row(4, "B-202101", 1.0), row(5, "B-202101", 5e8), row(6, "C-202101", 1e300), row(7, "C-202101", 3e-7)]
+    d = {r["lote"]: r for r in P.warehouse_profile(spark.createDataFrame(rows, SCHEMA)).filter("columna = 'empleo_total'").collect()}
+    assert d["A-202101"]["s1"] == "200000000001.04" and d["A-202101"]["media"] == pytest.approx(200000000001.04 / 3)
+    assert d["B-202101"]["s4"] == str(5**4 * 10**32 + 1)
+    with localcontext(prec=3000):
+        for k in (1, 2, 3, 4):
+            assert Decimal(d["A-202101"][f"s{k}"]) == 1 + Decimal("2e11") ** k + Decimal("0.04") ** k
+            assert Decimal(d["C-202101"][f"s{k}"]) == Decimal("1e300") ** k + Decimal("3e-7") ** k
+    assert d["C-202101"]["media"] == pytest.approx(5e299) and d["C-202101"]["varianza"] == math.inf
+
+
+def test_certain_shifts_are_shifts(spark):
+    """Whenever means and variances prove a gap, the running sums find it too."""
+    rng = np.random.default_rng(4)
+    rows, i = [], 0
+    for feed in range(12):
+        for month in range(2):
+            for x in np.abs(rng.normal(20 + month * feed * 3, 1 + feed % 4, 25)):
+                rows.append(row(i := i + 1, f"F{feed}-20210{month + 1}", float(x)))
+    df = spark.createDataFrame(rows, SCHEMA)
+    d = P.warehouse_profile(df).filter("columna = 'empleo_total'")
+    sure = {r["lote"] for r in d.filter(P.certainly_shifted(0.25)).collect()}
+    want = {l for l, c, h in brute(rows) if h == "distribucion" and c == "empleo_total"}
+    assert 3 <= len(sure) and sure <= want
+    assert found(spark, rows) == brute(rows)

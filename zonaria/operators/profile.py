@@ -7,9 +7,14 @@ parts of a load add up, and so do the exact power sums drawn from it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from decimal import Context, Decimal
+from fractions import Fraction
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,41 +65,101 @@ def _not_null() -> Column:
     return F.coalesce("num", F.col("ent").cast("double")).isNotNull() | F.col("txt").isNotNull()
 
 
-def profile(counts: DataFrame, load: str, decimals: int = 1) -> DataFrame:
-    """One row per load and column: rows, nulls, violations, distinct values, range and exact power sums.
+SUMS = ("s1", "s2", "s3", "s4")
+GRID = 100  #: values on this grid are taken to whole numbers by arithmetic, others by their digits
+
+
+def _whole(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(m, e) with x = m * 10 ** e exactly: the decimals the doubles stand for, as whole numbers of any size."""
+    scaled = np.rint(x * GRID)
+    plain = (scaled / GRID == x) & (abs(scaled) < 1e15)
+    m, e = np.where(plain, scaled, 0).astype(np.int64).astype(object), np.full(len(x), -2)
+    for k in np.flatnonzero(~plain):
+        sign, digits, power = Decimal(repr(float(x[k]))).as_tuple()
+        m[k], e[k] = (-1) ** sign * int("".join(map(str, digits))), power
+    return m, e
+
+
+def _partial_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Power sums of a batch per load, column and exponent; whole numbers as text."""
+    for pdf in batches:
+        x, n = pdf["x"].to_numpy(dtype=float), pdf["n_valid"].to_numpy(dtype=object)
+        finite = np.isfinite(x)
+        m, e = _whole(np.where(finite, x, 0.0))
+        part = pd.DataFrame({"carga": pdf["carga"], "columna": pdf["columna"], "e": e, "infinitos": (~finite).astype(int)})
+        term = n
+        for s in SUMS:
+            term = term * m
+            part[s] = term
+        out = part.groupby(["carga", "columna", "e"], dropna=False, as_index=False).sum()
+        yield out.assign(**{s: out[s].map(str) for s in SUMS})
+
+
+def _merged_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row from the parts of a load and column: exact sums as decimal text, mean and variance rounded once."""
+    low = int(pdf["e"].min())
+    totals = [sum(int(v) * 10 ** (k * (int(e) - low)) for v, e in zip(pdf[s], pdf["e"], strict=True)) for k, s in enumerate(SUMS, 1)]
+    known = not pdf["infinitos"].any()
+    row = {"carga": pdf["carga"].iloc[:1], "columna": pdf["columna"].iloc[:1]}
+    for k, (s, t) in enumerate(zip(SUMS, totals, strict=True), 1):
+        text = format(Context(prec=10_000).scaleb(Decimal(t), k * low), "f")
+        row[s] = (text.rstrip("0").rstrip(".") if "." in text else text) if known else None
+    return pd.DataFrame(row)
+
+
+def _moments(pdf: pd.DataFrame) -> pd.DataFrame:
+    def number(f: Fraction) -> float:
+        try:
+            return float(f)
+        except OverflowError:
+            return math.inf if f > 0 else -math.inf
+
+    media, varianza = [], []
+    for s1, s2, n in zip(pdf["s1"], pdf["s2"], pdf["validos"], strict=True):
+        known = isinstance(s1, str) and n > 0
+        mean = Fraction(s1) / int(n) if known else None
+        media.append(number(mean) if known else None)
+        varianza.append(number(Fraction(s2) / int(n) - mean * mean) if known else None)
+    return pdf.assign(media=pd.Series(media, index=pdf.index, dtype=float), varianza=pd.Series(varianza, index=pdf.index, dtype=float))
+
+
+def power_sums(counts: DataFrame, load: str) -> DataFrame:
+    """(load, columna, s1, s2, s3, s4): exact sums of the powers of the valid numbers, as decimal text.
+
+    The decimals that the doubles stand for are summed as whole numbers of any
+    size, per batch and exponent, then per load: no value is rounded or left
+    out, and the sums of two parts of a load add up to those of the whole.
+    They are null when a valid value is infinite or no number.
+    """
+    kind = dict(counts.dtypes)[load]
+    numbers = counts.filter(F.col("n_valid") > 0).filter(F.col("txt").isNull())
+    rows = numbers.select(F.col(load).alias("carga"), "columna", F.coalesce("num", F.col("ent").cast("double")).alias("x"), "n_valid")
+    text = ", ".join(f"{s} string" for s in SUMS)
+    parts = rows.mapInPandas(_partial_sums, f"carga {kind}, columna string, e int, infinitos bigint, {text}")
+    return parts.groupBy("carga", "columna").applyInPandas(_merged_sums, f"carga {kind}, columna string, {text}").withColumnRenamed("carga", load)
+
+
+def profile(counts: DataFrame, load: str) -> DataFrame:
+    """One row per load and column: rows, nulls, violations, distinct values, range, exact power sums, mean and variance.
 
-    The power sums s1..s4 of the valid numbers, taken to ``decimals`` places,
-    are exact decimals: sums of parts add up to the sum of the whole, in any
-    order.  A sum that would overflow 38 digits is null.
+    s1..s4, media and varianza are null for columns without valid numbers;
+    integers beyond 2 ** 53 count as the double next to them.
     """
-    x = F.expr(f"try_cast(coalesce(num, ent) as decimal({11 + decimals},{decimals}))")
-    v = F.col("n_valid").cast("decimal(18,0)")
-    base = counts.withColumn("x", F.when(F.col("n_valid") > 0, x))
-    base = base.withColumn("x2", F.try_multiply("x", "x"))
-    base = base.withColumn("x3", F.try_multiply("x2", "x")).withColumn("x4", F.try_multiply("x3", "x"))
     number = F.coalesce("num", F.col("ent").cast("double"))
     valid_number = F.when(F.col("n_valid") > 0, number)
-    return (
-        base.groupBy(load, "columna")
-        .agg(
-            F.sum("n").alias("filas"),
-            F.sum(F.when(~_not_null(), F.col("n")).otherwise(0)).alias("nulos"),
-            F.sum(F.when(_not_null(), F.col("n") - F.col("n_valid")).otherwise(0)).alias("no_validos"),
-            F.sum("n_valid").alias("validos"),
-            F.count_if(_not_null()).alias("distintos"),
-            F.min(valid_number).alias("minimo"),
-            F.max(valid_number).alias("maximo"),
-            *(F.try_sum(F.try_multiply(c, v).cast("decimal(38,4)")).alias(f"s{k}") for k, c in enumerate(("x", "x2", "x3", "x4"), 1)),
-        )
-        .withColumn("media", F.when(F.col("validos") > 0, F.col("s1").cast("double") / F.col("validos")))
-        .withColumn(
-            "varianza",
-            F.when(
-                F.col("validos") > 0,
-                F.greatest(F.lit(0.0), F.col("s2").cast("double") / F.col("validos") - F.col("media") * F.col("media")),
-            ),
-        )
+    base = counts.groupBy(load, "columna").agg(
+        F.sum("n").alias("filas"),
+        F.sum(F.when(~_not_null(), F.col("n")).otherwise(0)).alias("nulos"),
+        F.sum(F.when(_not_null(), F.col("n") - F.col("n_valid")).otherwise(0)).alias("no_validos"),
+        F.sum("n_valid").alias("validos"),
+        F.count_if(_not_null()).alias("distintos"),
+        F.min(valid_number).alias("minimo"),
+        F.max(valid_number).alias("maximo"),
     )
+    sums = power_sums(counts, load).select(F.col(load).alias("_carga"), F.col("columna").alias("_columna"), *SUMS)
+    both = base.join(sums, F.col(load).eqNullSafe(F.col("_carga")) & (F.col("columna") == F.col("_columna")), "left").drop("_carga", "_columna")
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in both.dtypes), "media double", "varianza double"])
+    return both.mapInPandas(lambda it: map(_moments, it), schema)
 
 
 def predecessors(loads: DataFrame, load: str) -> DataFrame:
@@ -114,7 +179,9 @@ def with_previous(prof: DataFrame, load: str) -> DataFrame:
     """The profile with the preceding load's figures (``p_`` columns) and standardised differences.
 
     ``dif_media`` is the difference of the means over the pooled standard
-    deviation, ``razon_sd`` the ratio of the standard deviations.
+    deviation, ``separacion`` that over the sum of the standard deviations (no
+    number when both are 0 and the means differ, which is infinitely far) and
+    ``razon_sd`` the ratio of the standard deviations.
     """
     seq = predecessors(prof, load)
     before = prof.select(
@@ -122,11 +189,13 @@ def with_previous(prof: DataFrame, load: str) -> DataFrame:
         "columna",
         *(F.col(c).alias(f"p_{c}") for c in prof.columns if c not in (load, "columna")),
     )
+    apart, spread = F.col("media") - F.col("p_media"), F.sqrt("varianza") + F.sqrt("p_varianza")
     pooled = F.sqrt((F.col("varianza") + F.col("p_varianza")) / 2)
     return (
         prof.join(seq, load, "left")
         .join(before, ["anterior", "columna"], "left")
         .withColumn("dif_media", F.when(pooled > 0, (F.col("media") - F.col("p_media")) / pooled))
+        .withColumn("separacion", F.when(spread > 0, F.abs(apart) / spread).when(apart != 0, float("inf")).when(apart == 0, 0.0))
         .withColumn("razon_sd", F.when(F.col("p_varianza") > 0, F.sqrt(F.col("varianza") / F.col("p_varianza"))))
     )
 
@@ -191,12 +260,25 @@ def gaps(counts: DataFrame, both: DataFrame, load: str) -> DataFrame:
     return running.withColumn("brecha", F.col("brecha").cast("decimal(38,1)")).unionByName(words).withColumnRenamed("par", load)
 
 
+def certainly_shifted(gap: float) -> Column:
+    """Whether means and variances alone prove a gap above ``gap`` between two loads.
+
+    By the one-sided Chebyshev bound at the point that parts the means in
+    proportion to the standard deviations, the gap is at least
+    1 - 2 / (1 + separacion ** 2).  Moments can't prove the contrary, so all
+    other pairs of loads have their running sums compared.
+    """
+    return F.coalesce(F.col("separacion") * F.col("separacion") > (1 + gap) / (1 - gap) * (1 + 1e-6), F.lit(False))
+
+
 def findings(counts: DataFrame, measures: Sequence[Measure], load: str, null_step: str = "0.10", gap: str = "0.25") -> DataFrame:
     """(load, columna, hallazgo), one row per finding: nulos, rango, patron, constante, distribucion.
 
     A first load, or one without values on either side, has no finding against
     its predecessor.  Shares are compared as exact fractions, so a difference
     equal to the threshold is no finding.  Rows without load belong to none.
+    distribucion comes from the standardised difference of the means where that
+    decides (see certainly_shifted), else from the exact running sums.
     """
     counts = counts.filter(F.col(load).isNotNull())
     both = materialise(with_previous(profile(counts, load), load))
@@ -219,7 +301,9 @@ def findings(counts: DataFrame, measures: Sequence[Measure], load: str, null_ste
         ).alias("hallazgo"),
     )
     big18 = lambda c: F.col(c).cast("decimal(18,0)")
-    shifted = gaps(counts, both, load).filter(F.col("brecha") > F.lit(gap).cast("decimal(3,2)") * (big18("n_ahora") * big18("n_antes")))
+    far = certainly_shifted(float(gap))
+    own = own.unionByName(both.filter(far).select(load, "columna", F.lit("distribucion").alias("hallazgo")))
+    shifted = gaps(counts, both.filter(~far), load).filter(F.col("brecha") > F.lit(gap).cast("decimal(3,2)") * (big18("n_ahora") * big18("n_antes")))
     return own.unionByName(shifted.select(load, "columna", F.lit("distribucion").alias("hallazgo")))
 
 

@@ -101,6 +101,12 @@ ORACLE: dict[str, str] = {
         union all select lote, columna, case when columna = 'omega_metodo' then 'patron' else 'rango' end from b where malos > 0
         union all select lote, columna, 'constante' from b where distintos = 1
         union all select lote, columna, 'distribucion' from d where gap > 0.25""",
+    "p1_profile": f"""with {_P1},
+        m as (select lote, columna, min(num) filter (ok) as minimo, max(num) filter (ok) as maximo, sum(d) as s1, sum(d * d) as s2,
+                     (count(*) filter (ok)) as k from (select *, case when ok then num end::decimal(19, 2) as d from v) group by all),
+        z as (select lote, columna, minimo, maximo, s1::double as s1, s2::double as s2, s1 / k as media, case when s1 is not null then greatest(0, s2 / k - (s1 / k) * (s1 / k)) end as var from m)
+        select b.lote, b.columna, filas, nulos, malos as no_validos, validos, distintos, z.minimo, z.maximo, z.s1, z.s2, round((z.media - p.media) / nullif(sqrt((z.var + p.var) / 2), 0), 6) as dif_media
+        from b join z using (lote, columna) left join z p on p.lote = b.anterior and p.columna = b.columna""",
     "p4_found": f"""
         with c as (select distinct fila_id, scian_codigo, sector_serio, vigente_desde, vigente_hasta from crosswalk),
         t as (select 'sectores' as o, {_code('scian')} as k, vigente_desde as a, vigente_hasta as b from sectores union all
