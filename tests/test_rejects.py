@@ -74,6 +74,23 @@ def test_round_trip(values):
     assert R.fields(line) == values
 
 
+def test_no_character_stands_for_a_line_end():
+    odd = "caf\ue00abar\ue00d\ue000\ue001"
+    assert R.fields(GOOD.replace("IMPRENTA", odd))[1] == odd
+    assert R.fields(GOOD.replace("IMPRENTA", odd + "\n\r"))[1] == odd + "\n\r"
+
+
+def test_files_of_physical_lines(spark, rows):
+    """Records with line ends in their quotes are assembled before they are parsed; those without quotes stay apart."""
+    two = GOOD.replace("IMPRENTA", '"A\nB ""C""\n"')
+    lines = [*two.split("\n"), GOOD, GOOD.replace("822147", "x")]
+    df = spark.createDataFrame([("f", k, t) for k, t in enumerate(lines)], "archivo string, n int, t string")
+    got = {r["n"]: (r["motivos"], r["campos"]) for r in R.parsed_file(df, "archivo", "n", "t").collect()}
+    assert got[0] == ([], R.fields(two)) and got[3] == ([], R.fields(GOOD)) and got[4][0] == ["codigo_act"] and len(got) == 3
+    recs = spark.createDataFrame([("f", 1, two), ("f", 2, GOOD), ("f", 3, '"a'), ("f", 4, "a\nb"), ("g", 1, ""), ("g", 2, None), ("g", 3, '"x\n\n"')], "archivo string, linea_no int, linea string")
+    assert rows(R.reassembled(recs)) == [("f", 1, two), ("f", 2, GOOD), ("g", 1, ""), ("g", 3, '"x\n\n"')]
+
+
 def test_frames(spark, rows):
     long = '"' + "x" * 300_000 + '"'
     data = [(1, "f", GOOD), (2, "f", None), (3, "f", GOOD.replace("IMPRENTA", long)), (4, "f", GOOD.replace("822147", "82214")), (4, "f", GOOD.replace("822147", "82214")), (5, "f", 'a"b')]

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import csv
+import itertools
 import re
 import sys
 from collections.abc import Iterator
 from decimal import Decimal
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FIELDS = ("id", "nom_estab", "codigo_act", "per_ocu", "latitud", "longitud")
 PARSED = "array<string>"
-_HIDE = str.maketrans("\n\r", "\ue00a\ue00d")  # the reader takes a line end outside quotes for the end of the record
-_SHOW = str.maketrans("\ue00a\ue00d", "\n\r")
+LINES = 1 << 20  #: numbers kept free for the lines of one record
 
 
 class BrokenQuotes(csv.Error):
@@ -33,6 +33,10 @@ def assemble(lines: DataFrame, file: str, number: str, text: str, block: int = 1
     record keeps the number of its first line.  Whether a quote is open follows
     from the parity of the quotes before the line, a running sum taken first
     over blocks of lines and then inside each, so that a long file is spread.
+
+    It is for files whose line ends alone part the records.  Records that come
+    whole, one to a row, must not go through it: a stray quote in one would join
+    it to those after it.
     """
     d = lines.select(file, number, F.coalesce(text, F.lit("")).alias(text)).withColumns(
         {"_q": F.length(text) - F.length(F.replace(F.col(text), F.lit('"'), F.lit(""))), "_b": F.floor(F.col(number) / block)}
@@ -52,6 +56,31 @@ def assemble(lines: DataFrame, file: str, number: str, text: str, block: int = 1
     )
 
 
+def physical_lines(records: DataFrame, file: str, number: str, text: str) -> DataFrame:
+    """(file, number, text): the lines a file of these records has, numbered in their order; number grows by LINES a record."""
+    d = records.select(file, (F.col(number).cast("bigint") * LINES).alias(number), F.col(text).alias("_t"))
+    return d.select(file, number, F.posexplode(F.split("_t", "\n")).alias("_p", text)).select(file, (F.col(number) + F.col("_p")).alias(number), text)
+
+
+def whole_on_its_own(text: str) -> Column:
+    """Whether a file can give this record back: its quotes are paired and no line end lies outside them."""
+    bare = F.regexp_replace(text, '"[^"]*"', "")
+    return ~bare.contains('"') & ~bare.contains("\n")
+
+
+def _one_line(record: str) -> tuple[str, str]:
+    """The record as one line for the reader, and the characters that stand for \\n and \\r.
+
+    The reader ends a record at a line end outside quotes.  Where the record
+    comes whole such a line end belongs to its field, so each is replaced by a
+    character that the record doesn't have.
+    """
+    if "\n" not in record and "\r" not in record:
+        return record, ""
+    a, b = itertools.islice((c for c in map(chr, range(0xE000, 0x110000)) if c not in record), 2)
+    return record.replace("\n", a).replace("\r", b), a + b
+
+
 def fields(record: str | None) -> list[str]:
     """The fields of one record by Python's strict reader; BrokenQuotes or WrongWidth when the structure fails.
 
@@ -61,7 +90,7 @@ def fields(record: str | None) -> list[str]:
     """
     if not record:
         raise WrongWidth("no fields")
-    raw = record.translate(_HIDE)
+    raw, ends = _one_line(record)
     try:
         row = next(csv.reader([raw], strict=True))
     except csv.Error as e:
@@ -77,7 +106,7 @@ def fields(record: str | None) -> list[str]:
                 at += len(f) + 1
     if len(row) != len(FIELDS):
         raise WrongWidth(f"{len(row)} fields")
-    return [f.translate(_SHOW) for f in row]
+    return [f.replace(ends[0], "\n").replace(ends[1], "\r") for f in row] if ends else row
 
 
 _digits10, _digits6 = re.compile(r"[0-9]{10}"), re.compile(r"[0-9]{6}")
@@ -126,6 +155,17 @@ def parsed(lines: DataFrame, text: str = "linea") -> DataFrame:
     return lines.mapInArrow(lambda it: _parse(it, text), schema)
 
 
+def parsed_file(lines: DataFrame, file: str, number: str, text: str) -> DataFrame:
+    """``parsed`` for the physical lines of files: records are assembled first."""
+    return parsed(assemble(lines, file, number, text), text)
+
+
+def reassembled(records: DataFrame, file: str = "archivo", number: str = "linea_no", text: str = "linea") -> DataFrame:
+    """(file, number, text): records cut into physical lines and assembled again; those that no file can give back are left out."""
+    lines = physical_lines(records.filter(whole_on_its_own(text)), file, number, text)
+    return assemble(lines, file, number, text, block=100_000 * LINES).select(file, F.floor(F.col(number) / LINES).cast(dict(records.dtypes)[number]).alias(number), text)
+
+
 def rejected(lines: DataFrame, key: str = "linea_id", text: str = "linea") -> DataFrame:
     """(key, motivo): one row per reason of each unusable record."""
     return parsed(lines.select(key, text), text).select(key, F.explode("motivos").alias("motivo"))

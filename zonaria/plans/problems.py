@@ -31,6 +31,10 @@ def p2_loaded(spark: SparkSession, folder: str) -> DataFrame:
     return rejects.loaded(table(spark, folder, "denue_crudo"))
 
 
+def p2_records(spark: SparkSession, folder: str) -> DataFrame:
+    return rejects.reassembled(table(spark, folder, "denue_crudo"))
+
+
 def _economy(spark: SparkSession, folder: str) -> tuple[list[orphans.References], list[orphans.Parents]]:
     return orphans.economy(*(table(spark, folder, t) for t in ("warehouse", "denue", "crosswalk", "sectores", "scian")))
 
@@ -69,7 +73,7 @@ def p7_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_loaded, p4_found, p4_report, p5_found, p5_unified, p5_lifespans, p6_found, p7_found, p7_totals)
+    f.__name__: f for f in (p1_found, p1_profile, p2_found, p2_loaded, p2_records, p4_found, p4_report, p5_found, p5_unified, p5_lifespans, p6_found, p7_found, p7_totals)
 }
 
 _CODE = r"nullif(regexp_replace(regexp_replace(upper({}), '^\s+|\s+$', '', 'g'), '\.0$', ''), '')"
@@ -95,7 +99,32 @@ _P1 = """
     d as (select par as lote, columna, case when columna = 'omega_metodo' then sum(abs(xa - xc)) / 2 else max(abs(fa - fc)) end as gap from cum group by par, columna)
 """
 
+_FIELD = '(?:"(?:[^"]|"")*"|[^",]*)'
+
+
+def _field(k: int) -> str:
+    raw = f"regexp_extract(l, '{','.join([f'({_FIELD})'] * 6)}', {k})"
+    return f"case when {raw}[1] = '\"' then replace({raw}[2:length({raw}) - 1], '\"\"', '\"') else {raw} end"
+
+
+_P2 = f"""
+    l as (select *, coalesce(linea, '') as l from denue_crudo),
+    s as (select *, regexp_full_match(l, '{_FIELD}(?:,{_FIELD})*') as comillas, length(regexp_replace(l, '"(?:[^"]|"")*"', '', 'g')) - length(replace(regexp_replace(l, '"(?:[^"]|"")*"', '', 'g'), ',', '')) = 5 as columnas from l),
+    f as (select *, {', '.join(f"{_field(k)} as {n}" if k in (2, 4) else f"regexp_replace({_field(k)}, '^[[:space:]]+|[[:space:]]+$', '', 'g') as {n}" for k, n in enumerate(rejects.FIELDS, 1))} from s where comillas and columnas),
+    c as (select *, regexp_full_match(id, '[0-9]{{10}}') as b1, regexp_full_match(codigo_act, '[0-9]{{6}}') as b2,
+                 case when regexp_full_match(latitud, '[+-]?[0-9]+(\\.[0-9]+)?') then latitud::double between 14 and 33 else false end as b3,
+                 case when regexp_full_match(longitud, '[+-]?[0-9]+(\\.[0-9]+)?') then longitud::double between -119 and -86 else false end as b4 from f)
+"""
+
 ORACLE: dict[str, str] = {
+    "p2_found": f"""with {_P2}
+        select linea_id, 'comillas' as motivo from s where not comillas union all select linea_id, 'columnas' from s where comillas and not columnas
+        union all select linea_id, 'id' from c where not b1 union all select linea_id, 'codigo_act' from c where not b2
+        union all select linea_id, 'latitud' from c where not b3 union all select linea_id, 'longitud' from c where not b4""",
+    "p2_loaded": f"""with {_P2}
+        select linea_id, archivo, linea_no, id, nom_estab, codigo_act, per_ocu, latitud::double as latitud, longitud::double as longitud from c where b1 and b2 and b3 and b4""",
+    "p2_records": """
+        select archivo, linea_no, linea from denue_crudo where not contains(regexp_replace(linea, '"[^"]*"', '', 'g'), '"') and not contains(regexp_replace(linea, '"[^"]*"', '', 'g'), chr(10))""",
     "p1_found": f"""with {_P1}
         select lote, columna, 'nulos' as hallazgo from b where anterior is not null and nulos / filas - pn / pf > 0.10
         union all select lote, columna, case when columna = 'omega_metodo' then 'patron' else 'rango' end from b where malos > 0
