@@ -52,6 +52,33 @@ def test_ranges_and_shards_change_nothing(spark, monkeypatch, keys, probe, small
     parents = [(f"K{i:03d}", D(2021, 1 + i % 12, 1), None) for i in range(0, 40, 2)]
     want = found(frames(spark, w, sectores=parents))
     monkeypatch.setattr(O, "RANGE_KEYS", keys)
+    monkeypatch.setattr(O, "LEAST_KEYS", keys)
     monkeypatch.setattr(O, "PROBE_KEYS", probe)
     monkeypatch.setattr(O, "SMALL_MISSES", small)
     assert found(frames(spark, w, sectores=parents)) == want and want
+
+
+def test_a_key_with_many_rows_is_left_with_one_per_month(spark):
+    """100 000 rows of force of one key: reduced before they are probed, verdicts as by definition."""
+    rows = spark.range(100_000).selectExpr("'A' as scian", "timestamp'2020-01-15' + make_interval(0, cast(id % 24 as int)) + make_interval(0, 0, 0, cast(id % 9 as int)) as vigente_desde", "case when id % 24 < 20 then timestamp'2020-03-01' + make_interval(0, cast(id % 24 as int)) else timestamp'2020-06-01' end as vigente_hasta")
+    w, d, c, _, x = frames(spark, [(k, "A", f"20{19 + k // 12:02d}-{1 + k % 12:02d}") for k in range(48)])
+    refs, parents = O.economy(w, d, c, rows, x)
+    assert O._parent_table(parents).count() == 24
+    got = {(r["periodo"], r["motivo"]) for r in O.orphans(refs, parents).collect()}
+    facts = [(r[0], r[1]) for r in rows.select("vigente_desde", "vigente_hasta").distinct().collect()]
+    want = set()
+    for k in range(48):
+        y, m = 2019 + k // 12, 1 + k % 12
+        a, b = D(y, m, 1), D(y + m // 12, m % 12 + 1, 1)
+        begun = [h for s, h in facts if s < b]
+        if not any(h > a for h in begun):
+            want.add((f"{y}-{m:02d}", "retirada" if begun else "posterior"))
+    assert got == want and len(want) > 10
+
+
+def test_ranges_follow_the_data(spark):
+    """Small catalogues too are cut into several ranges, and nothing is joined by a nested loop."""
+    parents = spark.range(1000).selectExpr("'o' as objetivo", "cast(id as string) as llave", "cast(null as timestamp) as desde", "cast(null as timestamp) as hasta")
+    assert len(O._ranges(parents)) == 1 and O._ranges(parents.limit(100)) == []
+    m = O.misses(*O.economy(*frames(spark, [(1, "A", "2021-01")], sectores=SECTORS)))
+    assert "NestedLoop" not in m._jdf.queryExecution().toString()

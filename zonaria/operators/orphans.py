@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from zonaria.functions.codes import month_start, norm_code
 from zonaria.session import materialise
 
-RANGE_KEYS = 250_000  #: parent rows per key range
+RANGE_KEYS = 250_000  #: parent rows per key range, at most
+LEAST_KEYS = 64  #: parent rows below which a range isn't cut further
 PROBE_KEYS = 1_000_000  #: distinct references per probing task
 SMALL_MISSES = 100_000  #: misses up to which they are broadcast to the referring rows
 
@@ -44,40 +45,51 @@ class References:
 
 
 def _probe(parents: pd.DataFrame, refs: pd.DataFrame) -> pd.DataFrame:
-    """Verdicts of a range's references against its parents, held as arrays sorted by key.
+    """Verdicts of a range's references against its parents, held as arrays sorted by key and start.
 
-    Each key's rows are a slice found by two binary searches; with running
-    minima and maxima over the slices a verdict needs no loop over references.
+    The parents of a key that start before a reference's month ends are a
+    prefix of its slice, found by one binary search; the latest end within the
+    prefix is a running maximum.  No step loops over keys, parents or references.
     """
     out = refs[["objetivo", "llave", "mes"]].copy()
-    p_keys = (parents["objetivo"] + "\x00" + parents["llave"]).to_numpy(dtype=object)
-    order = np.argsort(p_keys, kind="stable")
-    p_keys = p_keys[order]
     low, high = np.iinfo(np.int64).min, np.iinfo(np.int64).max
     us = lambda s, null: s.astype("datetime64[us]").astype("int64").where(s.notna(), null).to_numpy()
-    since, until = us(parents["desde"], low)[order], us(parents["hasta"], high)[order]
-    r_keys = (out["objetivo"] + "\x00" + out["llave"]).to_numpy(dtype=object)
-    first, last = np.searchsorted(p_keys, r_keys, "left"), np.searchsorted(p_keys, r_keys, "right")
-    start, end = us(out["mes"], low), us(refs["mes_fin"], high)
-    width = last - first
-    held = np.zeros(len(out), dtype=bool)
-    begun = np.zeros(len(out), dtype=bool)
-    for k in range(int(width.max(initial=0))):  # as often as the most rows of one key
-        at = np.flatnonzero(width > k)
-        j = first[at] + k
-        started = since[j] < end[at]
-        begun[at] |= started
-        held[at] |= started & (until[j] > start[at])
+    p_keys, r_keys = ((d["objetivo"] + "\x00" + d["llave"]).to_numpy(dtype=object) for d in (parents, out))
+    since, until = us(parents["desde"], low), us(parents["hasta"], high)
+    start, end = us(out["mes"], low), us(refs["mes_fin"], low)
+    keys = np.unique(p_keys)
+    p_code, r_code = np.searchsorted(keys, p_keys), np.searchsorted(keys, r_keys)
+    there = r_code < len(keys)
+    there[there] = keys[r_code[there]] == r_keys[there]
+    order = np.lexsort((since, p_code))
+    p_code, since, until = p_code[order], since[order], until[order]
+    # One number per key and date, the date by its place among all dates, so that one search finds both.
+    dates = np.unique(np.concatenate([since, end]))
+    width = len(dates) + 1
+    prefix = np.searchsorted(p_code * width + np.searchsorted(dates, since), r_code * width + np.searchsorted(dates, end), "left")
+    begun = there & (prefix > np.searchsorted(p_code, r_code, "left"))
+    latest = pd.Series(until).groupby(p_code).cummax().to_numpy()
+    held = begun.copy()
+    held[begun] = latest[prefix[begun] - 1] > start[begun]
     known = out["mes"].notna().to_numpy()
-    out["motivo"] = np.where(width == 0, "inexistente", np.where(begun | ~known, "retirada", "posterior"))
-    return out[(width == 0) | (known & ~held)]
+    out["motivo"] = np.where(~there, "inexistente", np.where(begun | ~known, "retirada", "posterior"))
+    return out[~there | (known & ~held)]
 
 
 def _parent_table(parents: Sequence[Parents]) -> DataFrame:
+    """(objetivo, llave, desde, hasta): per key and month of start the latest end, null when one has no end.
+
+    References ask about whole months, so a start matters by its month and of
+    the rows that start in one month only the one that lasts longest.  A key
+    with any number of rows is left with one per month, summed up before the
+    shuffle.
+    """
     out = None
     for p in parents:
-        d = p.rows.select(F.lit(p.name).alias("objetivo"), p.key.alias("llave"), p.since.cast("timestamp").alias("desde"), p.until.cast("timestamp").alias("hasta"))
-        d = d.filter(F.col("llave").isNotNull()).distinct()
+        start = F.date_trunc("month", p.since.cast("timestamp"))
+        d = p.rows.select(F.lit(p.name).alias("objetivo"), p.key.alias("llave"), start.alias("desde"), p.until.cast("timestamp").alias("hasta"))
+        last = F.when(F.count_if(F.col("hasta").isNull()) == 0, F.max("hasta"))
+        d = d.filter(F.col("llave").isNotNull()).groupBy("objetivo", "llave", "desde").agg(last.alias("hasta"))
         out = d if out is None else out.unionByName(d)
     return out
 
@@ -89,8 +101,13 @@ def _referring(r: References, *more: Column) -> DataFrame:
 
 
 def _ranges(parents: DataFrame) -> list[str]:
-    """First key of every key range but the lowest: one key per RANGE_KEYS parents."""
-    n = -(-parents.count() // RANGE_KEYS)
+    """First key of every key range but the lowest.
+
+    As many ranges as the session has shuffle partitions, but none of fewer than
+    LEAST_KEYS parents or more than RANGE_KEYS.
+    """
+    count, tasks = parents.count(), int(parents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(-(-count // RANGE_KEYS), min(tasks, count // LEAST_KEYS))
     if n < 2:
         return []
     full = F.concat("objetivo", F.lit("\x00"), "llave").alias("k")
@@ -119,7 +136,7 @@ def misses(refs: Sequence[References], parents: Sequence[Parents]) -> DataFrame:
             yield pd.Series(np.searchsorted(np.array(bounds, dtype=object), s.to_numpy(dtype=object), "right")).astype("int32")
 
     full = F.concat("objetivo", F.lit("\x00"), "llave")
-    rango = F.pandas_udf(to_range, "int")(full) if bounds else F.lit(0)
+    rango = F.pandas_udf(to_range, "int")(full)
     keys = materialise(keys.select("*", F.add_months("mes", 1).cast("timestamp").alias("mes_fin"), rango.alias("rango")))
     shards = keys.groupBy("rango").agg(F.ceil(F.count("*") / PROBE_KEYS).cast("int").alias("partes"))
     copies = F.explode(F.sequence(F.lit(0), F.col("partes") - 1)).alias("p_parte")

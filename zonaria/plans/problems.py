@@ -154,3 +154,5 @@ ORACLE: dict[str, str] = {
         select r.sector_serio, n.nombre, count(*) as filas, sum(e) as empleo_total, round(count(*) / (select count(*) from r), 9) as proporcion, r.sector_serio is not null and count(*) >= 0.05 * (select count(*) from r) as dominante
         from r left join (select {_code('scian')} as sector_serio, min(nombre) as nombre from sectores group by 1) n on n.sector_serio = r.sector_serio group by r.sector_serio, n.nombre""",
 }
+
+ORACLE["p4_report"] = f"select tabla, campo, periodo, motivo, count(*) as filas from ({ORACLE['p4_found']}) group by all"
