@@ -43,3 +43,13 @@ def test_edges(spark):
     assert skew.dominant_sectors(five, names).count() == 20  # 1 of 20 is 5 %
     nulls = spark.createDataFrame([(None, None, None, None, None), (1, None, None, None, None)], SCHEMA)
     assert [tuple(r)[:1] for r in skew.sector_totals(nulls, names).collect()] == [(None,)]
+
+
+def test_a_hot_null_key_is_split(spark):
+    """Rows without key that own a third of all are weighed and sharded like any other key."""
+    df = spark.range(12_000).selectExpr("id as fila_id", "case when id % 3 > 0 then concat('K', id % 997) end as k")
+    p = skew.plan(df.groupBy("k").count(), "k", "count", 8)
+    assert len(set(p.heavy[""])) >= 2
+    sizes = [r["count"] for r in skew.fragment(p, df, "k", "fila_id").groupBy("_slot").count().collect()]
+    assert max(sizes) < 1.5 * 12_000 / 8
+    assert skew.fragment(p, df, "k", "fila_id").filter("k is null").count() == 4000

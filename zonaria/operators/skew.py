@@ -39,7 +39,8 @@ class Plan:
 def plan(loads: DataFrame, key: str, rows: str, tasks: int) -> Plan:
     """Bin-packs keys to tasks by their row counts.
 
-    ``loads`` has one row per key.  A key above a task's fair share is split in
+    ``loads`` has one row per key; a null key is a key like any other, named "".
+    A key above a task's fair share is split in
     proportion to it, so there are at most 2 * tasks shards; every other key
     goes with its hash bucket.  Shards and buckets, largest first, go to the
     task with the least load.  The driver holds O(tasks) numbers.
@@ -49,9 +50,10 @@ def plan(loads: DataFrame, key: str, rows: str, tasks: int) -> Plan:
     total = loads.agg(F.sum(rows)).first()[0] or 0
     share = max(1, -(-total // tasks))
     buckets = BUCKETS_PER_TASK * tasks
-    heavy = loads.filter((F.col(rows) >= share) & F.col(key).isNotNull()).select(key, rows).collect()
+    loads = loads.groupBy(_named(key).alias(key)).agg(F.sum(rows).alias(rows))
+    heavy = loads.filter(F.col(rows) >= share).select(key, rows).collect()
     light = (
-        loads.filter((F.col(rows) < share) & F.col(key).isNotNull())
+        loads.filter(F.col(rows) < share)
         .groupBy(_bucket(F.col(key), buckets).alias("b"))
         .agg(F.sum(rows).alias("n"))
         .collect()
@@ -74,6 +76,10 @@ def plan(loads: DataFrame, key: str, rows: str, tasks: int) -> Plan:
     return Plan(tasks, at, where)
 
 
+def _named(key: str) -> Column:
+    return F.coalesce(F.col(key), F.lit(""))
+
+
 def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
@@ -81,11 +87,12 @@ def _bucket(key: Column, buckets: int) -> Column:
 def _placed(p: Plan, df: DataFrame, key: str, kind: str) -> DataFrame:
     """``df`` with ``_slots``, the slots its key lives in."""
     spark = df.sparkSession
-    light = F.array(F.element_at(F.array(*map(F.lit, p.light)), _bucket(F.coalesce(F.col(key), F.lit("")), len(p.light)) + 1))
+    slots_of = F.from_json(F.lit(str(p.light)), "array<int>")  # folded to one constant, whatever its length
+    light = F.array(F.element_at(slots_of, _bucket(_named(key), len(p.light)) + 1))
     if not p.heavy:
         return df.withColumn("_slots", light)
     known = F.broadcast(spark.createDataFrame([(k, v) for k, v in p.heavy.items()], f"_k {kind}, _h array<int>"))
-    return df.join(known, F.col(key) == F.col("_k"), "left").withColumn("_slots", F.coalesce("_h", light)).drop("_k", "_h")
+    return df.join(known, _named(key) == F.col("_k"), "left").withColumn("_slots", F.coalesce("_h", light)).drop("_k", "_h")
 
 
 def fragment(p: Plan, rows: DataFrame, key: str, spread: str) -> DataFrame:
