@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -34,29 +36,45 @@ def name_key(c: str | Column) -> Column:
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
-def exploded(recs: DataFrame) -> DataFrame:
-    """(serie, archivo, registro_id, est, campo, clase, valor): one row per field of each record.
+NUMBER = re.compile(r"BIGINT|INT|SMALLINT|TINYINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\)|NUMBER")
+FIELD = re.compile(r"(?:`((?:[^`]|``)*)`|([A-Za-z0-9_]+)): ")
 
-    clase is number, text, boolean or other, null for a JSON null; valor is the
-    value as it is written in the record; est is the record's ``id``.  Text
-    that isn't a JSON object has no fields.
+
+def shape(registro: str) -> Column:
+    """The names and kinds of a record's fields as one text, null where it is no JSON object.
+
+    Numbers of any width count as one kind, so that records of a file share few
+    shapes; names in back quotes that hold a colon are left as they are.
     """
-    d = recs.withColumns({"_v": F.try_parse_json("registro"), "_m": F.from_json("registro", "map<string,string>")})
-    d = d.withColumn("est", F.get(F.map_values(F.map_filter("_m", lambda k, v: (name_key(k) == "id") & v.isNotNull())), F.lit(0)))
-    d = d.filter(F.schema_of_variant("_v").startswith("OBJECT"))
-    out = recs.sparkSession.sql(
-        "select serie, archivo, registro_id, est, t.k as _k, schema_of_variant(t.v) as _t, element_at(_m, t.k) as valor from {d}, lateral variant_explode(_v) as t(pos, k, v)",
-        d=d,
-    )
-    t = F.col("_t")
-    kind = (
-        F.when(t == "VOID", None)
-        .when(t == "STRING", "text")
-        .when(t == "BOOLEAN", "boolean")
-        .when(t.rlike("^(?:BIGINT|DOUBLE|FLOAT|DECIMAL.*)$"), "number")
-        .otherwise("other")
-    )
-    return out.select("serie", "archivo", "registro_id", "est", name_key("_k").alias("campo"), kind.alias("clase"), F.when(t != "VOID", F.col("valor")).alias("valor"))
+    t = F.schema_of_variant(F.try_parse_json(registro))
+    plain = F.regexp_replace(t, r": (?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\))(?=[,>])", ": NUMBER")
+    return F.when(t.startswith("OBJECT"), F.when(t.rlike("`[^`:]+:"), t).otherwise(plain))
+
+
+def fields_of(shape_text: str) -> list[tuple[str, str | None]]:
+    """(name, kind) of the fields of a shape: number, text, boolean or other; None for a JSON null."""
+    out, at, end = [], len("OBJECT<"), len(shape_text) - 1
+    while at < end:
+        m = FIELD.match(shape_text, at)
+        name = m[1].replace("``", "`") if m[1] is not None else m[2]
+        at = start = m.end()
+        depth = 0
+        while at < end and (depth or shape_text[at] != ","):  # up to the comma that ends this field
+            if shape_text[at] == "`":
+                at = shape_text.index("`", at + 1)
+            depth += {"<": 1, "(": 1, ">": -1, ")": -1}.get(shape_text[at], 0)
+            at += 1
+        t = shape_text[start:at]
+        kind = {"VOID": None, "STRING": "text", "BOOLEAN": "boolean"}.get(t, "number" if NUMBER.fullmatch(t) else "other")
+        out.append((name, kind))
+        at += 2
+    return out
+
+
+def _unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = [(s, a, k, c, n) for s, a, f, n in zip(pdf["serie"], pdf["archivo"], pdf["forma"], pdf["n"], strict=True) for k, c in fields_of(f)]
+        yield pd.DataFrame(rows, columns=["serie", "archivo", "clave", "clase", "n"])
 
 
 @dataclass(frozen=True)
@@ -67,17 +85,28 @@ class Catalogue:
     spans: DataFrame
 
 
-def catalogue(recs: DataFrame, fields: DataFrame) -> Catalogue:
-    """The column lifespan catalogue from records and their exploded fields.  Its rows are files x fields, not records."""
+def catalogue(entregas: DataFrame) -> Catalogue:
+    """The column lifespan catalogue.  Its rows are files x fields, not records.
+
+    A record is parsed once and stands for its shape; shapes are counted per
+    file before they are unfolded into fields, the footer of the file.
+    """
+    in_file = entregas.filter(F.col("serie").isNotNull() & F.col("archivo").isNotNull())
+    same = F.when(F.col("registro_id").isNull(), F.xxhash64("registro")).alias("sin_id")
+    once = in_file.select("registro_id", "serie", "archivo", "fecha_corte", shape("registro").alias("forma"), same).distinct()
+    shapes = materialise(once.groupBy("serie", "archivo", "fecha_corte", "forma").agg(F.count("*").alias("n")))
     by_date = Window.partitionBy("serie").orderBy(F.col("fecha_corte").asc_nulls_first(), "archivo")
-    files = recs.groupBy("serie", "archivo").agg(F.min("fecha_corte").alias("fecha_corte"))
+    files = shapes.groupBy("serie", "archivo").agg(F.min("fecha_corte").alias("fecha_corte"))
     files = files.withColumn("orden", F.row_number().over(by_date)).withColumn("ultimo", F.max("orden").over(Window.partitionBy("serie")))
     files = materialise(files)
-    kinds = fields.groupBy("serie", "archivo", "campo", "clase").agg(F.count("*").alias("n"))
+    named = shapes.filter(F.col("forma").isNotNull()).select("serie", "archivo", "forma", "n")
+    keys = named.mapInPandas(_unfold, "serie string, archivo string, clave string, clase string, n bigint").withColumn("campo", name_key("clave"))
+    kinds = keys.groupBy("serie", "archivo", "campo", "clase").agg(F.sum("n").alias("n"), F.collect_set("clave").alias("claves"))
     per_field = kinds.groupBy("serie", "archivo", "campo").agg(
         F.min(F.when(F.col("clase").isNotNull(), F.struct((-F.col("n")).alias("n"), "clase")))["clase"].alias("clase"),
         F.sum("n").alias("presentes"),
         F.coalesce(F.sum(F.when(F.col("clase").isNotNull(), F.col("n"))), F.lit(0)).alias("con_valor"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("claves")))).alias("claves"),
     )
     w = Window.partitionBy("serie", "campo").orderBy("orden")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -94,8 +123,7 @@ def catalogue(recs: DataFrame, fields: DataFrame) -> Catalogue:
 
 def lifespans(entregas: DataFrame) -> DataFrame:
     """(serie, campo, clase, desde_archivo, hasta_archivo, archivos): runs of consecutive files with a field of one kind."""
-    recs = records(entregas)
-    spans = catalogue(recs, exploded(recs)).spans
+    spans = catalogue(entregas).spans
     w = Window.partitionBy("serie", "campo").orderBy("orden")
     new = (F.col("empieza") | ~F.col("clase").eqNullSafe(F.lag("clase").over(w))).cast("int")
     return (
@@ -107,43 +135,39 @@ def lifespans(entregas: DataFrame) -> DataFrame:
     )
 
 
-def renames(fields: DataFrame, cat: Catalogue) -> DataFrame:
+def renames(entregas: DataFrame, cat: Catalogue) -> DataFrame:
     """(serie, orden, antes, despues): fields gone in a file whose values live on under a new name.
 
     Candidates are the pairs of an ending and a beginning lifespan in one file;
-    only their values are compared.  At least half of the establishments in
-    both files must have the same non-null text.  A record without id belongs
-    to no establishment; an establishment's records in one file are alternatives.
+    only their files are read again, and of those only the candidates' values.
+    At least half of the establishments in both files must have the same
+    non-null text.  A record without id belongs to no establishment; an
+    establishment's records in one file are alternatives.
     """
     s = cat.spans
-    gone = s.filter(F.col("termina") & (F.col("orden") < F.col("ultimo"))).select("serie", (F.col("orden") + 1).alias("orden"), F.col("campo").alias("antes"))
-    new = s.filter(F.col("empieza") & (F.col("orden") > 1)).select("serie", "orden", F.col("campo").alias("despues"))
-    pairs = materialise(gone.join(new, ["serie", "orden"]))
-    values = fields.filter(F.col("est").isNotNull()).join(cat.files.select("serie", "archivo", "orden"), ["serie", "archivo"])
-    wanted = (
-        pairs.select("serie", (F.col("orden") - 1).alias("orden"), F.col("antes").alias("campo"), F.lit(0).alias("lado"))
-        .unionByName(pairs.select("serie", "orden", F.col("despues").alias("campo"), F.lit(1).alias("lado")))
-        .distinct()
-    )
-    v = (
-        values.filter(F.col("valor").isNotNull())
-        .join(wanted, ["serie", "orden", "campo"])
-        .select("serie", (F.col("orden") + 1 - F.col("lado")).alias("par"), "lado", "est", "campo", "valor")
-        .distinct()
-    )
-    left = v.filter("lado = 0").select("serie", "par", "est", "valor", F.col("campo").alias("antes"))
-    right = v.filter("lado = 1").select("serie", "par", "est", "valor", F.col("campo").alias("despues"))
-    equal = left.join(right, ["serie", "par", "est", "valor"]).groupBy("serie", "par", "antes", "despues").agg(F.countDistinct("est").alias("iguales"))
-    there = values.select("serie", "orden", "est").distinct()
-    at = pairs.select("serie", "orden").distinct()
-    sides = there.join(at, ["serie", "orden"]).select("serie", F.col("orden").alias("par"), "est")
-    before = there.withColumn("par", F.col("orden") + 1).select("serie", "par", "est")
-    common = sides.join(before, ["serie", "par", "est"]).groupBy("serie", "par").agg(F.count("*").alias("comunes"))
-    return (
-        equal.join(common, ["serie", "par"])
-        .filter(F.col("iguales") * 2 >= F.col("comunes"))
-        .select("serie", F.col("par").alias("orden"), "antes", "despues")
+    gone = s.filter(F.col("termina") & (F.col("orden") < F.col("ultimo"))).select("serie", (F.col("orden") + 1).alias("par"), F.col("campo").alias("antes"), F.col("claves").alias("_antes"))
+    new = s.filter(F.col("empieza") & (F.col("orden") > 1)).select("serie", F.col("orden").alias("par"), F.col("campo").alias("despues"), F.col("claves").alias("_despues"))
+    pairs = materialise(gone.join(new, ["serie", "par"]))
+    asked = (
+        pairs.select("serie", (F.col("par") - 1).alias("orden"), F.struct("par", F.lit(1).alias("lado"), F.col("antes").alias("campo"), F.col("_antes").alias("claves")).alias("pedido"))
+        .unionByName(pairs.select("serie", F.col("par").alias("orden"), F.struct("par", F.lit(2).alias("lado"), F.col("despues").alias("campo"), F.col("_despues").alias("claves")).alias("pedido")))
+        .groupBy("serie", "orden")
+        .agg(F.collect_set("pedido").alias("pedidos"))
     )
+    ident = s.filter("campo = 'id'").select("serie", "orden", F.col("claves").alias("ids"))
+    asked = materialise(asked.join(cat.files.select("serie", "orden", "archivo"), ["serie", "orden"]).join(ident, ["serie", "orden"]).drop("orden"))
+    m = F.from_json("registro", "map<string,string>")
+    given = lambda ks: F.filter(F.transform(ks, lambda k: F.try_element_at("_m", k)), lambda v: v.isNotNull())
+    d = entregas.select("serie", "archivo", m.alias("_m")).join(asked, ["serie", "archivo"]).withColumn("est", F.get(given(F.col("ids")), F.lit(0))).filter(F.col("est").isNotNull())
+    d = d.select("serie", "est", F.inline(F.transform("pedidos", lambda p: F.struct(p["par"].alias("par"), p["lado"].alias("lado"), p["campo"].alias("campo"), given(p["claves"]).alias("_v")))))
+    d = d.select("serie", "par", "lado", "campo", "est", F.explode_outer("_v").alias("valor"))
+    on = lambda side: F.collect_set(F.when((F.col("lado") == side) & F.col("valor").isNotNull(), F.col("campo")))
+    met = d.groupBy("serie", "par", "est", "valor").agg(F.bit_or("lado").alias("lados"), on(1).alias("antes"), on(2).alias("despues"))
+    common = met.groupBy("serie", "par", "est").agg(F.bit_or("lados").alias("lados")).filter("lados = 3").groupBy("serie", "par").agg(F.count("*").alias("comunes"))
+    equal = met.filter((F.size("antes") > 0) & (F.size("despues") > 0)).select("serie", "par", "est", F.explode("antes").alias("antes"), "despues")
+    equal = equal.select("serie", "par", "est", "antes", F.explode("despues").alias("despues")).distinct().groupBy("serie", "par", "antes", "despues").agg(F.count("*").alias("iguales"))
+    named = equal.join(common, ["serie", "par"]).filter(F.col("iguales") * 2 >= F.col("comunes"))
+    return named.select("serie", F.col("par").alias("orden"), "antes", "despues")
 
 
 def _log(cat: Catalogue, named: DataFrame) -> DataFrame:
@@ -170,10 +194,8 @@ def _log(cat: Catalogue, named: DataFrame) -> DataFrame:
 
 def changes(entregas: DataFrame) -> DataFrame:
     """(archivo, cambio, campo_antes, campo_despues): renombrado, eliminado, agregado and tipo, with their file."""
-    recs = records(entregas)
-    fields = materialise(exploded(recs).drop("registro_id"))
-    cat = catalogue(recs, fields)
-    return _log(cat, materialise(renames(fields, cat)))
+    cat = catalogue(entregas)
+    return _log(cat, materialise(renames(entregas, cat)))
 
 
 def _alias_rows(pdf: pd.DataFrame, known: dict[str, str]) -> pd.DataFrame:
@@ -212,27 +234,22 @@ def unified(entregas: DataFrame) -> DataFrame:
     ``otros``.  Of several fields with one constant name the first by name with
     a value counts.  A record without fields has nulls.
     """
-    recs = records(entregas)
-    fields = materialise(exploded(recs))
-    cat = catalogue(recs, fields)
-    names = materialise(alias_table(cat, materialise(renames(fields, cat))))
-    files = cat.files.select("serie", "archivo", "orden")
-    v = (
-        fields.filter(F.col("valor").isNotNull())
-        .join(files, ["serie", "archivo"])
-        .join(names, ["serie", "orden", "campo"])
-        .groupBy("registro_id", "serie", "archivo", "constante")
-        .agg(F.min_by("valor", "campo").alias("valor"))
-    )
+    cat = catalogue(entregas)
+    names = alias_table(cat, materialise(renames(entregas, cat)))
+    spelt = cat.spans.select("serie", "orden", "campo", F.explode("claves").alias("clave")).join(names, ["serie", "orden", "campo"])
+    per_file = spelt.groupBy("serie", "orden").agg(F.array_sort(F.collect_list(F.struct("campo", "clave", "constante"))).alias("campos"))
+    per_file = materialise(cat.files.select("serie", "archivo", "orden").join(per_file, ["serie", "orden"], "left"))
+    m = F.when(shape("registro").isNotNull(), F.from_json("registro", "map<string,string>"))
+    d = records(entregas).withColumn("_m", m).join(per_file, ["serie", "archivo"])
+    value = lambda c: F.struct(c["constante"].alias("constante"), F.try_element_at("_m", c["clave"]).alias("valor"))
+    d = d.withColumn("_v", F.filter(F.transform("campos", value), lambda v: v["valor"].isNotNull()))
+    first = lambda name: F.get(F.filter("_v", lambda v: v["constante"] == name), F.lit(0))["valor"]
     constant = list(ALIASES)
-    pick = lambda c: F.max(F.when(F.col("constante") == c, F.col("valor"))).alias(c)
-    other = F.map_from_entries(F.array_sort(F.collect_list(F.when(~F.col("constante").isin(constant), F.struct("constante", "valor"))))).alias("otros")
-    wide = v.groupBy("registro_id", "serie", "archivo").agg(*(pick(c) for c in constant), other)
-    keys = recs.select("registro_id", "serie", "archivo").distinct().join(files, ["serie", "archivo"])
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"w.{c}")) for c in ("registro_id", "serie", "archivo")]
-    out = keys.alias("k").join(wide.alias("w"), same, "left")
+    rest = F.array_sort(F.array_distinct(F.filter(F.transform("_v", lambda v: v["constante"]), lambda c: ~c.isin(constant))))
+    other = F.when(F.size("_v") > 0, F.map_from_arrays(rest, F.transform(rest, first)))
+    d = d.select("registro_id", "serie", "archivo", "orden", *(first(c).alias(c) for c in constant), other.alias("otros"))
     number = lambda c: F.expr(f"try_cast(trim({c}) as double)")
-    return out.select(
-        "k.registro_id", "k.serie", "k.archivo", "orden", F.trim("id").alias("id"), "nom_estab", norm_code("codigo_act").alias("codigo_act"), "per_ocu",
+    return d.select(
+        "registro_id", "serie", "archivo", "orden", F.trim("id").alias("id"), "nom_estab", norm_code("codigo_act").alias("codigo_act"), "per_ocu",
         number("latitud").alias("latitud"), number("longitud").alias("longitud"), "otros",
     )

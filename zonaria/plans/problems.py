@@ -116,7 +116,39 @@ _P2 = f"""
                  case when regexp_full_match(longitud, '[+-]?[0-9]+(\\.[0-9]+)?') then longitud::double between -119 and -86 else false end as b4 from f)
 """
 
+_P5 = r"""
+    r as (select distinct registro_id, serie, archivo, fecha_corte, registro from denue_entregas where serie is not null and archivo is not null),
+    fi as (select serie, archivo, row_number() over (partition by serie order by min(fecha_corte), archivo) as orden, count(*) over (partition by serie) as ultimo from r group by serie, archivo),
+    ok as (select serie, archivo, registro_id, case when json_valid(registro) then registro end as j from r),
+    ob as (select row_number() over () as fila, * from ok where json_type(j) = 'OBJECT'),
+    fd as (select fila, serie, archivo, lower(regexp_replace(e.key, '^\s+|\s+$', '', 'g')) as campo, case when e.type in ('VARCHAR') then 'text' when e.type = 'BOOLEAN' then 'boolean' when e.type = 'NULL' then null when e.type in ('ARRAY', 'OBJECT') then 'other' else 'number' end as clase,
+                  case when e.type <> 'NULL' then case when e.type = 'VARCHAR' then e.value ->> '$' else e.value::varchar end end as valor from ob, json_each(ob.j) as e),
+    es as (select fila, min(valor) as est from fd where campo = 'id' and valor is not null group by all),
+    kn as (select serie, archivo, campo, clase, count(*) as n from fd group by all),
+    pf as (select serie, archivo, campo, arg_min(clase, (-n, clase)) filter (clase is not null) as clase from kn group by all),
+    sp as (select *, last_value(clase ignore nulls) over (partition by serie, campo order by orden) as vigente, coalesce(lag(orden) over w <> orden - 1, true) as empieza, coalesce(lead(orden) over w <> orden + 1, true) as termina
+           from pf join fi using (serie, archivo) window w as (partition by serie, campo order by orden)),
+    go as (select serie, orden + 1 as orden, campo as antes from sp where termina and orden < ultimo),
+    ne as (select serie, orden, campo as despues from sp where empieza and orden > 1),
+    va as (select distinct fi.serie, orden, est, campo, valor from fd join es using (fila) join fi using (serie, archivo) where valor is not null),
+    th as (select distinct fi.serie, orden, est from ob join es using (fila) join fi using (serie, archivo)),
+    co as (select a.serie, a.orden, count(*) as comunes from th a join th b on b.serie = a.serie and b.orden = a.orden - 1 and b.est = a.est group by all),
+    eq as (select go.serie, go.orden, antes, despues, count(distinct a.est) as iguales from go join ne using (serie, orden) join va a on a.serie = go.serie and a.orden = go.orden - 1 and a.campo = antes
+           join va b on b.serie = go.serie and b.orden = go.orden and b.campo = despues and b.est = a.est and b.valor = a.valor group by all),
+    re as (select serie, orden, antes, despues from eq join co using (serie, orden) where iguales * 2 >= comunes),
+    st as (select serie, orden, campo as antes, campo as despues from sp where not empieza union all select * from re),
+    lo as (select serie, orden, 'renombrado' as cambio, antes as campo_antes, despues as campo_despues from re
+           union all select serie, orden, 'eliminado', antes, '' from go anti join re using (serie, orden, antes)
+           union all select serie, orden, 'agregado', '', despues from ne anti join re using (serie, orden, despues)
+           union all select st.serie, st.orden, 'tipo', antes, despues from st join sp a on a.serie = st.serie and a.orden = st.orden - 1 and a.campo = antes join sp b on b.serie = st.serie and b.orden = st.orden and b.campo = despues where a.vigente <> b.clase)
+"""
+
 ORACLE: dict[str, str] = {
+    "p5_found": f"with {_P5} select archivo, cambio, campo_antes, campo_despues from lo join fi using (serie, orden)",
+    "p5_lifespans": f"""with {_P5},
+        t as (select *, empieza or clase is distinct from lag(clase) over w as nuevo from sp window w as (partition by serie, campo order by orden)),
+        u as (select *, sum(nuevo::int) over (partition by serie, campo order by orden) as tramo from t)
+        select serie, campo, clase, arg_min(archivo, orden) as desde_archivo, arg_max(archivo, orden) as hasta_archivo, count(*) as archivos from u group by serie, campo, tramo, clase""",
     "p2_found": f"""with {_P2}
         select linea_id, 'comillas' as motivo from s where not comillas union all select linea_id, 'columnas' from s where comillas and not columnas
         union all select linea_id, 'id' from c where not b1 union all select linea_id, 'codigo_act' from c where not b2
