@@ -20,6 +20,8 @@ from fractions import Fraction
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,20 @@ FAN_BITS = 5  #: nodes per parent above the partitions: 2 ** FAN_BITS
 NODE_POINTS = 1 << 16  #: points per partition of the sort
 PARTNERS = 8  #: leaves compared with a leaf in one task
 ZONES = 64  #: regions compared with a leaf in one task
+MANY_EDGES = 256  #: edges from which a polygon is compared with nodes of a leaf first
+CELLS = 1_000_000  #: cells of an array at once
 SMALL = 16  #: points per leaf of a task's own trees
 BOX = ("xmin", "xmax", "ymin", "ymax")
 
 
 @dataclass(frozen=True)
 class Tree:
-    """``points``: (hoja, id, x, y, z).  ``levels``: (nodo, padre, box), the root's children first, the leaves last."""
+    """``leaves``: (nodo, padre, ids, xs, ys, box), a row per leaf with its points along the curve.
 
-    points: DataFrame
+    ``levels``: (nodo, padre, box), the root's children first, the leaves last.
+    """
+
+    leaves: DataFrame
     levels: list[DataFrame]
 
 
@@ -63,24 +70,56 @@ def curve(x: str, y: str) -> Column:
     return F.pandas_udf(lambda a, b: pd.Series(hilbert(a.to_numpy(), b.to_numpy())), "bigint")(F.col(x), F.col(y))
 
 
+def _pack(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """Leaves of 2 ** bits points, in the order they come; the last of a partition may be smaller."""
+    part, held, made = TaskContext.get().partitionId(), [], 0
+
+    def leaves(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        nonlocal made
+        for at in range(0, len(t), 64 << bits):  # some leaves to a batch, so that it stays small
+            some = t.slice(at, 64 << bits).combine_chunks()
+            ends = np.append(np.arange(0, len(some), 1 << bits), len(some)).astype(np.int32)
+            ids, x, y = (some.column(c).chunk(0) for c in ("id", "x", "y"))
+            lists = [pa.ListArray.from_arrays(ends, v) for v in (ids, x, y)]
+            box = [pa.array(f.reduceat(v.to_numpy(), ends[:-1])) for v in (x, y) for f in (np.minimum, np.maximum)]
+            nodes = (part << (ROW_BITS - bits)) + made + np.arange(len(ends) - 1)
+            made += len(nodes)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.full(len(nodes), part)), *lists, *box], names=["nodo", "padre", "ids", "xs", "ys", *BOX])
+
+    for b in batches:
+        held.append(b)
+        n = sum(h.num_rows for h in held)
+        full = n >> bits << bits
+        if full:
+            t = pa.Table.from_batches(held)
+            yield from leaves(t.slice(0, full))
+            held = t.slice(full).to_batches()
+    if sum(h.num_rows for h in held):
+        yield from leaves(pa.Table.from_batches(held))
+
+
 def build_tree(points: DataFrame) -> Tree:
-    """The tree over (id, x, y).  Equal places are ordered by id, so that they too are cut into leaves."""
+    """The tree over (id, x, y); a row that comes more than once counts once.
+
+    Equal places are ordered by id, so that they too are cut into leaves, and
+    equal rows meet in one range of the sort, where they are removed without a
+    shuffle of their own.
+    """
     n = points.count()
     parts = max(1, -(-n // NODE_POINTS))
     if n > NODE_POINTS:
         parts = max(parts, int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    row = F.monotonically_increasing_id()
-    pts = points.select("id", "x", "y", curve("x", "y").alias("z")).repartitionByRange(parts, "z", "id").sortWithinPartitions("z", "id")
-    pts = materialise(pts.select(F.shiftright(row, LEAF_BITS).alias("hoja"), "id", "x", "y", "z"))
-    box = (F.min("x").alias("xmin"), F.max("x").alias("xmax"), F.min("y").alias("ymin"), F.max("y").alias("ymax"))
+    pts = points.select("id", "x", "y", curve("x", "y").alias("z")).repartitionByRange(parts, "z", "id").distinct().sortWithinPartitions("z", "id")
+    kind, bits = dict(points.dtypes)["id"], LEAF_BITS
+    schema = f"nodo bigint, padre bigint, ids array<{kind}>, xs array<double>, ys array<double>, {', '.join(f'{c} double' for c in BOX)}"
+    leaves = materialise(pts.select("id", "x", "y").mapInArrow(lambda it: _pack(it, bits), schema))
     up = (F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax"))
-    leaves = materialise(pts.groupBy("hoja").agg(*box).select(F.col("hoja").alias("nodo"), F.shiftright("hoja", ROW_BITS - LEAF_BITS).alias("padre"), *BOX))
-    levels, top, bits = [leaves], parts, FAN_BITS
+    levels, top, bits = [leaves.select("nodo", "padre", *BOX)], parts, FAN_BITS
     while top > 1:
         below = levels[0].groupBy("padre").agg(*up)
         levels.insert(0, below.select(F.col("padre").alias("nodo"), F.shiftright("padre", bits).alias("padre"), *BOX))
         top = -(-top // (1 << bits))
-    return Tree(pts, levels)
+    return Tree(leaves, levels)
 
 
 def _cos_span(a: str, b: str, least: bool) -> Column:
@@ -206,76 +245,73 @@ def _near(left: _Boxes, right: _Boxes, metres: float, same: bool) -> Iterator[tu
         yield p[near], q[near]
 
 
-def _ordered(ids_a: np.ndarray, ids_b: np.ndarray) -> pd.DataFrame:
-    less = ids_a < ids_b
-    out = pd.DataFrame({"clave_1": np.where(less, ids_a, ids_b), "clave_2": np.where(less, ids_b, ids_a)})
-    return out[ids_a != ids_b]
+PAIRS = pa.schema([("clave_1", pa.string()), ("clave_2", pa.string())])
+
 
+def _flat(t: pa.Table, column: str) -> pa.Array:
+    """The elements of a list column."""
+    return t.column(column).combine_chunks().flatten()
 
-def _refine(pdf: pd.DataFrame, metres: float) -> pd.DataFrame:
-    own = pdf["propio"].to_numpy() == 1
-    z, x, y, ids = (pdf[c].to_numpy() for c in ("z", "x", "y", "id"))
 
-    def side(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        at = np.flatnonzero(which)
-        at = at[np.argsort(z[at], kind="stable")]
-        return ids[at], x[at], y[at]
+def _ordered(ids_a: pa.Array, ids_b: pa.Array) -> pa.Table:
+    """Pairs of different ids, the smaller first."""
+    less = pc.less(ids_a, ids_b)
+    t = pa.Table.from_arrays([pc.if_else(less, ids_a, ids_b), pc.if_else(less, ids_b, ids_a)], schema=PAIRS)
+    return t.filter(pc.not_equal(ids_a, ids_b))
 
-    (home, hx, hy), (halo, ox, oy) = side(own), side(~own)
+
+def _refine(homes: pa.Table, halos: pa.Table, metres: float) -> pa.Table:
+    """Near pairs of a leaf with itself, where it is asked for, and with the points of other leaves around it."""
+    if not len(homes):
+        return PAIRS.empty_table()
+    home, hx, hy = _flat(homes, "ids"), _flat(homes, "xs").to_numpy(), _flat(homes, "ys").to_numpy()
     parts = []
-    if len(home) and (pdf["consigo"].to_numpy() == 1).any():
+    if homes.column("consigo")[0].as_py():
         t = _Boxes(hx, hy, _depth(len(home)))
-        parts += [_ordered(home[p], home[q]) for p, q in _near(t, t, metres, True) if len(p)]
-    if len(home) and len(halo):
-        d = _depth(max(len(home), len(halo)))
-        a, b = _Boxes(hx, hy, d), _Boxes(ox, oy, d)
-        parts += [_ordered(home[p], halo[q]) for p, q in _near(a, b, metres, False) if len(p)]
-    return pd.concat(parts) if parts else pd.DataFrame({"clave_1": pd.Series(dtype=object), "clave_2": pd.Series(dtype=object)})
+        parts += [_ordered(home.take(pa.array(p)), home.take(pa.array(q))) for p, q in _near(t, t, metres, True) if len(p)]
+    if len(halos):
+        points = _flat(halos.sort_by("b"), "puntos")
+        halo, ox, oy = points.field("ids"), points.field("xs").to_numpy(), points.field("ys").to_numpy()
+        if len(halo):
+            d = _depth(max(len(home), len(halo)))
+            a, b = _Boxes(hx, hy, d), _Boxes(ox, oy, d)
+            parts += [_ordered(home.take(pa.array(p)), halo.take(pa.array(q))) for p, q in _near(a, b, metres, False) if len(p)]
+    return pa.concat_tables(parts).combine_chunks() if parts else PAIRS.empty_table()
 
 
 def near_pairs(tree: Tree, metres: float) -> DataFrame:
     """(clave_1, clave_2): each pair of different ids with points at most ``metres`` apart, the smaller id first, once."""
     pairs = leaf_pairs(tree, metres)
-    pts = tree.points
+    leaves = tree.leaves
     numbered = pairs.filter(~F.col("seguro")).withColumn("parte", F.floor((F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1) / PARTNERS))
     numbered = materialise(numbered)
     reach = 1.001 * math.degrees(metres / RADIUS_M)
-    p, q = pts.alias("p"), numbered.filter("a <> b").alias("q")
-    side = reach / F.cos(F.radians(F.greatest(F.abs("q.ymin"), F.abs("q.ymax")) + reach))
-    close = F.col("p.y").between(F.col("q.ymin") - reach, F.col("q.ymax") + reach) & F.col("p.x").between(F.col("q.xmin") - side, F.col("q.xmax") + side)
-    halo = p.join(q, (F.col("p.hoja") == F.col("q.b")) & close).select("q.a", "q.parte", "p.id", "p.x", "p.y", "p.z", F.lit(0).alias("propio"), F.lit(0).alias("consigo"))
-    heads = numbered.groupBy("a", "parte").agg(F.max((F.col("a") == F.col("b")).cast("int")).alias("consigo"))
-    home = pts.join(heads, pts["hoja"] == heads["a"]).select("a", "parte", "id", "x", "y", "z", F.lit(1).alias("propio"), "consigo")
-    refined = home.unionByName(halo).groupBy("a", "parte").applyInPandas(lambda pdf: _refine(pdf, metres), "clave_1 string, clave_2 string")
+    around = numbered.filter("a <> b").withColumn("_s", reach / F.cos(F.radians(F.greatest(F.abs("ymin"), F.abs("ymax")) + reach)))
+    around = around.select("a", "b", "parte", (F.col("xmin") - F.col("_s")).alias("_x0"), (F.col("xmax") + F.col("_s")).alias("_x1"), (F.col("ymin") - reach).alias("_y0"), (F.col("ymax") + reach).alias("_y1"))
+    close = lambda p: p["ys"].between(F.col("_y0"), F.col("_y1")) & p["xs"].between(F.col("_x0"), F.col("_x1"))
+    halo = around.join(leaves.select(F.col("nodo").alias("b"), "ids", "xs", "ys"), "b").select(F.col("a").alias("h_a"), F.col("parte").alias("h_parte"), "b", F.filter(F.arrays_zip("ids", "xs", "ys"), close).alias("puntos"))
+    halo = halo.filter(F.size("puntos") > 0)
+    heads = numbered.groupBy("a", "parte").agg(F.bool_or(F.col("a") == F.col("b")).alias("consigo"))
+    home = leaves.select(F.col("nodo").alias("a"), "ids", "xs", "ys").join(heads, "a")
+    refined = home.groupBy("a", "parte").cogroup(halo.groupBy("h_a", "h_parte")).applyInArrow(lambda h, o: _refine(h, o, metres), "clave_1 string, clave_2 string")
     sure = pairs.filter("seguro").select("a", "b")
-    left, right = tree.points.select(F.col("hoja").alias("a"), F.col("id").alias("ia")), tree.points.select(F.col("hoja").alias("b"), F.col("id").alias("ib"))
-    whole = sure.join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))).filter("ia <> ib")
+    left, right = leaves.select(F.col("nodo").alias("a"), F.explode("ids").alias("ia")), leaves.select(F.col("nodo").alias("b"), "ids")
+    whole = sure.join(right, "b").join(left, "a").select("a", "b", "ia", F.explode("ids").alias("ib")).filter(((F.col("a") != F.col("b")) | (F.col("ia") < F.col("ib"))) & (F.col("ia") != F.col("ib")))
     whole = whole.select(F.least("ia", "ib").alias("clave_1"), F.greatest("ia", "ib").alias("clave_2"))
     return refined.unionByName(whole).distinct()
 
 
 def zone_leaves(tree: Tree, boxes: DataFrame) -> DataFrame:
-    """(zona, hoja): regions and leaves whose boxes meet, by descending the tree with each region's box."""
+    """(zona, hoja, box of the leaf): regions and leaves whose boxes meet, by descending the tree with each region's box."""
     pairs = boxes.select("zona", *BOX, F.lit(0).cast("bigint").alias("nodo"))
     for k, level in enumerate(tree.levels):
         if k == 0:
             level = F.broadcast(level) if len(tree.levels) > 1 else level  # at most 2 ** FAN_BITS rows
         meet = (F.col("n.xmin") <= F.col("z.xmax")) & (F.col("n.xmax") >= F.col("z.xmin")) & (F.col("n.ymin") <= F.col("z.ymax")) & (F.col("n.ymax") >= F.col("z.ymin"))
         z, n = pairs.alias("z"), level.alias("n")
-        pairs = z.join(n, (F.col("n.padre") == F.col("z.nodo")) & meet).select("z.zona", *(f"z.{c}" for c in BOX), "n.nodo")
-    return pairs.select("zona", F.col("nodo").alias("hoja"))
-
-
-def _edges(polygon: list) -> np.ndarray:
-    """(n, 4): the edges of all rings, each closed by its first point."""
-    out = []
-    for ring in polygon:
-        if ring is None or not len(ring):
-            continue
-        xy = np.array([(p["x"], p["y"]) for p in ring if p is not None and p["x"] is not None and p["y"] is not None], dtype=float)
-        if len(xy):
-            out.append(np.hstack([xy, np.roll(xy, -1, axis=0)]))
-    return np.vstack(out) if out else np.empty((0, 4))
+        side = "n" if k == len(tree.levels) - 1 else "z"
+        pairs = z.join(n, (F.col("n.padre") == F.col("z.nodo")) & meet).select("z.zona", *(f"{side}.{c}" for c in BOX), "n.nodo")
+    return pairs.select("zona", F.col("nodo").alias("hoja"), *BOX)
 
 
 def _exact_sign(values: tuple[float, ...]) -> int:
@@ -285,84 +321,144 @@ def _exact_sign(values: tuple[float, ...]) -> int:
     return (cross > 0) - (cross < 0)
 
 
+def _crossings(edges: tuple[np.ndarray, ...], px: np.ndarray, py: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(crossed, on): whether the ray from the point to the right crosses the edge, and whether the point lies on it.
+
+    Edges and points are arrays that broadcast; no tolerance, doubtful signs are taken exactly.
+    """
+    x1, y1, x2, y2 = edges
+    dx, dy, fx, fy = x2 - x1, y2 - y1, px - x1, py - y1
+    straddles = (y1 > py) != (y2 > py)
+    boxed = (np.minimum(x1, x2) <= px) & (px <= np.maximum(x1, x2)) & (np.minimum(y1, y2) <= py) & (py <= np.maximum(y1, y2))
+    cross = dx * fy - dy * fx
+    sign = np.sign(cross)
+    size = abs(x1) + abs(x2) + abs(y1) + abs(y2)
+    doubt = (straddles | boxed) & (abs(cross) <= 1e-14 * size * (abs(dx) + abs(dy) + abs(fx) + abs(fy)))
+    if doubt.any():
+        at = np.nonzero(doubt)
+        sign[at] = [_exact_sign(v) for v in zip(*(np.broadcast_to(c, doubt.shape)[at] for c in (x1, y1, x2, y2, px, py)), strict=True)]
+    return straddles & ((sign > 0) == (y2 > y1)), (sign == 0) & boxed
+
+
 def covers(edges: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Which points lie inside (an odd number of rings) or on an edge; no tolerance, doubtful signs are taken exactly."""
+    """Which points lie inside (an odd number of rings) or on an edge."""
     out = np.zeros(len(x), dtype=bool)
-    x1, y1, x2, y2 = edges.T[:, :, None]
-    low_x, high_x, low_y, high_y = np.minimum(x1, x2), np.maximum(x1, x2), np.minimum(y1, y2), np.maximum(y1, y2)
-    dx, dy, up = x2 - x1, y2 - y1, y2 > y1
-    size = abs(x1) + abs(x2) + abs(y1) + abs(y2)
-    step = max(1, 1_000_000 // len(edges))
+    step = max(1, CELLS // len(edges))
     for at in range(0, len(x), step):
-        px, py = x[at : at + step], y[at : at + step]
-        straddles = (y1 > py) != (y2 > py)
-        boxed = (low_x <= px) & (px <= high_x) & (low_y <= py) & (py <= high_y)
-        fx, fy = px - x1, py - y1
-        cross = dx * fy - dy * fx
-        sign = np.sign(cross)
-        doubt = (straddles | boxed) & (abs(cross) <= 1e-14 * size * (abs(dx) + abs(dy) + abs(fx) + abs(fy)))
-        for e, k in zip(*np.nonzero(doubt), strict=True):
-            sign[e, k] = _exact_sign((*edges[e], px[k], py[k]))
-        border = ((sign == 0) & boxed).any(0)
-        odd = (straddles & ((sign > 0) == up)).sum(0) % 2 == 1
-        out[at : at + step] = odd | border
+        crossed, on = _crossings(tuple(edges.T[:, :, None]), x[at : at + step], y[at : at + step])
+        out[at : at + step] = (crossed.sum(0) % 2 == 1) | on.any(0)
     return out
 
 
-PAIRS = pa.schema([("clave_1", pa.string()), ("clave_2", pa.string())])
+def _covers_each(edges: np.ndarray, start: np.ndarray, count: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """As ``covers`` for points that each have edges of their own, ``count`` of them from ``start`` on."""
+    out = np.zeros(len(x), dtype=bool)
+    upto = np.cumsum(count)
+    at = 0
+    while at < len(x):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + CELLS, "right")))
+        n = count[at:end]
+        first = np.cumsum(n) - n
+        which = np.repeat(start[at:end] - first, n) + np.arange(int(n.sum()))
+        crossed, on = _crossings(tuple(edges[which].T), np.repeat(x[at:end], n), np.repeat(y[at:end], n))
+        out[at:end] = (np.add.reduceat(crossed.astype(np.int64), first) % 2 == 1) | np.logical_or.reduceat(on, first)
+        at = end
+    return out
+
+
+def _covered_by_one(edges: np.ndarray, left: float, boxes: _Boxes) -> np.ndarray:
+    """As ``covers`` for the points of a leaf and a polygon of many edges: nodes that no edge meets are decided as a whole.
+
+    ``edges`` may lack those that no ray to the right of these points meets; ``left`` is where the polygon begins.
+    """
+    n, (x0, x1, y0, y1) = boxes.n, boxes.levels[-1]
+    group = np.arange(n) // SMALL
+    ex0, ex1 = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
+    ey0, ey1 = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
+    alive = (x1 >= left) & (x0 <= ex1.max()) & (y1 >= ey0.min()) & (y0 <= ey1.max())
+    touched = np.zeros(len(x0), dtype=bool)
+    for part in np.array_split(np.flatnonzero(alive), 1 + len(edges) * int(alive.sum()) // CELLS):
+        a, b, c, d = (v[part, None] for v in (x0, x1, y0, y1))
+        touched[part] = ((ex0 <= b) & (ex1 >= a) & (ey0 <= d) & (ey1 >= c)).any(1)
+    hit = np.zeros(n, dtype=bool)
+    whole = np.flatnonzero(alive & ~touched)  # no edge meets the node: all of it is in or out
+    if len(whole):
+        took = np.zeros(len(x0), dtype=bool)
+        took[whole] = covers(edges, boxes.x[whole * SMALL], boxes.y[whole * SMALL])
+        hit |= took[group]
+    at = np.flatnonzero((alive & touched)[group])
+    if len(at):
+        hit[at] |= covers(edges, boxes.x[at], boxes.y[at])
+    return hit
 
 
 def _contained(points: pa.Table, zones: pa.Table) -> pa.Table:
-    found: list[pa.Table] = []
-    if not len(points):
+    if not len(points) or not len(zones):
+        return PAIRS.empty_table()
+    ids, x, y = _flat(points, "ids"), _flat(points, "xs").to_numpy(), _flat(points, "ys").to_numpy()
+    lists = zones.column("bordes").combine_chunks()
+    e = lists.flatten()
+    edges = np.stack([e.field(c).to_numpy() for c in ("x1", "y1", "x2", "y2")], axis=1)
+    zone = np.repeat(np.arange(len(zones)), np.diff(lists.offsets.to_numpy()))
+    if not len(edges):
         return PAIRS.empty_table()
-    order = np.argsort(points["z"].to_numpy(), kind="stable")
-    ids, x, y = points["id"].to_numpy(zero_copy_only=False)[order], points["x"].to_numpy()[order], points["y"].to_numpy()[order]
-    boxes = _Boxes(x, y, _depth(len(ids)))
-    x0, x1, y0, y1 = boxes.levels[-1]
-    group = np.arange(len(ids)) // SMALL
-    for zona, geometry in zip(zones["zona"].to_pylist(), zones["geometry"].to_pylist(), strict=True):
-        hit = np.zeros(len(ids), dtype=bool)
-        for polygon in geometry:
-            edges = _edges(polygon if polygon is not None else [])
-            if not len(edges):
-                continue
-            ex0, ex1 = np.minimum(edges[:, 0], edges[:, 2]), np.maximum(edges[:, 0], edges[:, 2])
-            ey0, ey1 = np.minimum(edges[:, 1], edges[:, 3]), np.maximum(edges[:, 1], edges[:, 3])
-            alive = (x1 >= ex0.min()) & (x0 <= ex1.max()) & (y1 >= ey0.min()) & (y0 <= ey1.max())
-            touched = np.zeros(len(x0), dtype=bool)
-            for part in np.array_split(np.flatnonzero(alive), 1 + len(edges) * int(alive.sum()) // 1_000_000):
-                a, b, c, d = (v[part, None] for v in (x0, x1, y0, y1))
-                touched[part] = ((ex0 <= b) & (ex1 >= a) & (ey0 <= d) & (ey1 >= c)).any(1)
-            whole = np.flatnonzero(alive & ~touched)  # no edge meets the node: all of it is in or out
-            if len(whole):
-                took = np.zeros(len(x0), dtype=bool)
-                took[whole] = covers(edges, boxes.x[whole * SMALL], boxes.y[whole * SMALL])
-                hit |= took[group]
-            boxed = (x >= ex0.min()) & (x <= ex1.max()) & (y >= ey0.min()) & (y <= ey1.max())
-            at = np.flatnonzero((alive & touched)[group] & boxed)
-            if len(at):
-                hit[at] |= covers(edges, x[at], y[at])
-        if hit.any():
-            found.append(pa.Table.from_arrays([pa.array(ids[hit], pa.string()), pa.array([zona] * int(hit.sum()), pa.string())], schema=PAIRS))
-    return pa.concat_tables(found) if found else PAIRS.empty_table()
+    # A polygon is a run of edges of one zone and one number.
+    name = np.stack([zone, e.field("k").to_numpy()], axis=1)
+    start = np.append(0, np.flatnonzero((name[1:] != name[:-1]).any(1)) + 1)
+    count = np.diff(np.append(start, len(edges)))
+    left = zones.column("xmin").to_numpy()[zone[start]]
+    high_x = np.maximum.reduceat(np.maximum(edges[:, 0], edges[:, 2]), start)
+    low_y, high_y = np.minimum.reduceat(np.minimum(edges[:, 1], edges[:, 3]), start), np.maximum.reduceat(np.maximum(edges[:, 1], edges[:, 3]), start)
+    few = count <= MANY_EDGES
+    boxed = few[:, None] & (left[:, None] <= x) & (x <= high_x[:, None]) & (low_y[:, None] <= y) & (y <= high_y[:, None])
+    p, q = np.nonzero(boxed)
+    inside = _covers_each(edges, start[p], count[p], x[q], y[q])
+    p, q = [p[inside]], [q[inside]]
+    boxes = None
+    for k in np.flatnonzero(~few):
+        boxes = boxes or _Boxes(x, y, _depth(len(x)))
+        hit = np.flatnonzero(_covered_by_one(edges[start[k] : start[k] + count[k]], left[k], boxes))
+        p.append(np.full(len(hit), k))
+        q.append(hit)
+    both = np.unique(np.stack([zone[start[np.concatenate(p)]], np.concatenate(q)], axis=1), axis=0)
+    names = zones.column("zona").combine_chunks()
+    return pa.Table.from_arrays([ids.take(pa.array(both[:, 1])), names.take(pa.array(both[:, 0]))], schema=PAIRS)
+
+
+def outline(geometry: str) -> Column:
+    """array<struct<k, x1, y1, x2, y2>>: the edges of all rings, each closed by its first point, with their polygon's number.
+
+    Null polygons, rings and points are left out.
+    """
+    known = lambda a: F.filter(a, lambda v: v.isNotNull())
+    usable = lambda ring: F.filter(ring, lambda p: p.isNotNull() & p["x"].isNotNull() & p["y"].isNotNull())
+
+    def closed(ring: Column, k: Column) -> Column:
+        follower = lambda i: F.get(ring, F.pmod(i + 1, F.size(ring)))
+        return F.transform(ring, lambda p, i: F.struct(k.alias("k"), p["x"].alias("x1"), p["y"].alias("y1"), follower(i)["x"].alias("x2"), follower(i)["y"].alias("y2")))
+
+    return F.flatten(F.transform(known(F.col(geometry)), lambda polygon, k: F.flatten(F.transform(F.transform(known(polygon), usable), lambda ring: closed(ring, k)))))
 
 
 def points_in_zones(tree: Tree, zones: DataFrame) -> DataFrame:
     """(clave_1, clave_2): point ids and the regions that hold the point, border included, each once.
 
-    ``zones`` is (zona, geometry).  Null and empty geometries hold nothing.
+    ``zones`` is (zona, geometry).  Null and empty geometries hold nothing.  A
+    leaf gets of a region only the edges that a ray from its box to the right
+    may meet, so a region over many leaves isn't copied whole to each.
     """
-    corners = F.flatten(F.flatten("geometry"))
-    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
     shapes = zones.filter(F.col("zona").isNotNull() & F.col("geometry").isNotNull()).withColumn("forma", F.xxhash64("geometry"))
-    shapes = shapes.dropDuplicates(["zona", "forma"])
-    boxes = shapes.select(F.struct("zona", "forma").alias("zona"), F.array_min(xs).alias("xmin"), F.array_max(xs).alias("xmax"), F.array_min(ys).alias("ymin"), F.array_max(ys).alias("ymax"))
-    met = zone_leaves(tree, boxes.filter(F.col("xmin").isNotNull()))
+    shapes = shapes.dropDuplicates(["zona", "forma"]).select("zona", "forma", outline("geometry").alias("bordes"))
+    of = lambda f, c: f(F.transform("bordes", lambda e: e[f"{c}1"]))  # every point begins an edge
+    shapes = shapes.select("*", *(of(f, c).alias(c + n) for c in "xy" for f, n in ((F.array_min, "min"), (F.array_max, "max"))))
+    shapes = materialise(shapes.filter(F.col("xmin").isNotNull()))
+    met = zone_leaves(tree, shapes.select(F.struct("zona", "forma").alias("zona"), *BOX))
     parted = met.withColumn("parte", F.floor((F.row_number().over(Window.partitionBy("hoja").orderBy("zona")) - 1) / ZONES))
-    parted = materialise(parted.select("hoja", "parte", F.col("zona.zona").alias("zona"), F.col("zona.forma").alias("forma")))
-    sides = parted.join(shapes, ["zona", "forma"]).select(F.col("hoja").alias("z_hoja"), F.col("parte").alias("z_parte"), "zona", "geometry")
-    pts = tree.points.join(parted.select("hoja", "parte").distinct(), "hoja")
+    parted = materialise(parted.select("hoja", "parte", F.col("zona.zona").alias("zona"), F.col("zona.forma").alias("forma"), *(F.col(c).alias(f"h_{c}") for c in BOX)))
+    meets = lambda e: (F.greatest(e["y1"], e["y2"]) >= F.col("h_ymin")) & (F.least(e["y1"], e["y2"]) <= F.col("h_ymax")) & (F.greatest(e["x1"], e["x2"]) >= F.col("h_xmin"))
+    sides = parted.join(shapes.select("zona", "forma", "bordes", "xmin"), ["zona", "forma"])
+    sides = sides.select(F.col("hoja").alias("z_hoja"), F.col("parte").alias("z_parte"), "zona", "xmin", F.filter("bordes", meets).alias("bordes"))
+    pts = tree.leaves.select(F.col("nodo").alias("hoja"), "ids", "xs", "ys").join(parted.select("hoja", "parte").distinct(), "hoja")
     return (
         pts.groupBy("hoja", "parte")
         .cogroup(sides.groupBy("z_hoja", "z_parte"))
@@ -372,9 +468,9 @@ def points_in_zones(tree: Tree, zones: DataFrame) -> DataFrame:
 
 
 def establishments(denue: DataFrame) -> DataFrame:
-    """(id, x, y): usable points of the register, repeated deliveries once."""
+    """(id, x, y): usable points of the register; repeated deliveries are equal rows, which ``build_tree`` counts once."""
     ok = F.col("id").isNotNull() & F.col("latitud").between(14, 33) & F.col("longitud").between(-119, -86)
-    return denue.filter(ok).select("id", F.col("longitud").alias("x"), F.col("latitud").alias("y")).distinct()
+    return denue.filter(ok).select("id", F.col("longitud").alias("x"), F.col("latitud").alias("y"))
 
 
 def neighbours(denue: DataFrame, ageb: DataFrame, metres: float = 30.0) -> DataFrame:
