@@ -143,7 +143,28 @@ _P5 = r"""
            union all select st.serie, st.orden, 'tipo', antes, despues from st join sp a on a.serie = st.serie and a.orden = st.orden - 1 and a.campo = antes join sp b on b.serie = st.serie and b.orden = st.orden and b.campo = despues where a.vigente <> b.clase)
 """
 
+# Coordinates have six decimals, so that micro-degrees are exact integers.
+_P6 = """
+    pt as (select distinct id, longitud as x, latitud as y, cast(round(longitud * 1e6) as bigint) as px, cast(round(latitud * 1e6) as bigint) as py from denue
+           where id is not null and latitud between 14 and 33 and longitud between -119 and -86),
+    z as (select distinct cvegeo, geometry from ageb where geometry is not null and cvegeo is not null),
+    p as (select cvegeo, generate_subscripts(geometry, 1) as i, unnest(geometry) as poly from z),
+    rg as (select cvegeo, i, unnest(poly) as ring from p),
+    ed as (select cvegeo, i, cast(round(ring[j].x * 1e6) as bigint) as x1, cast(round(ring[j].y * 1e6) as bigint) as y1, cast(round(ring[j % len(ring) + 1].x * 1e6) as bigint) as x2, cast(round(ring[j % len(ring) + 1].y * 1e6) as bigint) as y2
+           from (select *, unnest(range(1, len(ring) + 1)) as j from rg)),
+    bx as (select cvegeo, i, min(x1) as bx0, max(x1) as bx1, min(y1) as by0, max(y1) as by1 from ed group by all),
+    ca as (select id, px, py, cvegeo, i from pt join bx on px between bx0 and bx1 and py between by0 and by1),
+    t as (select id, px, py, cvegeo, i, count(*) filter ((y1 > py) <> (y2 > py) and ((x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) > 0) = (y2 > y1)) % 2 = 1
+                 or bool_or((x2 - x1) * (py - y1) = (y2 - y1) * (px - x1) and px between least(x1, x2) and greatest(x1, x2) and py between least(y1, y2) and greatest(y1, y2)) as dentro
+          from ca join ed using (cvegeo, i) group by all),
+    c as (select *, cast(floor(y * 3000) as bigint) as cy, cast(floor(x * 2500) as bigint) as cx from pt),
+    v as (select *, cy + dy as ny, cx + dx as nx from c, (select unnest([-1, 0, 1]) as dy), (select unnest([-1, 0, 1]) as dx)),
+    n as (select a.id as a, b.id as b, pow(sin(radians(b.y - a.y) / 2), 2) + cos(radians(a.y)) * cos(radians(b.y)) * pow(sin(radians(b.x - a.x) / 2), 2) as h from v a join c b on b.cy = a.ny and b.cx = a.nx and a.id < b.id)
+"""
+
 ORACLE: dict[str, str] = {
+    "p6_found": f"""with {_P6}
+        select distinct 'zona' as relacion, id as clave_1, cvegeo as clave_2 from t where dentro union all select distinct 'cerca', a, b from n where 2 * 6371000.0 * asin(sqrt(h)) <= 30""",
     "p5_found": f"with {_P5} select archivo, cambio, campo_antes, campo_despues from lo join fi using (serie, orden)",
     "p5_lifespans": f"""with {_P5},
         t as (select *, empieza or clase is distinct from lag(clase) over w as nuevo from sp window w as (partition by serie, campo order by orden)),
