@@ -41,14 +41,17 @@ FIELD = re.compile(r"(?:`((?:[^`]|``)*)`|([A-Za-z0-9_]+)): ")
 
 
 def shape(registro: str) -> Column:
-    """The names and kinds of a record's fields as one text, null where it is no JSON object.
+    """The names and kinds of a record's fields as one text, null where it doesn't parse."""
+    return F.schema_of_variant(F.try_parse_json(registro))
 
-    Numbers of any width count as one kind, so that records of a file share few
-    shapes; names in back quotes that hold a colon are left as they are.
+
+def plain_shape(t: str) -> Column:
+    """A shape with one kind for numbers of any width, so that records of a file share few; null for anything but an object.
+
+    Names in back quotes that hold a colon are left as they are.
     """
-    t = F.schema_of_variant(F.try_parse_json(registro))
     plain = F.regexp_replace(t, r": (?:BIGINT|DOUBLE|FLOAT|DECIMAL\(\d+,\s*\d+\))(?=[,>])", ": NUMBER")
-    return F.when(t.startswith("OBJECT"), F.when(t.rlike("`[^`:]+:"), t).otherwise(plain))
+    return F.when(F.startswith(F.col(t), F.lit("OBJECT")), F.when(F.col(t).rlike("`[^`:]+:"), F.col(t)).otherwise(plain))
 
 
 def fields_of(shape_text: str) -> list[tuple[str, str | None]]:
@@ -93,7 +96,8 @@ def catalogue(entregas: DataFrame) -> Catalogue:
     """
     in_file = entregas.filter(F.col("serie").isNotNull() & F.col("archivo").isNotNull())
     same = F.when(F.col("registro_id").isNull(), F.xxhash64("registro")).alias("sin_id")
-    once = in_file.select("registro_id", "serie", "archivo", "fecha_corte", shape("registro").alias("forma"), same).distinct()
+    parsed = in_file.select("registro_id", "serie", "archivo", "fecha_corte", shape("registro").alias("_t"), same)
+    once = parsed.select("registro_id", "serie", "archivo", "fecha_corte", plain_shape("_t").alias("forma"), "sin_id").distinct()
     shapes = materialise(once.groupBy("serie", "archivo", "fecha_corte", "forma").agg(F.count("*").alias("n")))
     by_date = Window.partitionBy("serie").orderBy(F.col("fecha_corte").asc_nulls_first(), "archivo")
     files = shapes.groupBy("serie", "archivo").agg(F.min("fecha_corte").alias("fecha_corte"))
@@ -239,7 +243,7 @@ def unified(entregas: DataFrame) -> DataFrame:
     spelt = cat.spans.select("serie", "orden", "campo", F.explode("claves").alias("clave")).join(names, ["serie", "orden", "campo"])
     per_file = spelt.groupBy("serie", "orden").agg(F.array_sort(F.collect_list(F.struct("campo", "clave", "constante"))).alias("campos"))
     per_file = materialise(cat.files.select("serie", "archivo", "orden").join(per_file, ["serie", "orden"], "left"))
-    m = F.when(shape("registro").isNotNull(), F.from_json("registro", "map<string,string>"))
+    m = F.when(F.startswith(shape("registro"), F.lit("OBJECT")), F.from_json("registro", "map<string,string>"))
     d = records(entregas).withColumn("_m", m).join(per_file, ["serie", "archivo"])
     value = lambda c: F.struct(c["constante"].alias("constante"), F.try_element_at("_m", c["clave"]).alias("valor"))
     d = d.withColumn("_v", F.filter(F.transform("campos", value), lambda v: v["valor"].isNotNull()))
