@@ -166,7 +166,7 @@ def renames(entregas: DataFrame, cat: Catalogue) -> DataFrame:
     d = d.select("serie", "est", F.inline(F.transform("pedidos", lambda p: F.struct(p["par"].alias("par"), p["lado"].alias("lado"), p["campo"].alias("campo"), given(p["claves"]).alias("_v")))))
     d = d.select("serie", "par", "lado", "campo", "est", F.explode_outer("_v").alias("valor"))
     on = lambda side: F.collect_set(F.when((F.col("lado") == side) & F.col("valor").isNotNull(), F.col("campo")))
-    met = d.groupBy("serie", "par", "est", "valor").agg(F.bit_or("lado").alias("lados"), on(1).alias("antes"), on(2).alias("despues"))
+    met = materialise(d.groupBy("serie", "par", "est", "valor").agg(F.bit_or("lado").alias("lados"), on(1).alias("antes"), on(2).alias("despues")))
     common = met.groupBy("serie", "par", "est").agg(F.bit_or("lados").alias("lados")).filter("lados = 3").groupBy("serie", "par").agg(F.count("*").alias("comunes"))
     equal = met.filter((F.size("antes") > 0) & (F.size("despues") > 0)).select("serie", "par", "est", F.explode("antes").alias("antes"), "despues")
     equal = equal.select("serie", "par", "est", "antes", F.explode("despues").alias("despues")).distinct().groupBy("serie", "par", "antes", "despues").agg(F.count("*").alias("iguales"))
