@@ -58,7 +58,7 @@ def opportunity(u: DataFrame, granular: DataFrame, centrality: DataFrame, n_sect
     for c, x in w.items():
         score = score + F.col(f"n_{c}") * (x / total)
     d = d.withColumn("score", score)
-    return d.withColumn("nivel", F.when(F.col("score") >= HIGH, "Alto").when(F.col("score") >= MEDIUM, "Medio").otherwise("Bajo"))
+    return d.withColumn("nivel", F.when(F.col("score") >= HIGH, "High").when(F.col("score") >= MEDIUM, "Medium").otherwise("Low"))
 
 
 def percentiles(d: DataFrame, column: str, points=(0.10, 0.25, 0.50, 0.75, 0.90, 0.99)) -> DataFrame:

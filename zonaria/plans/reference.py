@@ -61,7 +61,7 @@ _W = f"""
                  case when te > 0 then 'empleo' when tn > 0 then 'establecimientos' else 'sin_datos' end as omega_metodo
           from agg join tot using (sector_serio))
 """
-_SHOCK = """shock as (select scian as sector, (indice + 1) * 1000.0 as delta_x from sectores where indice % 3 <> 0
+_SHOCK = """shock as (select scian as sector, (indice + 1) * 1000.0 as delta_x from sectores
                       union all select 'SIN_PESO', 500.0)"""
 _ZONES = "z as (select distinct cvegeo, geometry from ageb where geometry is not null)"
 _EDGES = f"""{_ZONES},
@@ -69,7 +69,7 @@ _EDGES = f"""{_ZONES},
     e as (select distinct a.cvegeo as src, b.cvegeo as dst from v a join v b using (x, y) where a.cvegeo <> b.cvegeo),
     nodes as (select distinct cvegeo as id from z)"""
 _WS = "deg as (select src, count(*) as d from e group by all), ws as (select src, dst, 1.0 / d as w from e join deg using (src))"
-_COMM = "comm as (select scian as sector, indice % 7 as cluster_id, nombre from sectores where indice % 11 <> 0 union all select null, 99, 'vacía')"
+_COMM = "comm as (select scian as sector, indice % 7 as cluster_id, nombre from sectores union all select null, 99, 'vacía')"
 _PESO = """sw as (select cvegeo, sector_serio as sector, sum(case when ze > 0 then empleo_total else n_establecimientos end) as peso
                   from agg join (select cvegeo, sum(empleo_total) as ze from agg group by all) using (cvegeo) group by all),
     gr as (select cvegeo, cluster_id, sum(peso) as peso from sw join comm using (sector) group by all)"""
@@ -124,7 +124,7 @@ def _omega(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _shock(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "sectores").filter("indice % 3 <> 0").select(F.col("scian").alias("sector"), ((F.col("indice") + 1) * 1000.0).alias("delta_x"))
+    s = table(spark, d, "sectores").select(F.col("scian").alias("sector"), ((F.col("indice") + 1) * 1000.0).alias("delta_x"))
     return ingest.shock_table(spark, s.union(spark.createDataFrame([("SIN_PESO", 500.0)], s.schema)))
 
 
@@ -140,7 +140,7 @@ def _vector(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
 
 
 def _communities(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "sectores").filter("indice % 11 <> 0").select(F.col("scian").alias("sector"), (F.col("indice") % 7).alias("cluster_id"), "nombre")
+    c = table(spark, d, "sectores").select(F.col("scian").alias("sector"), (F.col("indice") % 7).alias("cluster_id"), "nombre")
     return c.union(spark.createDataFrame([(None, 99, "vacía")], "sector string, cluster_id int, nombre string"))
 
 
@@ -699,7 +699,7 @@ def _mm(c: str) -> str:
 
 @query(_P + f""", {_HHI}, k as (select u.*, coalesce(hhi, 1.0) as h, (cluster_id + 1) / 10.0 as ce, n_sectores / (select count(distinct sector) from sw) as co from u left join hh using (cvegeo)),
     q as (select cvegeo, 0.3 * {_mm('peso_total')} + 0.15 * {_mm('participacion_pct')} + 0.2 * {_mm('ce')} + 0.15 * {_mm('(1 - h)')} + 0.1 * {_mm('h')} + 0.1 * {_mm('co')} as sc from k)
-    select cvegeo, round(sc, 6) as score, case when sc >= 0.66 then 'Alto' when sc >= 0.33 then 'Medio' else 'Bajo' end as nivel from q""")
+    select cvegeo, round(sc, 6) as score, case when sc >= 0.66 then 'High' when sc >= 0.33 then 'Medium' else 'Low' end as nivel from q""")
 def opportunity_score(spark, d):
     u, g, c = _profiles(spark, d)
     central = c.select("cluster_id", ((F.col("cluster_id") + 1) / 10.0).alias("centralidad_media")).distinct()
