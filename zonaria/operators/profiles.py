@@ -46,6 +46,11 @@ def universe(sectors: DataFrame, communities: DataFrame) -> DataFrame:
     return ranked.withColumns(territory("cvegeo"))
 
 
+def observed_weight(w: DataFrame) -> DataFrame:
+    """(id, s): the sum of a zone's weights over its sectors; 0 where none is known."""
+    return w.groupBy(F.col("cvegeo").alias("id")).agg(F.coalesce(F.sum("omega"), F.lit(0.0)).alias("s"))
+
+
 def rank_all(d: DataFrame, value: str, key: str, name: str, parts: int | None = None) -> DataFrame:
     """``d`` with the place of every row by value (largest first), then key, over the whole table.
 

@@ -194,10 +194,35 @@ def geo_measures(spark, d):
     return _zones(spark, d).select("cvegeo", F.round(G.area("geometry") * 1e6, 6).alias("area"), F.round(G.perimeter("geometry"), 9).alias("perimetro"))
 
 
-@query()
+def _conformal(lat: str) -> str:
+    return f"tan(pi() / 4 - ({lat}) / 2) / pow((1 - e * sin({lat})) / (1 + e * sin({lat})), e / 2)"
+
+
+def _scale(lat: str) -> str:
+    return f"cos({lat}) / sqrt(1 - pow(e * sin({lat}), 2))"
+
+
+# The grid from its definition: standard parallels 17.5 and 29.5, origin 12 N 102 W, false easting 2 500 000 m, GRS 80.
+# The latitude of the centroid comes from fixed-point steps, not from the series the columns use.
+_GRID = f"""{_RINGS},
+    k0 as (select sqrt(f * (2 - f)) as e, radians(17.5) as p1, radians(29.5) as p2, radians(12.0) as p0 from (select 1 / 298.257222101 as f)),
+    k1 as (select e, ln(({_scale('p1')}) / ({_scale('p2')})) / ln(({_conformal('p1')}) / ({_conformal('p2')})) as n, {_conformal('p1')} as t1, {_conformal('p0')} as t0, {_scale('p1')} as m1 from k0),
+    k as (select e, n, 6378137.0 * m1 / (n * pow(t1, n)) as af, 6378137.0 * m1 / (n * pow(t1, n)) * pow(t0, n) as r0 from k1),
+    q as (select cvegeo, i, k as anillo, j, ring[j].x as lon, radians(ring[j].y) as lat, len(ring) as largo from (select *, unnest(range(1, len(ring) + 1)) as j from r)),
+    xy as (select cvegeo, i, anillo, j, largo, 2500000 + af * pow({_conformal('lat')}, n) * sin(n * (radians(lon) - radians(-102.0))) as x, r0 - af * pow({_conformal('lat')}, n) * cos(n * (radians(lon) - radians(-102.0))) as y from q, k),
+    g as (select a.cvegeo, a.i, a.anillo, o.x as ox, o.y as oy, a.x - o.x as u1, a.y - o.y as v1, b.x - o.x as u2, b.y - o.y as v2
+          from xy a join xy b on b.cvegeo = a.cvegeo and b.i = a.i and b.anillo = a.anillo and b.j = a.j % a.largo + 1 join xy o on o.cvegeo = a.cvegeo and o.i = a.i and o.anillo = a.anillo and o.j = 1),
+    h as (select cvegeo, i, anillo, sum(u1 * v2 - u2 * v1) / 2 as s, sum((u1 + u2) * (u1 * v2 - u2 * v1)) / 6 + any_value(ox) * sum(u1 * v2 - u2 * v1) / 2 as mx, sum((v1 + v2) * (u1 * v2 - u2 * v1)) / 6 + any_value(oy) * sum(u1 * v2 - u2 * v1) / 2 as my,
+                 sum(sqrt(pow(u2 - u1, 2) + pow(v2 - v1, 2))) as l from g group by all),
+    t as (select cvegeo, sum(abs(s) * f) as area, sum(l) as perimetro, sum(mx * sign(s) * f) / sum(abs(s) * f) as cx, sum(my * sign(s) * f) / sum(abs(s) * f) as cy from (select *, case when anillo = 1 then 1 else -1 end as f from h) group by cvegeo),
+    c0 as (select *, degrees(atan2(cx - 2500000, r0 - cy) / n) - 102 as lon, pow(sqrt(pow(cx - 2500000, 2) + pow(r0 - cy, 2)) / af, 1 / n) as tt, pi() / 2 - 2 * atan(pow(sqrt(pow(cx - 2500000, 2) + pow(r0 - cy, 2)) / af, 1 / n)) as phi from t, k),
+    {', '.join(f"c{m} as (select * replace (pi() / 2 - 2 * atan(tt * pow((1 - e * sin(phi)) / (1 + e * sin(phi)), e / 2)) as phi) from c{m - 1})" for m in range(1, 9))}"""
+
+
+@query(f"with {_GRID} select cvegeo, round(area / 100, 2) as area_ha100, round(perimetro, 3) as perimetro_m, round(lon, 7) as centro_lon, round(degrees(phi), 7) as centro_lat from c8")
 def zones_normalised(spark, d):
-    """Area on the metric grid and centroid in degrees; tested by round trip and against the projection's scale."""
-    return ingest.normalise_zones(_zones(spark, d)).drop("geometry")
+    z = ingest.normalise_zones(_zones(spark, d))
+    return z.select("cvegeo", F.round(F.col("area_m2") / 100, 2).alias("area_ha100"), F.round("perimeter_m", 3).alias("perimetro_m"), F.round("centroid_lon", 7).alias("centro_lon"), F.round("centroid_lat", 7).alias("centro_lat"))
 
 
 @query("""
@@ -386,12 +411,31 @@ def shock_vector(spark, d):
 # ---- graph ----------------------------------------------------------------
 
 
-@query()
+# Micro-degrees, doubled so that midpoints of edges are integers too; all signs are exact.
+_TOUCH = f"""{_RINGS},
+    ei as (select cvegeo, cast(round(x1 * 1e6) as bigint) * 2 as x1, cast(round(y1 * 1e6) as bigint) * 2 as y1, cast(round(x2 * 1e6) as bigint) * 2 as x2, cast(round(y2 * 1e6) as bigint) * 2 as y2 from ed where x1 <> x2 or y1 <> y2),
+    zb as (select cvegeo, min(x1) as bx0, max(x1) as bx1, min(y1) as by0, max(y1) as by1 from ei group by all),
+    pr as (select a.cvegeo as a, b.cvegeo as b from zb a join zb b on a.cvegeo < b.cvegeo and a.bx0 <= b.bx1 and b.bx0 <= a.bx1 and a.by0 <= b.by1 and b.by0 <= a.by1),
+    sg as (select pr.a, pr.b, sign((e.x2 - e.x1) * (f.y1 - e.y1) - (e.y2 - e.y1) * (f.x1 - e.x1)) as s1, sign((e.x2 - e.x1) * (f.y2 - e.y1) - (e.y2 - e.y1) * (f.x2 - e.x1)) as s2,
+                  sign((f.x2 - f.x1) * (e.y1 - f.y1) - (f.y2 - f.y1) * (e.x1 - f.x1)) as s3, sign((f.x2 - f.x1) * (e.y2 - f.y1) - (f.y2 - f.y1) * (e.x2 - f.x1)) as s4,
+                  greatest(least(greatest(e.x1, e.x2), greatest(f.x1, f.x2)) - greatest(least(e.x1, e.x2), least(f.x1, f.x2)), least(greatest(e.y1, e.y2), greatest(f.y1, f.y2)) - greatest(least(e.y1, e.y2), least(f.y1, f.y2))) as tramo
+           from pr join ei e on e.cvegeo = a join ei f on f.cvegeo = b
+           where greatest(e.x1, e.x2) >= least(f.x1, f.x2) and greatest(f.x1, f.x2) >= least(e.x1, e.x2) and greatest(e.y1, e.y2) >= least(f.y1, f.y2) and greatest(f.y1, f.y2) >= least(e.y1, e.y2)),
+    st as (select a, b, bool_or(s1 * s2 < 0 and s3 * s4 < 0) as cruza, bool_or(s1 * s2 <= 0 and s3 * s4 <= 0) as toca, bool_or(s1 = 0 and s2 = 0 and s3 = 0 and s4 = 0 and tramo > 0) as comun from sg group by all),
+    dir as (select a as own, b as other from pr union all select b, a from pr),
+    tp as (select own, other, unnest([x1, (x1 + x2) // 2]) as x, unnest([y1, (y1 + y2) // 2]) as y from dir join ei on cvegeo = own),
+    ins as (select own, other, x, y, count(*) filter ((y1 > y) <> (y2 > y) and ((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1) > 0) = (y2 > y1)) % 2 = 1 as impar,
+                   bool_or((x2 - x1) * (y - y1) = (y2 - y1) * (x - x1) and x between least(x1, x2) and greatest(x1, x2) and y between least(y1, y2) and greatest(y1, y2)) as borde from (select distinct * from tp) join ei on cvegeo = other group by own, other, x, y),
+    sol as (select distinct least(own, other) as a, greatest(own, other) as b from ins where impar and not borde),
+    par as (select a, b, comun from st anti join sol using (a, b) where toca and not cruza)"""
+
+
+@query(f"with {_TOUCH} select a as src, b as dst from par union all select b, a from par")
 def contiguity_queen(spark, d):
     return graph.contiguity(_zones(spark, d), "queen")
 
 
-@query()
+@query(f"with {_TOUCH} select a as src, b as dst from par where comun union all select b, a from par where comun")
 def contiguity_rook(spark, d):
     return graph.contiguity(_zones(spark, d), "rook")
 
@@ -412,9 +456,11 @@ def graph_stats(spark, d):
     return graph.graph_stats(n, e).withColumn("grado_medio", F.round("grado_medio", 9))
 
 
-@query(f"with {_EDGES} select id from nodes anti join e on src = id")
+@query(f"with {_EDGES} select id from nodes anti join (select * from e where substr(src, 1, 9) = substr(dst, 1, 9)) on src = id")
 def graph_islands(spark, d):
-    return graph.islands(*_graph(spark, d))
+    """Zones without a neighbour in their own locality."""
+    nodes, e = _graph(spark, d)
+    return graph.islands(nodes, e.filter(F.substring("src", 1, 9) == F.substring("dst", 1, 9)))
 
 
 # ---- propagation ----------------------------------------------------------
@@ -459,15 +505,31 @@ def rho_sweep_summary(spark, d):
     return t.select("rho", F.round("suma_S", 4).alias("suma_s"), F.round("suma_Y", 4).alias("suma_y"), _r("multiplicador"))
 
 
-@query()
+def _grid_sql(n: int, rhos: str) -> str:
+    """Moran's I of the propagated pattern for each rho of a grid, from the terms W^k S."""
+    return f"""
+    g{n} as ({rhos}),
+    y{n} as (select rho, id, sum(v * pow(rho, k)) as y from it, g{n} group by all),
+    d{n} as (select rho, id, y - avg(y) over (partition by rho) as d from y{n}),
+    i{n} as (select a.rho, (select count(*) from nodes) / (select sum(w) from ws) * sum(w * a.d * b.d) / any_value(q) as i from ws join d{n} a on a.id = src join d{n} b on b.id = dst and b.rho = a.rho join (select rho as r, sum(d * d) as q from d{n} group by all) on r = a.rho group by a.rho)"""
+
+
+@query(f"""with recursive {_W}, {_SHOCK}, {_EDGES}, {_WS}, {_S},
+    it(k, id, v) as (select 0, id, s::double from s union all select it.k + 1, src, sum(w * v) from it join ws on dst = it.id where it.k < 600 group by it.k, src),
+    ob as (select id, coalesce(o, 0) as v from nodes left join (select cvegeo, sum(omega) as o from w group by all) on cvegeo = id), od as (select id, v - avg(v) over () as d from ob),
+    ti as (select (select count(*) from od) / (select sum(w) from ws) * (select sum(w * a.d * b.d) from ws join od a on a.id = src join od b on b.id = dst) / (select sum(d * d) from od) as i),
+    {_grid_sql(1, "select -0.95 + 1.9 / 14 * unnest(range(15))::double as rho")},
+    b1 as (select i1.rho from i1, ti order by abs(i1.i - ti.i), rho limit 1),
+    {_grid_sql(2, "select greatest(-0.95, rho - 1.9 / 14) + (least(0.95, rho + 1.9 / 14) - greatest(-0.95, rho - 1.9 / 14)) / 10 * unnest(range(11))::double as rho from b1")},
+    al as (select 1 as malla, rho, i from i1 union all select 2, rho, i from i2)
+    select round(al.rho, 6) as rho, round(ti.i, 6) as i_observado, round(al.i, 6) as i_modelo, (select count(*)::int from al) as n_rho_evaluados, true as convergio from al, ti order by abs(al.i - ti.i), malla, al.rho limit 1""")
 def rho_calibration(spark, d):
-    """Iterative; tested against a direct search on small graphs."""
     nodes, e = _graph(spark, d)
     s = materialise(_vector(spark, d, nodes))
-    o = _omega(spark, d).groupBy(F.col("cvegeo").alias("id")).agg(F.coalesce(F.sum("omega"), F.lit(0.0)).alias("s"))
-    seen = propagate.align(nodes, o, strict=False).select("id", F.col("s").alias("v"))
+    seen = propagate.align(nodes, pf.observed_weight(_omega(spark, d)), strict=False).select("id", F.col("s").alias("v"))
     r = propagate.calibrate(nodes, materialise(graph.row_standardise(e)), s, seen)
-    return spark.createDataFrame([(r["rho"], r["i_observado"], r.get("i_modelo"), r["n_rho_evaluados"], r["convergio"])], "rho double, i_observado double, i_modelo double, n_rho_evaluados int, convergio boolean")
+    got = [round(r[c], 6) for c in ("rho", "i_observado", "i_modelo")]
+    return spark.createDataFrame([(*got, r["n_rho_evaluados"], r["convergio"])], "rho double, i_observado double, i_modelo double, n_rho_evaluados int, convergio boolean")
 
 
 @query(_neumann_sql("0.35", 40) + """ select count(*) filter (abs(y) > 0) as afectadas, round(avg(y), 6) as media, round(max(abs(y)), 6) as maximo,
