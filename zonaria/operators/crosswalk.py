@@ -13,6 +13,12 @@ from zonaria.report import Report
 # Levels of the code by number of digits, states, evidence, mappings and priorities of a row.
 LEVELS = {2: "SECTOR", 3: "SUBSECTOR", 4: "RAMA", 5: "SUBRAMA", 6: "CLASE"}
 FLAT_SCHEMA = ("scian_codigo", "sector_serio", "notas")
+PRIORITIES = ("HIGH", "MEDIUM", "LOW")
+AUTHORING_SCHEMA = (
+    "scian_codigo", "scian_nivel", "scian_titulo", "serio_sector", "serio_nombre", "evidence_type", "status", "priority", "mapping_type", "source",
+    "justification", "reviewed_by", "review_date", "notes", "crosswalk_version", "scian_version", "serio_version", "generated_at", "generated_by",
+)
+VERSION_COLUMNS = ("crosswalk_version", "scian_version", "serio_version", "generated_by")
 BLANK_STATES = ("REVIEW_REQUIRED", "OUT_OF_SCOPE", "PENDING")
 MASTER_RULES = (
     # confidence, needs review -> state, mapping, evidence, priority
@@ -230,3 +236,62 @@ def coverage(authoring: DataFrame, catalogue: DataFrame, observed: DataFrame, ru
         .drop("_k")
         .withColumns({"coverage_catalog_pct": pct("catalogo_cubierto", "catalogo"), "coverage_denue_pct": pct("observados_resueltos", "observados"), "verified_pct": pct("n_verified", "clases")})
     )
+
+
+def by_priority(authoring: DataFrame) -> DataFrame:
+    """(priority, n, verified_pct): class rows of each of the three priorities, zeros for one without rows."""
+    every = authoring.sparkSession.createDataFrame([(p,) for p in PRIORITIES], "priority string")
+    n = authoring.filter("level = 'CLASE'").groupBy("priority").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "VERIFIED").alias("_v"))
+    d = every.join(n, "priority", "left").na.fill(0, ["n", "_v"])
+    return d.select("priority", "n", F.when(F.col("n") > 0, F.round(F.col("_v") * 100.0 / F.col("n"), 2)).otherwise(0.0).alias("verified_pct"))
+
+
+def by_sector(authoring: DataFrame) -> DataFrame:
+    """(sector, n): verified class rows per sector."""
+    return authoring.filter("level = 'CLASE' and status = 'VERIFIED'").groupBy("sector").agg(F.count("*").alias("n"))
+
+
+def review_queue(authoring: DataFrame) -> DataFrame:
+    """(code, title, priority, notes): class rows that wait for a review."""
+    return authoring.filter("level = 'CLASE' and status = 'REVIEW_REQUIRED'").select("code", "title", "priority", "notes")
+
+
+def unresolved(observed: DataFrame, rules: DataFrame, code: str = "scian") -> DataFrame:
+    """(code): observed codes that no verified rule resolves, or that have not six digits."""
+    return resolve(observed, rules, code).filter(F.col("sector").isNull()).select(code)
+
+
+def status_shares(authoring: DataFrame) -> DataFrame:
+    """One row of percentages of the class rows: each status, and ambiguous mappings; 0 without class rows."""
+    c = authoring.filter("level = 'CLASE'")
+    share = lambda hit: F.when(F.count("*") > 0, F.round(F.count_if(hit) * 100.0 / F.count("*"), 2)).otherwise(0.0)
+    states = {s: F.col("status") == s for s in ("VERIFIED", *BLANK_STATES)} | {"AMBIGUOUS": F.col("mapping") == "AMBIGUOUS"}
+    return c.agg(*(share(hit).alias(f"{s.lower()}_pct") for s, hit in states.items()))
+
+
+def coverage_report(authoring: DataFrame, catalogue: DataFrame, observed: DataFrame, rules: DataFrame, versions: dict[str, str] | None = None) -> Report:
+    """The whole report as one document.  Its lists are bounded by the catalogue of codes."""
+    rows = lambda d: [r.asDict() for r in d.collect()]
+    values = coverage(authoring, catalogue, observed, rules).first().asDict() | status_shares(authoring).first().asDict()
+    lists = {"priority_breakdown": rows(by_priority(authoring)), "by_sector": rows(by_sector(authoring)), "review_queue": rows(review_queue(authoring)), "unmapped": sorted(r[0] for r in unresolved(observed, rules).collect())}
+    return Report("crosswalk_coverage", values | lists | {"metadata": versions or {}})
+
+
+def second_round(authoring: DataFrame, catalogue: DataFrame, observed: DataFrame, rules: DataFrame) -> tuple[Report, Report]:
+    """The coverage before and after the suggested rows are added: what a reviewer has to decide next."""
+    added = authoring.unionByName(suggest(observed, authoring, rules), allowMissingColumns=True)
+    return coverage_report(authoring, catalogue, observed, rules), coverage_report(added, catalogue, observed, rules)
+
+
+def authoring_template(rows: DataFrame, versions: dict[str, str]) -> DataFrame:
+    """``rows`` in the authoring schema: missing columns blank, version columns filled only where they are blank."""
+    filled = {c: F.col(c).cast("string") if c in rows.columns else F.lit("") for c in AUTHORING_SCHEMA}
+    d = rows.select(*(F.coalesce(v, F.lit("")).alias(c) for c, v in filled.items()))
+    return d.withColumns({c: F.when(F.trim(c).isin("", "nan"), F.lit(v)).otherwise(F.col(c)) for c, v in versions.items() if c in VERSION_COLUMNS})
+
+
+def write_flat_template(sectors: DataFrame, folder: str) -> None:
+    """An empty flat crosswalk and, beside it, the sectors it may name."""
+    empty = sectors.sparkSession.createDataFrame([], ", ".join(f"{c} string" for c in FLAT_SCHEMA))
+    empty.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/crosswalk")
+    sectors.select(F.col("sector").alias("sector_serio")).coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/sectores")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from decimal import Decimal
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonaria.errors import ContractError, GalFormatError, require
 from zonaria.functions import geometry as G
+from zonaria.sources.paths import read_document, read_text, write_document, write_text
 
 CELLS_PER_ZONE = 4096  #: grid cells a zone may cover; a larger one is compared through a coarser grid
 
@@ -195,6 +198,46 @@ def neighbours_of(edges: DataFrame, zone: str) -> DataFrame:
     return edges.filter(F.col("src") == zone).select("dst").distinct().orderBy("dst")
 
 
+@dataclass(frozen=True)
+class Matrix:
+    """Row access to a weight matrix: ``nodes`` (id), ``w`` (src, dst, w).  Unknown ids raise."""
+
+    nodes: DataFrame
+    w: DataFrame
+
+    def _known(self, zone: str) -> None:
+        if not self.nodes.filter(F.col("id") == zone).limit(1).count():
+            raise KeyError(f"{zone} is no node")
+
+    def index_of(self, zone: str) -> int:
+        """Place of a node among all by id, from 0."""
+        self._known(zone)
+        return self.nodes.filter(F.col("id") < zone).count()
+
+    def row(self, zone: str) -> DataFrame:
+        """(id, w): the whole row, 0 where there is no edge."""
+        self._known(zone)
+        mine = self.w.filter(F.col("src") == zone).groupBy(F.col("dst").alias("id")).agg(F.sum("w").alias("w"))
+        return self.nodes.select("id").join(mine, "id", "left").na.fill(0.0, ["w"])
+
+    def neighbours(self, zone: str) -> list[str]:
+        self._known(zone)
+        return [r["dst"] for r in neighbours_of(self.w, zone).collect()]
+
+    def is_island(self, zone: str) -> bool:
+        return not self.neighbours(zone)
+
+    def frame(self, limit: int = 2_000) -> pd.DataFrame:
+        """W with labelled rows and columns, for a look at a small graph."""
+        ids = [r["id"] for r in self.nodes.select("id").orderBy("id").limit(limit + 1).collect()]
+        if len(ids) > limit:
+            raise ContractError(f"more than {limit} nodes")
+        out = pd.DataFrame(0.0, index=ids, columns=ids)
+        for r in self.w.collect():
+            out.loc[r["src"], r["dst"]] += r["w"]
+        return out
+
+
 def read_gal(spark: SparkSession, path: str) -> tuple[str, DataFrame, DataFrame]:
     """(id column, nodes (id, pos), edges (src, dst)) of a GAL file, in file order; malformed files raise.
 
@@ -202,8 +245,7 @@ def read_gal(spark: SparkSession, path: str) -> tuple[str, DataFrame, DataFrame]
     its ids are split on white space.
     """
     try:
-        with open(path, encoding="utf-8") as f:
-            lines = [x.rstrip("\n") for x in f]
+        lines = read_text(spark, path).removesuffix("\n").split("\n")
     except FileNotFoundError:
         raise GalFormatError(f"no file {path}") from None
     while lines and not lines[-1].strip() and len(lines) % 2 == 0:
@@ -250,12 +292,30 @@ def read_gal(spark: SparkSession, path: str) -> tuple[str, DataFrame, DataFrame]
 
 
 def write_gal(nodes: DataFrame, edges: DataFrame, path: str, id_col: str = "cvegeo") -> None:
-    """The GAL file of a graph: nodes by id, neighbours sorted; rows stream to the file one partition at a time."""
+    """The GAL file of a graph, on any file system: nodes by id, neighbours sorted.  The file is made on the driver, as it is one document."""
     if nodes.filter(F.col("id").rlike(r"\s")).limit(1).count():
         raise GalFormatError("ids with white space")
     near = edges.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("v"))
     rows = nodes.select("id").join(near, "id", "left").select("id", F.coalesce("v", F.array().cast("array<string>")).alias("v")).orderBy("id")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(f"0 {nodes.count()} spatial_graph {id_col}\n")
-        for r in rows.toLocalIterator():
-            f.write(f"{r['id']} {len(r['v'])}\n{' '.join(r['v'])}\n")
+    lines = [f"0 {nodes.count()} spatial_graph {id_col}", *(f"{r['id']} {len(r['v'])}\n{' '.join(r['v'])}" for r in rows.toLocalIterator())]
+    write_text(nodes.sparkSession, path, "\n".join(lines) + "\n")
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, gal: str, metadata: str, criterion: str, id_col: str = "cvegeo") -> None:
+    """The GAL file and its metadata: id column, criterion and figures."""
+    write_gal(nodes, edges, gal, id_col)
+    write_document(nodes.sparkSession, metadata, {"id_col": id_col, "criterio": criterion, "report": graph_stats(nodes, edges).first().asDict()})
+
+
+def read_graph_metadata(spark: SparkSession, path: str) -> dict:
+    """The metadata of a graph; FileNotFoundError where there are none."""
+    return read_document(spark, path)
+
+
+def load_matrix(spark: SparkSession, gal: str) -> Matrix | None:
+    """The row-standardised matrix of a GAL file; None when there is no usable file, as a report does without neighbours."""
+    try:
+        _, nodes, edges = read_gal(spark, gal)
+    except (ContractError, OSError):
+        return None
+    return Matrix(nodes, row_standardise(edges))

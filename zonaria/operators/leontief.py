@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonaria.errors import ContractError, ScenarioConfigError
@@ -67,6 +67,17 @@ def shock(l_matrix: DataFrame, demand: DataFrame, vectors: DataFrame) -> DataFra
     )
 
 
+def by_size(detail: DataFrame, sectors: DataFrame) -> DataFrame:
+    """A shock's detail with the sectors' names and ``lugar``: largest absolute change first, ties in the model's order of sectors.
+
+    ``sectors`` is (indice, sector, nombre).  Contractions rank by their size,
+    as expansions do.  A state has at most MAX_SECTORS rows.
+    """
+    d = detail.join(sectors.select("indice", "sector", "nombre"), "sector", "left")
+    place = F.row_number().over(Window.partitionBy("escenario", "state").orderBy(F.desc(F.round(F.abs("delta_X_pesos"), 3)), F.asc_nulls_last("indice"), "sector"))
+    return d.withColumn("lugar", place)
+
+
 def shock_totals(detail: DataFrame, demand: DataFrame) -> DataFrame:
     """(escenario, state, delta_X, delta_VA, delta_E, mult_produccion, mult_valor, mult_empleo): multipliers are 0 for an amount of 0."""
     amount = demand.groupBy("escenario", "state").agg(F.sum(F.col("monto") * UNIT).alias("_m"))

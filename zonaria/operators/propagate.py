@@ -31,6 +31,15 @@ def align(nodes: DataFrame, vector: DataFrame, strict: bool = True) -> DataFrame
     return nodes.select("id").join(per, "id", "left").select("id", F.coalesce("s", F.lit(0.0)).alias("s"))
 
 
+def align_all(nodes: DataFrame, vector: DataFrame) -> DataFrame:
+    """(id, s) in the graph's ids for a vector that must name every node; missing or null ones raise, others are left out."""
+    per = vector.filter(F.col("s").isNotNull()).groupBy("id").agg(F.sum("s").alias("s"))
+    missing = nodes.select("id").join(per, "id", "left_anti").limit(10).collect()
+    if missing:
+        raise AlignmentError("nodes without a value: " + ", ".join(str(r["id"]) for r in missing))
+    return nodes.select("id").join(per, "id")
+
+
 def check_rho(rho, radius: float | None = None) -> float:
     """A finite number with |rho| < 1 and, where the radius is known and positive, below 1 / radius."""
     if isinstance(rho, bool) or not isinstance(rho, int | float | np.floating | np.integer):

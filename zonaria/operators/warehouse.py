@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import json
-from pathlib import Path
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from zonaria.errors import ContractError, require
 from zonaria.functions.codes import norm_code
 from zonaria.operators.spatial_join import build_tree, points_in_zones
 from zonaria.report import Report
+from zonaria.sources.paths import read_document, write_document
 from zonaria.sources.tables import deliveries
 
 TOLERANCE = 1e-6
@@ -154,20 +152,53 @@ def sector_totals(w: DataFrame, top: int = 10) -> DataFrame:
     )
 
 
-def write(w: DataFrame, folder: str, epsg: int = 6372, **reports: Report) -> Path:
-    """warehouse.parquet and metadata.json in ``folder``."""
+def without_geometry(w: DataFrame, zones: DataFrame) -> DataFrame:
+    """(cvegeo): zones of the table that have no geometry."""
+    known = zones.filter(F.col("geometry").isNotNull()).select("cvegeo").distinct()
+    return w.select("cvegeo").distinct().join(known, "cvegeo", "left_anti")
+
+
+def write(w: DataFrame, folder: str, epsg: int = 6372, **reports: Report) -> str:
+    """warehouse.parquet and metadata.json in ``folder``, which may lie on any file system; the path of the metadata."""
     w.write.mode("overwrite").parquet(f"{folder}/warehouse.parquet")
     facts = w.agg(F.count("*").alias("n_rows"), F.array_sort(F.collect_set("sector_serio")).alias("sectors")).first()
     meta = {"n_rows": facts["n_rows"], "epsg": epsg, "id_col": "cvegeo", "sectors": facts["sectors"]} | {k: r.to_dict() for k, r in reports.items()}
-    path = Path(folder) / "metadata.json"
-    path.write_text(json.dumps(meta, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    write_document(w.sparkSession, path := f"{folder}/metadata.json", meta)
     return path
 
 
+def resolve_reports(spark: SparkSession, metadata: str, join: str | None = None, integrity: str | None = None) -> tuple[dict, dict]:
+    """(join report, integrity report): from files of their own where given, else from the metadata; a missing one raises."""
+    meta = read_document(spark, metadata)
+    found = [read_document(spark, path) if path else meta.get(name) for path, name in ((join, "join_report"), (integrity, "integrity_report"))]
+    for name, r in zip(("join_report", "integrity_report"), found, strict=True):
+        if r is None:
+            raise ContractError(f"no {name}, neither as a file nor in the metadata")
+    return found[0], found[1]
+
+
 def omega_table(w: DataFrame) -> DataFrame:
-    """(cvegeo, sector, omega, omega_metodo), one row per pair."""
+    """(cvegeo, sector, omega, omega_metodo), one row per pair.
+
+    A pair that comes again counts once when its rows agree; rows that disagree
+    are refused, as no weight of them is right.
+    """
     require(w, "cvegeo", "sector_serio", "omega", "omega_metodo")
-    return w.select("cvegeo", F.col("sector_serio").alias("sector"), "omega", "omega_metodo").dropDuplicates(["cvegeo", "sector"])
+    some = F.min("omega").alias("omega"), F.min("omega_metodo").alias("omega_metodo")
+    same = F.max("omega").eqNullSafe(F.min("omega")) & F.max("omega_metodo").eqNullSafe(F.min("omega_metodo")) & F.count("omega").isin(F.lit(0), F.count("*"))
+    d = w.groupBy("cvegeo", F.col("sector_serio").alias("sector")).agg(*some, same.alias("_igual"))
+    refused = F.raise_error(F.concat(F.lit("several weights of "), "cvegeo", F.lit(" "), "sector")).cast("boolean")
+    return d.filter(F.when(F.col("_igual"), True).otherwise(refused)).drop("_igual")
+
+
+def omega_views(omega: DataFrame) -> DataFrame:
+    """(sector, zonas, sin_omega, suma_omega): zones with and without a weight; a sector without any has zonas = 0."""
+    return omega.groupBy("sector").agg(F.count("omega").alias("zonas"), F.count_if(F.col("omega").isNull()).alias("sin_omega"), F.coalesce(F.sum("omega"), F.lit(0.0)).alias("suma_omega"))
+
+
+def omega_of(omega: DataFrame, sector: str) -> DataFrame:
+    """(cvegeo, omega): the known weights of a sector."""
+    return omega.filter((F.col("sector") == sector) & F.col("omega").isNotNull()).select("cvegeo", "omega")
 
 
 def territory(zone: str | Column) -> dict[str, Column]:

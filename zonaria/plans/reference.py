@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from zonaria.functions import geometry as G
 from zonaria.functions.codes import norm_code
 from zonaria.operators import allocate as al
-from zonaria.operators import clusters, graph, ingest, leontief, propagate, score
+from zonaria.operators import build, clusters, graph, ingest, leontief, propagate, results, score
 from zonaria.operators import crosswalk as cw
 from zonaria.operators import profiles as pf
 from zonaria.operators import warehouse as wh
@@ -42,8 +42,9 @@ def _sql_code(c: str) -> str:
 # A table of rules at every level, drawn from the crosswalk in words both engines read.
 _RULES = """
     select code, case length(code) when 2 then 'SECTOR' when 3 then 'SUBSECTOR' when 4 then 'RAMA' when 5 then 'SUBRAMA' else 'CLASE' end as level,
-           title, sector, case when sector = '' then 'PENDING' else 'VERIFIED' end as status, evidence, 'EXACT' as mapping, 'derivada' as justification
-    from (select code, min(title) as title, min(sector) as sector, case when min(f) % 9 = 0 then 'INFERRED' else 'OFFICIAL' end as evidence
+           title, sector, case when sector = '' and f % 2 = 0 then 'REVIEW_REQUIRED' when sector = '' then 'PENDING' else 'VERIFIED' end as status, evidence, case when sector = '' and f % 4 = 0 then 'AMBIGUOUS' else 'EXACT' end as mapping,
+           'derivada' as justification, case when f % 5 = 0 then 'HIGH' when f % 5 < 3 then 'MEDIUM' else 'LOW' end as priority, title as notes
+    from (select code, min(title) as title, case when min(f) % 7 = 0 then '' else min(sector) end as sector, case when min(f) % 9 = 0 then 'INFERRED' else 'OFFICIAL' end as evidence, min(f) as f
           from (select substring(trim(scian_codigo), 1, cast(2 + fila_id % 5 as int)) as code, coalesce(notas, '') as title, coalesce(trim(sector_serio), '') as sector, fila_id as f
                 from crosswalk where length(trim(scian_codigo)) = 6) as a
           group by code) as b
@@ -89,8 +90,7 @@ def _establishments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _zones(spark: SparkSession, d: str) -> DataFrame:
-    z = table(spark, d, "ageb").filter("geometry is not null").select("cvegeo", "geometry")
-    return z.dropDuplicates(["cvegeo"])
+    return results.one_geometry(table(spark, d, "ageb")).filter("geometry is not null")
 
 
 def _sectors(spark: SparkSession, d: str) -> DataFrame:
@@ -307,6 +307,41 @@ def crosswalk_coverage(spark, d):
     return cw.coverage(_authoring(spark, d), cat, _codes(spark, d), _rules(spark, d))
 
 
+_CLASS = "cl as (select * from au where level = 'CLASE')"
+
+
+@query(f"with {_AUTH}, {_CLASS} select priority, count(code) as n, round(coalesce(count(*) filter (status = 'VERIFIED') * 100.0 / nullif(count(code), 0), 0), 2)::double as verified_pct from (select unnest(['HIGH', 'MEDIUM', 'LOW']) as priority) left join cl using (priority) group by all")
+def crosswalk_priorities(spark, d):
+    return cw.by_priority(_authoring(spark, d))
+
+
+@query(f"with {_AUTH}, {_CLASS} select sector, count(*) as n from cl where status = 'VERIFIED' group by all")
+def crosswalk_by_sector(spark, d):
+    return cw.by_sector(_authoring(spark, d))
+
+
+@query(f"with {_AUTH}, {_CLASS} select code, title, priority, notes from cl where status = 'REVIEW_REQUIRED'")
+def crosswalk_review_queue(spark, d):
+    return cw.review_queue(_authoring(spark, d))
+
+
+@query(f"with {_RES} select scian from res where sector is null")
+def crosswalk_unresolved(spark, d):
+    return cw.unresolved(_codes(spark, d), _rules(spark, d))
+
+
+@query(f"""with {_AUTH}, {_CLASS} select {', '.join(f"round(count(*) filter (status = '{s}') * 100.0 / count(*), 2)::double as {s.lower()}_pct" for s in ("VERIFIED", *cw.BLANK_STATES))}, round(count(*) filter (mapping = 'AMBIGUOUS') * 100.0 / count(*), 2)::double as ambiguous_pct from cl""")
+def crosswalk_status_shares(spark, d):
+    return cw.status_shares(_authoring(spark, d))
+
+
+@query(f"with {_AUTH} select code as scian_codigo, level as scian_nivel, status, '2024.1' as scian_version, case when trim(notes) = '' then '' else notes end as notes from au")
+def crosswalk_template(spark, d):
+    a = _authoring(spark, d).withColumnsRenamed({"code": "scian_codigo", "level": "scian_nivel", "title": "scian_titulo", "sector": "serio_sector"})
+    t = cw.authoring_template(a, {"crosswalk_version": "1", "scian_version": "2024.1", "serio_version": "1", "generated_by": "zonaria"})
+    return t.select("scian_codigo", "scian_nivel", "status", "scian_version", F.when(F.trim("notes") == "", "").otherwise(F.col("notes")).alias("notes"))
+
+
 # ---- location, aggregation, weights ---------------------------------------
 
 _PIP = f"""{_RINGS}, {_EST}, {_FLAT},
@@ -383,6 +418,29 @@ def sector_ranking(spark, d):
     return wh.sector_totals(_omega(spark, d))
 
 
+@query(f"with {_PIP} select zs.cvegeo, sector_serio, n_establecimientos, round(omega, 9) as omega, true as con_geometria from (select distinct cvegeo from z) zs left join pw on pw.cvegeo = zs.cvegeo")
+def warehouse_zones(spark, d):
+    """Every zone with its weights and geometry, built in one call."""
+    w = build.warehouse(ingest.normalise_establishments(_establishments(spark, d)), table(spark, d, "ageb"), cw.lookup(_flat(spark, d)))
+    z = w.with_zones(_zones(spark, d))
+    return z.select("cvegeo", "sector_serio", "n_establecimientos", _r("omega", 9), F.col("geometry").isNotNull().alias("con_geometria"))
+
+
+@query(f"with {_W}, {_ZONES} select distinct cvegeo from w where cvegeo not in (select cvegeo from z)")
+def zones_without_geometry(spark, d):
+    return wh.without_geometry(_omega(spark, d), _zones(spark, d))
+
+
+@query(f"with {_W} select sector_serio as sector, count(omega) as zonas, count(*) filter (omega is null) as sin_omega, round(coalesce(sum(omega), 0), 9) as suma_omega from w group by all")
+def omega_by_sector(spark, d):
+    return wh.omega_views(wh.omega_table(_omega(spark, d))).withColumn("suma_omega", F.round("suma_omega", 9))
+
+
+@query(f"with {_W} select cvegeo as id, round(coalesce(sum(omega), 0), 9) as s from w group by all")
+def observed_weight(spark, d):
+    return pf.observed_weight(_omega(spark, d)).withColumn("s", F.round("s", 9))
+
+
 # ---- shocks ---------------------------------------------------------------
 
 
@@ -408,6 +466,12 @@ def shock_vector(spark, d):
     return _vector(spark, d, nodes).select("id", _r("s"))
 
 
+@query(f"with {_W}, {_SHOCK}, {_ZONES} select w.cvegeo, sector, round(omega * delta_x, 6) as shock_ageb, z.cvegeo is not null as con_geometria from w join shock on sector = sector_serio left join z on z.cvegeo = w.cvegeo where omega is not null")
+def shock_zones(spark, d):
+    a = results.with_geometry(al.allocate(wh.omega_table(_omega(spark, d)), _shock(spark, d)), _zones(spark, d))
+    return a.select("cvegeo", "sector", F.round("shock_ageb", 6).alias("shock_ageb"), F.col("geometry").isNotNull().alias("con_geometria"))
+
+
 # ---- graph ----------------------------------------------------------------
 
 
@@ -463,6 +527,21 @@ def graph_islands(spark, d):
     return graph.islands(nodes, e.filter(F.substring("src", 1, 9) == F.substring("dst", 1, 9)))
 
 
+@query(f"with {_EDGES}, {_WS}, uno as (select min(id) as id from nodes) select nodes.id, round(coalesce(w, 0), 9) as w from nodes left join (select dst, w from ws where src = (select id from uno)) on dst = nodes.id")
+def matrix_row(spark, d):
+    """The row of the first zone."""
+    nodes, e = _graph(spark, d)
+    m = graph.Matrix(nodes, graph.row_standardise(e))
+    return m.row(nodes.agg(F.min("id")).first()[0]).withColumn("w", F.round("w", 9))
+
+
+@query(f"""with {_RINGS}, g as (select cvegeo, i, k, sum((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy)) / 2 as s, sum((x1 + x2 - 2 * ox) * ((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy))) / 6 + any_value(ox) * sum((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy)) / 2 as mx,
+              sum((y1 + y2 - 2 * oy) * ((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy))) / 6 + any_value(oy) * sum((x1 - ox) * (y2 - oy) - (x2 - ox) * (y1 - oy)) / 2 as my from ed group by all)
+    select round(sum(mx * sign(s) * f) / sum(abs(s) * f), 6) as x, round(sum(my * sign(s) * f) / sum(abs(s) * f), 6) as y from (select *, case when k = 1 then 1 else -1 end as f from g)""")
+def map_centre(spark, d):
+    return results.map_centre(_zones(spark, d)).select(_r("x"), _r("y"))
+
+
 # ---- propagation ----------------------------------------------------------
 
 
@@ -555,6 +634,35 @@ def scenario_compare(spark, d):
     return c.withColumn("diferencia", F.round("diferencia", 6))
 
 
+def _simulation(spark: SparkSession, d: str) -> DataFrame:
+    nodes, e = _graph(spark, d)
+    r = propagate.propagate(nodes, materialise(graph.row_standardise(e)), materialise(_vector(spark, d, nodes)), 0.35)
+    return materialise(results.assembled(r, _zones(spark, d)))
+
+
+_SIM = _neumann_sql("0.35", 40) + ", sim as (select id as cvegeo, s as directo, y - s as indirecto, y as propagado, id not in (select src from e) as isla from y join s using (id))"
+
+
+@query(_SIM + " select cvegeo, round(directo, 6) as shock_directo, round(indirecto, 6) as impacto_indirecto, round(propagado, 6) as impacto_propagado, isla, true as con_geometria, round(abs(directo), 6) as intensidad, case when abs(directo) > 1 then round(abs(indirecto) / (abs(directo) + 1e-9), 6) end as decaimiento from sim")
+def simulation_zones(spark, d):
+    """The result with geometry and the figures of its map; the decay is shown where the direct shock is above 1."""
+    r = results.propagation_layer(_simulation(spark, d))
+    shown = F.when(F.col("intensidad") > 1, F.round("decaimiento", 6)).alias("decaimiento")
+    return r.select("cvegeo", *(_r(c) for c in results.IMPACTS), "isla", F.col("geometry").isNotNull().alias("con_geometria"), _r("intensidad"), shown)
+
+
+@query(_SIM.replace(f"with recursive {_W}", f"with recursive {_W}, {_COMM}, {_UNI}") + " select cluster_id, round(sum(directo), 4) as shock_directo, round(sum(indirecto), 4) as impacto_indirecto, round(sum(propagado), 4) as impacto_propagado from u join sim using (cvegeo) group by all")
+def shock_by_community(spark, d):
+    u, _, _ = _profiles(spark, d)
+    return results.shock_by(u, _simulation(spark, d), "cluster_id").select("cluster_id", *(_r(c, 4) for c in results.IMPACTS))
+
+
+@query(_SIM + """, b as (select cvegeo, round(propagado, 6) as impacto from sim order by impacto desc, cvegeo limit 10) select cvegeo, impacto, round(impacto / (select max(abs(impacto)) from b), 6) as barra from b""")
+def impact_bars(spark, d):
+    r = _simulation(spark, d).select("cvegeo", F.round("impacto_propagado", 6).alias("impacto"))
+    return results.bars(r, "impacto", "cvegeo").withColumn("barra", F.round("barra", 6))
+
+
 # ---- input-output ---------------------------------------------------------
 
 _IO = f"""{_W}, fl as (select substr(a.cvegeo, 1, 2) as state, a.sector_serio as i, b.sector_serio as j, sum(a.n_establecimientos * b.n_establecimientos)::double as z from agg a join agg b using (cvegeo) group by all),
@@ -607,6 +715,16 @@ def leontief_shock(spark, d):
     return _detail(spark, d, ["SEC005"])
 
 
+@query(_dx_sql("'SEC005'") + """ select state, sector, row_number() over (partition by state order by round(abs(dx / 1e-6), 3) desc, indice nulls last, sector) as lugar, n.nombre from dx join vec using (state, sector) left join (select scian as sector, min(indice) as indice, min(nombre) as nombre from sectores group by all) n using (sector)
+    qualify lugar <= 15""")
+def leontief_largest(spark, d):
+    """The 15 largest changes of a shock in every state."""
+    _, m, vec = _io(spark, d)
+    names = table(spark, d, "sectores").groupBy(F.col("scian").alias("sector")).agg(F.min("indice").alias("indice"), F.min("nombre").alias("nombre"))
+    r = leontief.by_size(leontief.shock(m, _demand(vec, ["SEC005"]), vec), names)
+    return r.filter("lugar <= 15").select("state", "sector", "lugar", "nombre")
+
+
 @query(_detail_sql("'SEC005', 'SEC043'"))
 def leontief_multi(spark, d):
     return _detail(spark, d, ["SEC005", "SEC043"])
@@ -715,6 +833,50 @@ def neighbour_enrichment(spark, d):
     return n.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in n.columns[1:]})
 
 
+@query(_P + """, k as (select entidad, municipio, count(*) as n_agebs from u group by all), m as (select entidad, municipio, gr.cluster_id, sum(peso) as peso from gr join u using (cvegeo) group by all),
+    b as (select * from m qualify row_number() over (partition by entidad, municipio order by peso desc, cluster_id) = 1)
+    select entidad, municipio, n_agebs, b.cluster_id as cluster_dominante, peso as peso_dominante, (select min(nombre) from comm where comm.cluster_id = b.cluster_id) as nombre_cluster from k left join b using (entidad, municipio)""")
+def municipality_with_dominant(spark, d):
+    u, g, c = _profiles(spark, d)
+    m = results.with_dominant(pf.municipality_profiles(u), pf.dominant_by_municipality(u, g), c)
+    return m.select("entidad", "municipio", "n_agebs", "cluster_dominante", "peso_dominante", "nombre_cluster")
+
+
+@query(_P + f""", {_EDGES} select 'universe' as parte, count(*) as n from u union all select 'granular', count(*) from gr where cluster_id <> 99 union all select 'municipalities', count(*) from (select distinct entidad, municipio from u) union all select 'communities', count(distinct cluster_id) from comm
+    union all select 'unmapped', count(*) from (select distinct sector from sw where sector not in (select sector from comm where sector is not null)) union all select 'relations', (select 3 * count(*) from u) + (select count(*) from e) union all select 'neighbours', count(*) from u""")
+def decision_support(spark, d):
+    """Rows of every table of the report, built in one call."""
+    nodes, e = _graph(spark, d)
+    return build.decision_support(wh.condense(table(spark, d, "warehouse")), _communities(spark, d), nodes, e).counts()
+
+
+@query(_P + " select sector_dominante, count(*) as n_zonas from u group by all order by n_zonas desc, sector_dominante limit 10")
+def top_dominant_sectors(spark, d):
+    return results.most_frequent(_profiles(spark, d)[0], ["sector_dominante"], 10)
+
+
+@query(_P + " select entidad, municipio, count(*) as n_zonas from u group by all order by n_zonas desc, entidad, municipio limit 12")
+def top_municipalities(spark, d):
+    return results.most_frequent(_profiles(spark, d)[0], ["entidad", "municipio"], 12)
+
+
+@query(_P + " select cvegeo, peso_total from u order by peso_total desc, cvegeo limit 15")
+def top_zones(spark, d):
+    return results.largest(_profiles(spark, d)[0], "peso_total", "cvegeo").select("cvegeo", "peso_total")
+
+
+@query(_P + ", q as (select quantile_cont(peso_total, 0.9) as p from u) select round(p, 6) as umbral, count(*) as n from u, q where peso_total >= p group by all")
+def above_p90(spark, d):
+    return results.above_percentile(_profiles(spark, d)[0], "peso_total").select(_r("umbral"), "n")
+
+
+@query(_P + ", m as (select min(entidad || municipio) as m from u) select cvegeo from u, m where entidad || municipio = m and cluster_id in (0, 1, 2)")
+def zones_selected(spark, d):
+    u = _profiles(spark, d)[0]
+    first = u.agg(F.min(F.concat("entidad", "municipio"))).first()[0]
+    return results.select_zones(u, [first] if first else [], [0, 1, 2]).select("cvegeo")
+
+
 # ---- scores, classes ------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from zonaria.errors import ContractError, require
 from zonaria.functions import geometry as G
+from zonaria.report import Report
+from zonaria.sources.paths import write_document
 
 _POLYGON = "struct<coordinates:array<array<array<double>>>>"
 _MULTI = "struct<coordinates:array<array<array<array<double>>>>>"
@@ -145,3 +148,36 @@ def read_communities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
         spark.createDataFrame(pairs, "sector string, cluster_id int"),
         spark.createDataFrame(meta, "cluster_id int, nombre string, sectores array<string>, n_sectores int, centralidad_media double, bl_media double, fl_media double"),
     )
+
+
+def write_communities(communities: DataFrame, path: str, modularity: float, params: dict) -> None:
+    """The community artefact of a partition (see ``operators.clusters.communities``); it is bounded by the sectors."""
+    rows = communities.collect()
+    clusters: dict[str, dict] = {}
+    for r in sorted(rows, key=lambda r: (r["cluster_id"], -r["centralidad"], r["sector"])):
+        c = clusters.setdefault(str(r["cluster_id"]), {k: r[k] for k in ("nombre", "n_sectores", "centralidad_media", "bl_media", "fl_media")} | {"sectores": []})
+        c["sectores"].append(r["sector"])
+    doc = {"generated_at": datetime.now(UTC).isoformat(), "params": params, "n_clusters": len(clusters), "modularity": round(modularity, 6), "clusters": clusters}
+    doc |= {"sector_to_cluster": {r["sector"]: r["cluster_id"] for r in rows}, "sector_centrality": {r["sector"]: r["centralidad"] for r in rows}}
+    write_document(communities.sparkSession, path, doc)
+
+
+def write_shock(allocated: DataFrame, zones: DataFrame, path: str) -> None:
+    """An allocated shock with the geometry of its zones, for later stages that read it."""
+    from zonaria.operators.results import with_geometry
+
+    with_geometry(allocated, zones).write.mode("overwrite").parquet(path)
+
+
+def read_shock(spark: SparkSession, path: str) -> DataFrame:
+    """(id, s): the shock of each zone of a written table, summed over sectors."""
+    d = spark.read.parquet(_existing(path))
+    require(d, "cvegeo", "shock_ageb")
+    return d.groupBy(F.col("cvegeo").alias("id")).agg(F.sum("shock_ageb").alias("s"))
+
+
+def write_zones(validated: DataFrame, normalised: DataFrame, report: Report, folder: str) -> None:
+    """Validated and normalised zones as Parquet with the report of their checks."""
+    validated.write.mode("overwrite").parquet(f"{folder}/zonas_validadas.parquet")
+    normalised.write.mode("overwrite").parquet(f"{folder}/zonas_normalizadas.parquet")
+    write_document(validated.sparkSession, f"{folder}/reporte_zonas.json", report.to_dict())
