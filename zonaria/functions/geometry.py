@@ -82,13 +82,34 @@ def rings_closed(geometry: str | Column) -> Column:
     return F.forall(F.flatten(_col(geometry)), ok)
 
 
-def _crosses_itself(ring: np.ndarray) -> bool:
+def _crosses_itself(ring: np.ndarray, cells: int = 1_000_000) -> bool:
+    """Whether two edges of a ring properly cross.
+
+    Edges are sorted by where they begin in x; each is compared with those that
+    begin before it ends, in arrays of bounded size, so a long ring of short
+    edges takes little more than its sort.
+    """
     if len(ring) > 1 and (ring[0] == ring[-1]).all():
         ring = ring[:-1]
-    a, b = ring, np.roll(ring, -1, axis=0)
-    side = lambda p, q, r: np.sign((q[:, None, 0] - p[:, None, 0]) * (r[None, :, 1] - p[:, None, 1]) - (q[:, None, 1] - p[:, None, 1]) * (r[None, :, 0] - p[:, None, 0]))
-    s1, s2 = side(a, b, a), side(a, b, b)
-    return bool(((s1 * s2 < 0) & (s1 * s2 < 0).T).any())
+    e = np.hstack([ring, np.roll(ring, -1, axis=0)])
+    low = np.minimum(e[:, 0], e[:, 2])
+    e = e[np.argsort(low, kind="stable")]
+    low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+    bottom, top = np.minimum(e[:, 1], e[:, 3]), np.maximum(e[:, 1], e[:, 3])
+    follow = np.searchsorted(low, high, "right") - np.arange(len(e)) - 1  # edges that begin in x within this one
+    side = lambda f, x, y: np.sign((f[:, 2] - f[:, 0]) * (y - f[:, 1]) - (f[:, 3] - f[:, 1]) * (x - f[:, 0]))
+    upto, at = np.cumsum(follow), 0
+    while at < len(e):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + cells, "right")))
+        n = follow[at:end]
+        i = np.repeat(np.arange(at, end), n)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n)
+        near = (bottom[i] <= top[j]) & (bottom[j] <= top[i])
+        f, g = e[i[near]], e[j[near]]
+        if ((side(f, g[:, 0], g[:, 1]) * side(f, g[:, 2], g[:, 3]) < 0) & (side(g, f[:, 0], f[:, 1]) * side(g, f[:, 2], f[:, 3]) < 0)).any():
+            return True
+        at = end
+    return False
 
 
 def is_simple(geometry: str | Column) -> Column:

@@ -6,16 +6,18 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonaria.errors import ContractError, GalFormatError, require
 from zonaria.functions import geometry as G
 from zonaria.sources.paths import read_document, read_text, write_document, write_text
 
-CELLS_PER_ZONE = 4096  #: grid cells a zone may cover; a larger one is compared through a coarser grid
+CELLS = 1_000_000  #: cells of an array at once
+LEAST_CLASS = -20  #: power of two of the smallest grid cells, for zones without extent
 
 
 def _exact(edges: list[tuple]) -> list[tuple]:
@@ -50,14 +52,58 @@ def _on(e: tuple, x: int, y: int) -> bool:
     return min(e[0], e[2]) <= x <= max(e[0], e[2]) and min(e[1], e[3]) <= y <= max(e[1], e[3]) and _side(e, x, y) == 0
 
 
-def _strictly_inside(edges: list[tuple], x: float, y: float) -> bool:
-    inside = False
-    for e in edges:
-        if _on(e, x, y):
-            return False
-        if (e[1] > y) != (e[3] > y) and (_side(e, x, y) > 0) == (e[3] > e[1]):
-            inside = not inside
-    return inside
+def _array(edges: list[tuple]) -> np.ndarray:
+    """(n, 4) whole numbers: 64 bits where products of differences fit, else Python's, which are slower and as exact."""
+    small = all(abs(v) < 1 << 30 for e in edges for v in e)
+    return np.array(edges, dtype=np.int64 if small else object).reshape(-1, 4)
+
+
+def _sides(e: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    v = (e[:, 2] - e[:, 0]) * (y - e[:, 1]) - (e[:, 3] - e[:, 1]) * (x - e[:, 0])
+    return (v > 0).astype(np.int8) - (v < 0).astype(np.int8)
+
+
+def _boxes(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges' boxes as doubles; rounding keeps the order, so boxes that meet still meet."""
+    f = e.astype(float)
+    return np.minimum(f[:, 0], f[:, 2]), np.maximum(f[:, 0], f[:, 2]), np.minimum(f[:, 1], f[:, 3]), np.maximum(f[:, 1], f[:, 3])
+
+
+def _within(boxes: tuple[np.ndarray, ...], others: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Which edges reach the box around all the others."""
+    return np.flatnonzero((boxes[0] <= others[1].max()) & (boxes[1] >= others[0].min()) & (boxes[2] <= others[3].max()) & (boxes[3] >= others[2].min()))
+
+
+def _meeting(p: tuple[np.ndarray, ...], q: tuple[np.ndarray, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of edges whose boxes meet, some edges of the first at a time."""
+    mine, theirs = _within(p, q), _within(q, p)
+    step = max(1, CELLS // max(1, len(theirs)))
+    for at in range(0, len(mine), step):
+        i = mine[at : at + step]
+        a, b = (tuple(v[k] for v in box) for box, k in ((p, i), (q, theirs)))
+        r, c = np.nonzero((a[0][:, None] <= b[1]) & (a[1][:, None] >= b[0]) & (a[2][:, None] <= b[3]) & (a[3][:, None] >= b[2]))
+        yield i[r], theirs[c]
+
+
+def _any_strictly_inside(edges: np.ndarray, boxes: tuple[np.ndarray, ...], points: np.ndarray) -> bool:
+    """Whether one of the points (n, 2) lies inside the region and not on its border."""
+    f = points.astype(float)
+    points = points[(f[:, 0] >= boxes[0].min()) & (f[:, 0] <= boxes[1].max()) & (f[:, 1] >= boxes[2].min()) & (f[:, 1] <= boxes[3].max())]
+    step = max(1, CELLS // len(edges))
+    for at in range(0, len(points), step):
+        some = points[at : at + step]
+        y = some[:, 1].astype(float)
+        r, c = np.nonzero((boxes[2] <= y[:, None]) & (y[:, None] <= boxes[3]))  # edges at the height of the point
+        e, px, py = edges[c], some[r, 0], some[r, 1]
+        side = _sides(e, px, py)
+        low, high = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
+        on = (side == 0) & (low <= px) & (px <= high) & (np.minimum(e[:, 1], e[:, 3]) <= py) & (py <= np.maximum(e[:, 1], e[:, 3]))
+        crossed = ((e[:, 1] > py) != (e[:, 3] > py)) & ((side > 0) == (e[:, 3] > e[:, 1]))
+        odd = np.bincount(r, weights=crossed.astype(float), minlength=len(some)) % 2 == 1
+        border = np.bincount(r, weights=on.astype(float), minlength=len(some)) > 0
+        if (odd & ~border).any():
+            return True
+    return False
 
 
 def relate(a: list[tuple], b: list[tuple]) -> tuple[bool, float]:
@@ -65,38 +111,46 @@ def relate(a: list[tuple], b: list[tuple]) -> tuple[bool, float]:
 
     They touch when their borders meet and their interiors don't: no edges
     cross, no common stretch runs in the same direction, and no stretch of one
-    border lies inside the other region.
+    border lies inside the other region.  Edges are compared where their boxes
+    meet, in arrays; only the pairs that touch are looked at one by one.
     """
+    if not a or not b:
+        return False, 0.0
+    p, q = _array(a), _array(b)
+    boxes = _boxes(p), _boxes(q)
     meets, common = False, 0.0
     cuts: tuple[dict, dict] = ({}, {})
-    for i, e in enumerate(a):
-        for j, f in enumerate(b):
-            if max(e[0], e[2]) < min(f[0], f[2]) or max(f[0], f[2]) < min(e[0], e[2]) or max(e[1], e[3]) < min(f[1], f[3]) or max(f[1], f[3]) < min(e[1], e[3]):
-                continue
-            s1, s2, s3, s4 = _side(e, f[0], f[1]), _side(e, f[2], f[3]), _side(f, e[0], e[1]), _side(f, e[2], e[3])
-            if s1 * s2 < 0 and s3 * s4 < 0:
-                return False, 0.0
-            here = [p for p in ((f[0], f[1]), (f[2], f[3])) if _on(e, *p)]
-            there = [p for p in ((e[0], e[1]), (e[2], e[3])) if _on(f, *p)]
+    for i, j in _meeting(*boxes):
+        e, f = p[i], q[j]
+        s1, s2, s3, s4 = _sides(e, f[:, 0], f[:, 1]), _sides(e, f[:, 2], f[:, 3]), _sides(f, e[:, 0], e[:, 1]), _sides(f, e[:, 2], e[:, 3])
+        if ((s1 * s2 < 0) & (s3 * s4 < 0)).any():
+            return False, 0.0
+        flat = (s1 == 0) & (s2 == 0) & (s3 == 0) & (s4 == 0)
+        for k in np.flatnonzero((s1 == 0) | (s2 == 0) | (s3 == 0) | (s4 == 0)):
+            own, other = a[i[k]], b[j[k]]
+            here = [v for v in (other[:2], other[2:]) if _on(own, *v)]
+            there = [v for v in (own[:2], own[2:]) if _on(other, *v)]
             if here or there:
                 meets = True
-                cuts[0].setdefault(i, []).extend(here)
-                cuts[1].setdefault(j, []).extend(there)
-            if s1 == s2 == s3 == s4 == 0:
+                cuts[0].setdefault(int(i[k]), []).extend(here)
+                cuts[1].setdefault(int(j[k]), []).extend(there)
+            if flat[k]:
                 ends = sorted({*here, *there})
                 if len(ends) > 1:
                     (x1, y1), (x2, y2) = ends[0], ends[-1]
-                    if (e[2] - e[0]) * (f[2] - f[0]) + (e[3] - e[1]) * (f[3] - f[1]) > 0:
+                    if (own[2] - own[0]) * (other[2] - other[0]) + (own[3] - own[1]) * (other[3] - other[1]) > 0:
                         return False, 0.0
                     common += ((x2 - x1) ** 2 + (y2 - y1) ** 2) ** 0.5
     if not meets:
         return False, 0.0
-    for own, other, cut in ((a, b, cuts[0]), (b, a, cuts[1])):
-        for i, e in enumerate(own):
-            pts = sorted({(e[0], e[1]), (e[2], e[3]), *cut.get(i, ())})
-            for (x1, y1), (x2, y2) in zip(pts, pts[1:], strict=False):
-                if _strictly_inside(other, (x1 + x2) / 2, (y1 + y2) / 2):
-                    return False, 0.0
+    for own, other, k in ((a, q, 0), (b, p, 1)):
+        middles = []
+        for i in _within(boxes[k], boxes[1 - k]):
+            e = own[i]
+            pts = sorted({e[:2], e[2:], *cuts[k].get(int(i), ())})
+            middles += [((x1 + x2) // 2, (y1 + y2) // 2) for (x1, y1), (x2, y2) in zip(pts, pts[1:], strict=False)]
+        if middles and _any_strictly_inside(other, boxes[1 - k], np.array(middles, dtype=other.dtype).reshape(-1, 2)):
+            return False, 0.0
     return True, common
 
 
@@ -109,29 +163,47 @@ def _check_zones(zones: DataFrame, id_col: str) -> None:
         raise ContractError("repeated zones")
 
 
+def candidates(boxes: DataFrame) -> DataFrame:
+    """(a, b), a < b: zones whose boxes meet.  ``boxes`` is (id, xmin, xmax, ymin, ymax).
+
+    Every zone belongs to a size class, the power of two above its larger side,
+    whose grid has cells of that width: it covers at most four of them.  Zones
+    meet those of their own and of every larger class in the larger one's cells,
+    each pair once, in the cell where the boxes begin to overlap.  So a huge
+    zone doesn't widen the cells in which small ones are compared.
+    """
+    side = F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"), F.lit(2.0**LEAST_CLASS))
+    d = boxes.withColumn("c", F.ceil(F.log2(side)).cast("int"))
+    classes = sorted(r["c"] for r in d.select("c").distinct().collect())
+    if not classes:
+        return d.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    larger = F.filter(F.array(*map(F.lit, classes)), lambda c: c >= F.col("c"))
+    size = F.pow(F.lit(2.0), F.col("g"))
+
+    def cells(low: str, high: str) -> Column:
+        return F.explode(F.sequence(F.floor(F.col(low) / size), F.floor(F.col(high) / size)))
+
+    at = d.withColumn("g", F.explode(larger)).withColumn("cx", cells("xmin", "xmax")).withColumn("cy", cells("ymin", "ymax"))
+    s, t = at.alias("s"), at.filter("c = g").alias("t")
+    met = lambda c: F.floor(F.greatest(f"s.{c}min", f"t.{c}min") / F.pow(F.lit(2.0), F.col("t.g"))) == F.col(f"t.c{c}")
+    overlap = (F.col("s.xmin") <= F.col("t.xmax")) & (F.col("t.xmin") <= F.col("s.xmax")) & (F.col("s.ymin") <= F.col("t.ymax")) & (F.col("t.ymin") <= F.col("s.ymax"))
+    order = (F.col("s.c") < F.col("t.c")) | ((F.col("s.c") == F.col("t.c")) & (F.col("s.id") < F.col("t.id")))
+    same_cell = (F.col("s.g") == F.col("t.g")) & (F.col("s.cx") == F.col("t.cx")) & (F.col("s.cy") == F.col("t.cy"))
+    pairs = s.join(t, same_cell & overlap & met("x") & met("y") & order)
+    return pairs.select(F.least("s.id", "t.id").alias("a"), F.greatest("s.id", "t.id").alias("b"))
+
+
 def contiguity(zones: DataFrame, criterion: str = "queen", id_col: str = "cvegeo") -> DataFrame:
     """(src, dst): both directions of each pair of touching zones.
 
     queen: borders meet, interiors don't; rook: a stretch of border in common
-    besides.  Zones meet through the cells of a grid as wide as their average
-    box; a pair is compared once, in the cell where its boxes begin to overlap.
-    Cells are few per zone, so no zone is compared with all others.
+    besides.  Zones whose boxes meet are found by ``candidates``.
     """
     if criterion not in ("queen", "rook"):
         raise ContractError(f"unknown criterion {criterion}")
     _check_zones(zones, id_col)
     z = zones.select(F.col(id_col).alias("id"), "geometry", *G.box("geometry")).filter(F.col("xmin").isNotNull())
-    w = z.agg(F.avg(F.col("xmax") - F.col("xmin")).alias("w"), F.avg(F.col("ymax") - F.col("ymin")).alias("h"), F.max(F.col("xmax") - F.col("xmin")).alias("mw"), F.max(F.col("ymax") - F.col("ymin")).alias("mh")).first()
-    side = CELLS_PER_ZONE**0.5
-    width = max(w["w"] or 0, (w["mw"] or 0) / side) or 1.0
-    height = max(w["h"] or 0, (w["mh"] or 0) / side) or 1.0
-    cell = lambda c, size: F.floor(F.col(c) / size)
-    at = z.withColumn("cx", F.explode(F.sequence(cell("xmin", width), cell("xmax", width)))).withColumn("cy", F.explode(F.sequence(cell("ymin", height), cell("ymax", height))))
-    a, b = at.drop("geometry").alias("a"), at.drop("geometry").alias("b")
-    overlap = (F.col("a.xmin") <= F.col("b.xmax")) & (F.col("b.xmin") <= F.col("a.xmax")) & (F.col("a.ymin") <= F.col("b.ymax")) & (F.col("b.ymin") <= F.col("a.ymax"))
-    first = (F.floor(F.greatest("a.xmin", "b.xmin") / width) == F.col("a.cx")) & (F.floor(F.greatest("a.ymin", "b.ymin") / height) == F.col("a.cy"))
-    pairs = a.join(b, (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.id") < F.col("b.id")) & overlap & first)
-    pairs = pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    pairs = candidates(z.drop("geometry"))
     ga, gb = z.select(F.col("id").alias("a"), F.col("geometry").alias("ga")), z.select(F.col("id").alias("b"), F.col("geometry").alias("gb"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import math
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,10 +62,28 @@ def opportunity(u: DataFrame, granular: DataFrame, centrality: DataFrame, n_sect
     return d.withColumn("nivel", F.when(F.col("score") >= HIGH, "High").when(F.col("score") >= MEDIUM, "Medium").otherwise("Low"))
 
 
-def percentiles(d: DataFrame, column: str, points=(0.10, 0.25, 0.50, 0.75, 0.90, 0.99)) -> DataFrame:
-    """(p, valor): exact percentiles with linear interpolation."""
-    got = d.agg(F.percentile(column, list(points)).alias("v"))
-    return got.select(F.posexplode("v").alias("k", "valor")).select(F.element_at(F.array(*map(F.lit, points)), F.col("k") + 1).alias("p"), "valor")
+def quantiles(d: DataFrame, column: str, points: Sequence[float]) -> list[float]:
+    """Exact quantiles with linear interpolation; none without values.
+
+    The values are numbered over range partitions (see ``rank_all``) and only
+    the rows at the wanted places are collected, so no task holds the column.
+    """
+    v = d.select(F.col(column).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    ranked = rank_all(v, "_v", "_v", "_n")
+    n = ranked.count()
+    if not n:
+        return []
+    at = [p * (n - 1) for p in points]
+    wanted = sorted({n - int(k) for x in at for k in (math.floor(x), math.ceil(x))})
+    value = {n - r["_n"]: r["_v"] for r in ranked.filter(F.col("_n").isin(wanted)).collect()}
+    low, high = ([value[int(f(x))] for x in at] for f in (math.floor, math.ceil))
+    return [a if a == b else a + (b - a) * (x - math.floor(x)) for a, b, x in zip(low, high, at, strict=True)]
+
+
+def percentiles(d: DataFrame, column: str, points: Sequence[float] = (0.10, 0.25, 0.50, 0.75, 0.90, 0.99)) -> DataFrame:
+    """(p, valor): exact percentiles with linear interpolation; no rows without values."""
+    got = quantiles(d, column, points)
+    return d.sparkSession.createDataFrame(list(zip(map(float, points), got, strict=False)), "p double, valor double")
 
 
 def histogram(d: DataFrame, column: str, bins: int = 25) -> DataFrame:
@@ -95,7 +114,7 @@ def classify(d: DataFrame, column: str, method: str = "quantiles", k: int = 7) -
         return d.withColumn("clase", F.when(v.isNotNull(), F.lit(0.0 if method == "linear" else 0)))
     if method == "linear":
         return d.withColumn("clase", (v - lo) / (hi - lo))
-    breaks = sorted(set(d.agg(F.percentile(column, [i / k for i in range(k + 1)]).alias("b")).first()["b"])) if method == "quantiles" else []
+    breaks = sorted(set(quantiles(d, column, [i / k for i in range(k + 1)]))) if method == "quantiles" else []
     if len(breaks) < 3:
         breaks = [lo + (hi - lo) * i / k for i in range(k + 1)]
     c: Column = F.lit(0)

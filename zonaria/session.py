@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):  # local-cluster has executors of its own
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dirs[app] = tempfile.mkdtemp(prefix="zonaria-")
         atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
@@ -50,16 +53,39 @@ def materialise(df: DataFrame) -> DataFrame:
 
     The lineage is cut, the files outlive executors, and their size is known to
     the optimiser, so a later join is broadcast only when the rows really are
-    few.  The files go when the application ends.
+    few.  The files go when the enclosing ``scratch`` block ends, else with the
+    application.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/zonaria-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if _blocks:
+        _blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_blocks: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A block whose written tables are deleted at its end.
+
+    For a long session that runs query after query: make the query and use up
+    its result inside, as what it returns still reads those tables.
+    """
+    _blocks.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _blocks.pop():
+            p = hadoop.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 _shipped: set[str] = set()
 
 
