@@ -14,7 +14,7 @@ from zonaria.errors import AlignmentError, InvalidRhoError, SingularOperatorErro
 from zonaria.operators.graph import row_sums
 from zonaria.session import materialise
 
-DENSE_NODES = 5_000  #: nodes up to which the system is solved densely in one task per (scenario, rho)
+DENSE_NODES = 1_000  #: nodes up to which the system is solved densely in one task per (scenario, rho), with its condition number
 SERIES_ROWS = 300_000  #: nodes, and edges, up to which the series runs in one task; beyond them by joins
 CONDITION = 1e12
 UNROLL = 5  #: iterations between cuts of the lineage
@@ -139,22 +139,28 @@ def _done(term: float, before: float, base: float, q: float, steps: int, toleran
     return not term or (shrink < 1 and term * shrink / (1 - shrink) <= tolerance * base)
 
 
-def neumann_grid(w: DataFrame, s: DataFrame, rhos: Sequence[float], tolerance: float = 1e-10) -> DataFrame:
-    """(rho, id, y) of every rho in one series: each W^k S is made once and added to every rho's sum.
+def neumann_grid(w: DataFrame, s: DataFrame, rhos: Sequence[float], tolerance: float = 1e-14) -> DataFrame:
+    """(rho, id, y) of every rho in one series, see ``neumann_arrays``."""
+    rhos = [float(r) for r in dict.fromkeys(rhos)]
+    each = F.array(*(F.struct(F.lit(r).alias("rho"), F.col("y")[i].alias("y")) for i, r in enumerate(rhos)))
+    return neumann_arrays(w, s, rhos, tolerance).select("id", F.explode(each).alias("_g")).select("_g.rho", "id", "_g.y")
+
+
+def neumann_arrays(w: DataFrame, s: DataFrame, rhos: Sequence[float], tolerance: float = 1e-14) -> DataFrame:
+    """(id, y), an array with the result of every rho: each W^k S is made once and added to every rho's sum.
 
     It ends when all that is still missing is below ``tolerance`` times the
     largest |S|, however many terms that takes; terms that don't shrink raise.
     Graphs of at most SERIES_ROWS nodes and edges fit in one task, larger ones
     take joins.
     """
-    rhos = [float(r) for r in dict.fromkeys(rhos)]
     largest = max(map(abs, rhos), default=0.0)
     base = s.agg(F.max(F.abs("s")).alias("m")).first()["m"] or 0.0
     q = _tail(w, largest)
     small = max(d.limit(SERIES_ROWS + 1).count() for d in (w, s)) <= SERIES_ROWS
-    y = (_series_task if small else _series_joins)(w, s, rhos, largest, base, q, tolerance) if largest and base else s.select("id", F.array(*(F.col("s") for _ in rhos)).alias("y"))
-    each = F.array(*(F.struct(F.lit(r).alias("rho"), F.col("y")[i].alias("y")) for i, r in enumerate(rhos)))
-    return y.select("id", F.explode(each).alias("_g")).select("_g.rho", "id", "_g.y")
+    if not largest or not base:
+        return s.select("id", F.array(*(F.col("s") for _ in rhos)).alias("y"))
+    return (_series_task if small else _series_joins)(w, s, rhos, largest, base, q, tolerance)
 
 
 def _series_task(w: DataFrame, s: DataFrame, rhos: list[float], largest: float, base: float, q: float, tolerance: float) -> DataFrame:
@@ -306,18 +312,26 @@ def sweep(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float]) -
 
 
 def _distances(nodes: DataFrame, w: DataFrame, s: DataFrame, rhos: Sequence[float], target: float) -> list[tuple[float, float, float]]:
-    y = materialise(_solutions(nodes, w, s, rhos, condition=False).select("rho", "id", "y"))
-    mean = y.groupBy("rho").agg(F.avg("y").alias("m"), F.count("*").alias("n"))
-    d = materialise(y.join(mean, "rho").select("rho", "id", (F.col("y") - F.col("m")).alias("d"), "n"))
-    num = w.join(d.select("rho", F.col("id").alias("src"), F.col("d").alias("di")), "src").join(d.select("rho", F.col("id").alias("dst"), F.col("d").alias("dj")), ["rho", "dst"])
-    num = num.groupBy("rho").agg(F.sum(F.col("w") * F.col("di") * F.col("dj")).alias("num"), F.sum("w").alias("s0"))
-    den = d.groupBy("rho").agg(F.sum(F.col("d") * F.col("d")).alias("den"), F.max("n").alias("n"))
-    rows = den.join(num, "rho", "left").collect()
+    """(rho, Moran's I of the propagated pattern, its distance from ``target``) of every rho; edges are joined once for all."""
+    rhos = sorted(set(map(float, rhos)))
+    if not rhos:
+        return []
+    if nodes.limit(DENSE_NODES + 1).count() > DENSE_NODES:
+        wide = neumann_arrays(w, s, rhos)
+    else:
+        long = _solutions(nodes, w, s, rhos, condition=False)
+        wide = long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rho", "y"))), lambda x: x["y"]).alias("y"))
+    y, each = materialise(wide), range(len(rhos))
+    mean = y.agg(F.count("*").alias("n"), *(F.avg(F.col("y")[k]).alias(f"m{k}") for k in each)).first()
+    d = y.select("id", F.array(*(F.col("y")[k] - F.lit(mean[f"m{k}"]) for k in each)).alias("d"))
+    den = d.agg(*(F.sum(F.col("d")[k] * F.col("d")[k]).alias(f"q{k}") for k in each)).first()
+    met = w.join(d.select(F.col("id").alias("src"), F.col("d").alias("a")), "src").join(d.select(F.col("id").alias("dst"), F.col("d").alias("b")), "dst")
+    num = met.agg(F.sum("w").alias("s0"), *(F.sum(F.col("w") * F.col("a")[k] * F.col("b")[k]).alias(f"q{k}") for k in each)).first()
     out = []
-    for r in rows:
-        flat = not r["s0"] or not r["den"] or r["s0"] <= 1e-12 or r["den"] <= 1e-12
-        i = 0.0 if flat else r["n"] / r["s0"] * r["num"] / r["den"]
-        out.append((r["rho"], i, abs(i - target)))
+    for k, rho in enumerate(rhos):
+        flat = not num["s0"] or not den[f"q{k}"] or num["s0"] <= 1e-12 or den[f"q{k}"] <= 1e-12
+        i = 0.0 if flat else mean["n"] / num["s0"] * num[f"q{k}"] / den[f"q{k}"]
+        out.append((rho, i, abs(i - target)))
     return out
 
 

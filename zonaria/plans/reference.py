@@ -129,12 +129,12 @@ def _shock(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    z = _zones(spark, d)
+    z = materialise(_zones(spark, d))
     return z.select(F.col("cvegeo").alias("id")), materialise(graph.vertex_edges(z))
 
 
-def _vector(spark: SparkSession, d: str, nodes: DataFrame) -> DataFrame:
-    a = al.allocate(wh.omega_table(_omega(spark, d)), _shock(spark, d))
+def _vector(spark: SparkSession, d: str, nodes: DataFrame, omega: DataFrame | None = None) -> DataFrame:
+    a = al.allocate(wh.omega_table(_omega(spark, d) if omega is None else omega), _shock(spark, d))
     v = al.shock_vector(a).select(F.col("cvegeo").alias("id"), "s")
     return propagate.align(nodes, v, strict=False)
 
@@ -570,7 +570,7 @@ def propagate_exact(spark, d):
     select round((select count(*) from dv) / (select sum(w) from ws) * (select sum(w * a.d * b.d) from ws join dv a on a.id = src join dv b on b.id = dst) / (select sum(d * d) from dv), 9) as i""")
 def moran(spark, d):
     nodes, e = _graph(spark, d)
-    s = _vector(spark, d, nodes)
+    s = materialise(_vector(spark, d, nodes))
     return propagate.morans_i(nodes, materialise(graph.row_standardise(e)), s.select("id", F.col("s").alias("v"))).select(_r("i", 9))
 
 
@@ -604,8 +604,9 @@ def _grid_sql(n: int, rhos: str) -> str:
     select round(al.rho, 6) as rho, round(ti.i, 6) as i_observado, round(al.i, 6) as i_modelo, (select count(*)::int from al) as n_rho_evaluados, true as convergio from al, ti order by abs(al.i - ti.i), malla, al.rho limit 1""")
 def rho_calibration(spark, d):
     nodes, e = _graph(spark, d)
-    s = materialise(_vector(spark, d, nodes))
-    seen = propagate.align(nodes, pf.observed_weight(_omega(spark, d)), strict=False).select("id", F.col("s").alias("v"))
+    o = materialise(_omega(spark, d))
+    s = materialise(_vector(spark, d, nodes, o))
+    seen = materialise(propagate.align(nodes, pf.observed_weight(o), strict=False).select("id", F.col("s").alias("v")))
     r = propagate.calibrate(nodes, materialise(graph.row_standardise(e)), s, seen)
     got = [round(r[c], 6) for c in ("rho", "i_observado", "i_modelo")]
     return spark.createDataFrame([(*got, r["n_rho_evaluados"], r["convergio"])], "rho double, i_observado double, i_modelo double, n_rho_evaluados int, convergio boolean")
