@@ -93,6 +93,15 @@ def with_dominant(municipalities: DataFrame, dominant: DataFrame, communities: D
     return municipalities.join(best, ["entidad", "municipio"], "left")
 
 
+def map_table(simulation: DataFrame, column: str = "impacto_propagado", key: str = "cvegeo") -> DataFrame:
+    """``simulation`` with its share of the column's total in percent (0 where that is 0) and the territory of the zone."""
+    from zonaria.operators.warehouse import territory
+
+    total = simulation.agg(F.sum(column).alias("t")).first()["t"] or 0.0
+    share = F.coalesce(F.col(column) * 100 / F.lit(float(total)), F.lit(0.0)) if total else F.lit(0.0)
+    return simulation.withColumn("participacion_pct", share).withColumns(territory(key))
+
+
 def map_centre(d: DataFrame) -> DataFrame:
     """One row (x, y): the mean of the zones' centroids weighted by area; nulls where there is no area."""
     a, c = G.area("geometry"), G.centroid("geometry")

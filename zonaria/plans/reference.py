@@ -652,6 +652,11 @@ def simulation_zones(spark, d):
     return r.select("cvegeo", *(_r(c) for c in results.IMPACTS), "isla", F.col("geometry").isNotNull().alias("con_geometria"), _r("intensidad"), shown)
 
 
+@query(_SIM + " select cvegeo, round(propagado * 100 / sum(propagado) over (), 6) as participacion_pct, substr(cvegeo, 1, 2) as entidad, substr(cvegeo, 3, 3) as municipio from sim")
+def simulation_map(spark, d):
+    return results.map_table(_simulation(spark, d)).select("cvegeo", _r("participacion_pct"), "entidad", "municipio")
+
+
 @query(_SIM.replace(f"with recursive {_W}", f"with recursive {_W}, {_COMM}, {_UNI}") + " select cluster_id, round(sum(directo), 4) as shock_directo, round(sum(indirecto), 4) as impacto_indirecto, round(sum(propagado), 4) as impacto_propagado from u join sim using (cvegeo) group by all")
 def shock_by_community(spark, d):
     u, _, _ = _profiles(spark, d)
