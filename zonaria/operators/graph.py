@@ -21,7 +21,15 @@ LEAST_CLASS = -20  #: power of two of the smallest grid cells, for zones without
 
 
 def _exact(edges: list[tuple]) -> list[tuple]:
-    """Edges as integers: the decimals the doubles stand for, all on one power of ten, doubled so that midpoints are whole."""
+    """Edges as integers: the decimals the doubles stand for, all on one power of ten, doubled so that midpoints are whole.
+
+    A double of at most 15 digits stands for the only such decimal next to it,
+    so edges on the grid of micro-degrees need no decimals.
+    """
+    v = np.array(edges, dtype=float)
+    grid = np.rint(v * 1e6)
+    if (grid / 1e6 == v).all() and (abs(grid) < 1e15).all():
+        return [tuple(e) for e in (grid.astype(np.int64) * 2).tolist()]
     dec = [tuple(Decimal(repr(float(v))) for v in e) for e in edges]
     places = max((-v.as_tuple().exponent for e in dec for v in e), default=0)
     scale = Decimal(10) ** max(0, places) * 2
